@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,20 @@ from stratavox.llm.common import WORD, map_batches, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
+#: A run of Latin-1 letters, then marks.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters as the byte-level alphabet writes their UTF-8 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+BYTE_LETTERS = _byte_letters()
+
 
 def resolve(path: str) -> str:
     """A tokenizer file: a path, or a name in the installed public_tokenizers."""
@@ -79,9 +94,18 @@ class SpeculativeBPE:
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in merges.values()], np.int64)[order]
         #: The compatibility test undoes merges latest first, so parts must come before the whole.
         self.ordered = bool(all(rank[k] > max(rank[i], rank[j]) for (i, j), (_, k) in merges.items() if rank[k] >= 0))
-        self.longest = max(map(len, self.vocab))
-        self.proposable = {t for t, i in self.vocab.items() if self._whole(t, i)}
+        self.proposable = {t: i for t, i in self.vocab.items() if self._whole(t, i)}
+        #: The most characters of a token that begins with these two.
+        self.reach: dict[str, int] = {}
+        for t in self.proposable:
+            body = t[: len(t) - len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t
+            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
         self.memory: dict[str, tuple[bytes, int, str]] = {}
+        self.words: dict[str, list[int]] = {}
+        self._pack = [struct.Struct(f"<{n}I").pack for n in range(32)]
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        #: Set where the file's normaliser lower-cases and its splitter takes letter runs.
+        self.plain = PLAIN.fullmatch if kinds == ["NFC", "Replace", "Lowercase"] and self.suffix else None
 
     def _symbols(self, word: str) -> list[str]:
         """A word's characters; the last one carries the end-of-word suffix."""
@@ -94,16 +118,25 @@ class SpeculativeBPE:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; the word's last character keeps its suffix."""
-        vocab, ok, suffix, n, out, at = self.vocab, self.proposable, self.suffix, len(word), [], 0
+        ok, reach, n, out, at = self.proposable, self.reach, len(word), [], 0
+        whole = word + self.suffix
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                piece = word[at:end] + suffix if end == n else word[at:end]
-                if piece in ok:
-                    out.append(vocab[piece])
-                    at = end
+            end = min(n, at + reach.get(word[at : at + 2], 1))
+            if end == n:
+                token = ok.get(whole[at:])
+                if token is not None:
+                    out.append(token)
+                    break
+                end -= 1
+            while end > at:
+                token = ok.get(word[at:end])
+                if token is not None:
                     break
+                end -= 1
             else:
                 raise ValueError(f"no token for {word[at]!r}")
+            out.append(token)
+            at = end
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,9 +167,30 @@ class SpeculativeBPE:
 
     def merge(self, word: str) -> list[int]:
         """Exact merging: the pair of least rank first, the leftmost of equals."""
+        ids = [self.vocab[s] for s in self._symbols(word)]
+        if len(ids) > 48:
+            return self._merge_long(ids)
+        merges, none = self.merges, self.NO_MERGE
+        found = [merges.get(pair, none) for pair in zip(ids, ids[1:])]
+        while found:
+            least = min(found)
+            if least is none:
+                break
+            i = found.index(least)
+            ids[i : i + 2] = [least[1]]
+            del found[i]
+            if i:
+                found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = merges.get((ids[i], ids[i + 1]), none)
+        return ids
+
+    NO_MERGE = (1 << 62, -1)
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs, so a very long word costs n log n."""
         import heapq
 
-        ids = [self.vocab[s] for s in self._symbols(word)]
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
@@ -172,20 +226,37 @@ class SpeculativeBPE:
         return found
 
     def _learn(self, chunks: set[str]) -> None:
-        """Fills the memory for chunks of text without ASCII white space."""
-        lib, spans, words = self.library, [], []
-        normal, pre = lib.normalizer, lib.pre_tokenizer
+        """Fills the memory for chunks of text without ASCII white space.
+
+        Plain Latin words with marks after them need no library call: the
+        normaliser lower-cases them and the splitter parts word and marks.
+        """
+        lib, spans = self.library, []
+        normal, pre, words = lib.normalizer, lib.pre_tokenizer, self.words
+        if len(words) > self.MEMORY:
+            words.clear()
+        plain, fresh = self.plain, {}
         for c in chunks:
-            pieces = [w for w, _ in pre.pre_tokenize_str(normal.normalize_str(c) if normal else c)]
-            spans.append((c, len(pieces)))
-            words += pieces
-        distinct = list(dict.fromkeys(words))
-        ids = dict(zip(distinct, self.encode_words(distinct)))
-        at, text = 0, self.text
-        for c, n in spans:
-            own = [i for w in words[at : at + n] for i in ids[w]]
-            at += n
-            self.memory[c] = (np.array(own, "<u4").tobytes(), len(own), " ".join(text[i] for i in own))
+            m = plain(c) if plain else None
+            if m:
+                word, marks = m.groups()
+                word = word.lower()
+                if not word.isascii():
+                    word = word.translate(BYTE_LETTERS)
+                pieces = (word, marks) if marks else (word,)
+            else:
+                pieces = [w for w, _ in pre.pre_tokenize_str(normal.normalize_str(c) if normal else c)]
+            spans.append((c, pieces))
+            for w in pieces:
+                if w not in words:
+                    fresh[w] = None
+        fresh = list(fresh)
+        words.update(zip(fresh, self.encode_words(fresh)))
+        text, memory = self.text, self.memory
+        pack = self._pack
+        for c, pieces in spans:
+            own = words[pieces[0]] if len(pieces) == 1 else [i for w in pieces for i in words[w]]
+            memory[c] = (pack[len(own)](*own) if len(own) < 32 else np.array(own, "<u4").tobytes(), len(own), " ".join([text[i] for i in own]))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Per text its ids (little-endian unsigned 32-bit) and their decoding."""
