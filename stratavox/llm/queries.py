@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stratavox.llm.bpe import op1_bpe
 from stratavox.llm.classifier import op3_quality_classifier
+from stratavox.llm.minhash import op6_minhash
 from stratavox.llm.packing import op5_packing
 from stratavox.llm.quality_rules import OP2_SQL, op2_quality_rules
 from stratavox.llm.sharding import op10_sharding
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_packing": op5_packing,
+    "op6_minhash": op6_minhash,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {"op2_quality_rules": OP2_SQL}
