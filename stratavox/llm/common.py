@@ -132,22 +132,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (mod 2**64) of an odd base, and of its inverse."""
+    have = _powers.get(base)
+    if have is None or len(have[0]) < n:
+        size = max(n, 1 << 14)
+        have = []
+        for value in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, value, np.uint64)
+            p[0] = 1
+            have.append(np.cumprod(p, dtype=np.uint64))
+        if size <= 1 << 22:
+            _powers[base] = tuple(have)
+    return have[0][:n], have[1][:n]
+
+
+def prefix_sums(h: np.ndarray, base: int) -> np.ndarray:
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(base, len(h))[0], dtype=np.uint64, out=total[1:])
+    return total
+
+
 def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
     """Polynomial hash (mod 2**64, then mixed) of every window of ``size`` items."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power = np.full(len(h) + 1, base, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * power[:-1], dtype=np.uint64, out=total[1:])
-    inverse = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.cumprod(inverse, dtype=np.uint64)
-    return mix64((total[size:] - total[:n]) * inverse)
+    total = prefix_sums(h, base)
+    return mix64((total[size:] - total[:n]) * powers(base, n)[1])
 
 
-def first_of(df: DataFrame, key: str) -> DataFrame:
-    """df as it is; documents' ids are taken as unique unless an operator says otherwise."""
-    return df.filter(F.col(key).isNotNull())
+def range_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """The same for ranges of any length; the length is part of the hash."""
+    total = prefix_sums(h, base)
+    return mix64((total[end] - total[start]) * powers(base, len(h) + 1)[1][start] + (end - start).astype(np.uint64))
