@@ -65,12 +65,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """Least values of the set under every coordinate's hash."""
+    # the values are well mixed already, so a product by an odd seed will do
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):
-        part = s[at : at + 4096]
-        v = (part[None, :] ^ (part[None, :] >> np.uint64(31))) * _SEEDS[:, None]
-        v ^= v >> np.uint64(29)
-        np.minimum(out, (v * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1), out=out)
+    for at in range(0, len(s), 512):
+        np.minimum(out, (s[None, at : at + 512] * _SEEDS[:, None]).min(axis=1), out=out)
     return out
 
 
@@ -86,7 +84,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 v = signature(s)
                 a, b = np.bitwise_xor.reduce(mix64(s)), np.add.reduce(mix64(s ^ np.uint64(0xA5A5A5A5)))
                 mark.append(np.array([a, b], "<u8").tobytes())
-                sig.append((v >> np.uint64(56)).astype("u1").tobytes() + v[:PREFIX].astype("<u8").tobytes())
+                sig.append((mix64(v) >> np.uint64(56)).astype("u1").tobytes() + v[:PREFIX].astype("<u8").tobytes())
             else:
                 mark.append(None)
                 sig.append(None)
@@ -114,7 +112,7 @@ class _Union:
         self.label[np.isin(self.label, groups)] = mine
 
 
-def _forest_of_list(ids: np.ndarray, sig: np.ndarray, coordinate: int) -> list[tuple[int, int]]:
+def _forest_of_list(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     """Spanning forest of the pairs of a posting list with enough matches."""
     n = len(ids)
     joined = _Union(n)
@@ -154,7 +152,7 @@ def posting_links(reps: DataFrame) -> DataFrame:
                 continue
             ids = g.column("id").to_numpy()
             sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "u1").reshape(len(ids), COORDINATES)
-            pairs = _forest_of_list(ids, sig, 0)
+            pairs = _forest_of_list(ids, sig)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 
@@ -175,12 +173,11 @@ def in_blocks(rows: DataFrame, size: str, id_col: str, block: int, spread_from:
     return rows.withColumns({"x": F.least("_b", "_o"), "y": F.greatest("_b", "_o")}).drop("_n", "_b", "_o")
 
 
-def _forest_of_sets(ids: np.ndarray, sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
+def _forest_of_sets(ids: np.ndarray, size: np.ndarray, sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
     """Spanning forest of the links of a block, by an inverted index of shingles."""
     n = len(ids)
-    size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
@@ -215,17 +212,38 @@ def confirmed_links(docs: DataFrame, families: DataFrame, words: int, similar: i
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], ["id", "family", "m", "set"])
 
     rows = written(map_batches(members.select("id", "family", "m", "text"), sets, "id long, family long, m long, set binary"), "sets")
-    rows = in_blocks(rows, "m", "id", FAMILY_BLOCK, 2 * LEAST_BLOCK)
+    # a family's sets differ little: each is sent as bits over the set of the
+    # family's first document, and the shingles that aren't in that one
+    hubs = rows.filter("id = family").select("family", F.col("set").alias("hub"))
+
+    def against_hub(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, bits, extra, hub, hub_raw = [], [], [], None, None
+        for raw, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            own = np.frombuffer(raw, "<u8")
+            if h != hub_raw:
+                hub_raw, hub = h, np.frombuffer(h, "<u8")
+            at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+            same = hub[at] == own
+            flags = np.zeros(len(hub), bool)
+            flags[at[same]] = True
+            n.append(len(own))
+            bits.append(np.packbits(flags).tobytes())
+            extra.append(own[~same].tobytes())
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(extra, pa.binary())], ["id", "family", "m", "n", "bits", "extra"])
+
+    coded = map_batches(rows.join(hubs, "family").select("id", "family", "m", "set", "hub"), against_hub, "id long, family long, m long, n long, bits binary, extra binary")
+    dealt = in_blocks(coded, "m", "id", FAMILY_BLOCK, 2 * LEAST_BLOCK)
 
     def link(batches):
         for g in sorted_groups(batches, ["family", "x", "y"]):
             if g.num_rows < 2:
                 continue
-            pairs = _forest_of_sets(g.column("id").to_numpy(), [np.frombuffer(r, "<u8") for r in g.column("set").to_pylist()], similar)
+            sets = [np.concatenate([np.flatnonzero(np.unpackbits(np.frombuffer(b, "u1"))).astype(np.uint64), np.frombuffer(e, "<u8")]) for b, e in zip(g.column("bits").to_pylist(), g.column("extra").to_pylist())]
+            pairs = _forest_of_sets(g.column("id").to_numpy(), g.column("n").to_numpy(), sets, similar)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 
-    dealt = rows.select("family", "x", "y", "id", "set").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+    dealt = dealt.select("family", "x", "y", "id", "n", "bits", "extra").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
     return dealt.mapInArrow(link, "a long, b long")
 
 
