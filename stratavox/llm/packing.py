@@ -21,6 +21,7 @@ equal ids can't be told apart in the result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratavox.llm.bpe import resolve
-from stratavox.llm.common import SPACE, map_batches, table, written
+from stratavox.llm.common import map_batches, table, written
 
 CAPACITY = 1024
 END_ID = 0
@@ -40,41 +41,59 @@ GAP = 2e-4
 #: Tokens of padding that a pattern may have.
 MAX_WASTE = 4
 MAX_COLUMNS = 2500
+#: Fixed value: how a byte-level tokenizers file splits text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Chunks that the tokenizer's own splitting never joins or parts: the last
-#: blank of a run goes with the word after it, other white space stands alone.
-CHUNK = re.compile(rf"[{SPACE}]+(?![^{SPACE}])|\x20?[^{SPACE}]+|[{SPACE}]")
-#: White space besides ASCII's makes runs that only the library splits right.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Characters on which regular-expression engines agree whatever their Unicode
+#: version: Latin letters, general punctuation, usual signs. Texts with others,
+#: or with rare white space, take the library's own path.
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 
 
 class TokenIds:
-    """Token ids by the tokenizers library, remembered per distinct chunk."""
+    """Token ids of a byte-level tokenizers file.
 
-    MEMORY = 300_000
+    Where the file's merges are in the order of their ids, a faster engine is
+    built from the same file (its ranks are the ids); special tokens and unusual
+    characters always go through the tokenizers library.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(resolve(path))
+        path = resolve(path)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
+        self.fast = self._fast(path)
+
+    @staticmethod
+    def _fast(path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        pre = spec["pre_tokenizer"]
+        plain = spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+        if not plain or spec["model"].get("end_of_word_suffix") or [vocab[a + b] for a, b in pairs] != list(range(256, 256 + len(pairs))):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(pairs)}
+        return tiktoken.Encoding("from-file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        memory, cut = self.memory, []
-        if len(memory) > self.MEMORY:
-            memory.clear()
+        out = []
         for t in texts:
             t = t or ""
-            odd = OTHER_SPACE.search(t) or any(s in t for s in self.special)
-            cut.append(None if odd else CHUNK.findall(t))
-        fresh = list(set().union(*(c for c in cut if c)).difference(memory))
-        if fresh:
-            for c, e in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False)):
-                memory[c] = np.array(e.ids, "<u4").tobytes()
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if c is None else np.frombuffer(b"".join([memory[x] for x in c]), "<u4") for t, c in zip(texts, cut)]
+            if self.fast is None or UNUSUAL.search(t) or any(s in t for s in self.special):
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4"))
+            else:
+                out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False))
+        return out
 
 
 _tokenizers: dict[str, TokenIds] = {}
