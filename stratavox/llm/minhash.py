@@ -44,7 +44,7 @@ MATCHES = 32
 #: Most rows of a posting list, and most documents of a family, in one block.
 LIST_BLOCK, FAMILY_BLOCK = 2048, 1024
 #: Large groups are divided at least so far that one of them spreads over tasks.
-SPREAD, LEAST_BLOCK = 24, 64
+LIST_SPREAD, FAMILY_SPREAD, LEAST_BLOCK = 6, 24, 64
 
 _SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BASE = 0x2545F4914F6CDD1D
@@ -144,7 +144,7 @@ def posting_links(reps: DataFrame) -> DataFrame:
     sizes = written(posted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "lists")
     # lists of one need no task; long ones are dealt as pairs of blocks
     live = posted.join(sizes, "key")
-    live = in_blocks(live, "m", "id", LIST_BLOCK, LIST_BLOCK)
+    live = in_blocks(live, "m", "id", LIST_BLOCK, LIST_BLOCK // 2, LIST_SPREAD)
 
     def link(batches):
         for g in sorted_groups(batches, ["key", "x", "y"]):
@@ -160,13 +160,14 @@ def posting_links(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, size: str, id_col: str, block: int, spread_from: int) -> DataFrame:
+def in_blocks(rows: DataFrame, size: str, id_col: str, block: int, spread_from: int, spread: int) -> DataFrame:
     """Copies of each row for every pair (x, y) of blocks of its group that needs it.
 
     A group of up to ``spread_from`` rows is one pair (0, 0). A larger one has
-    enough blocks that each holds ``block`` rows on average at most.
+    enough blocks that each holds ``block`` rows on average at most, and ``spread``
+    of them if they don't get too small.
     """
-    blocks = F.when(F.col(size) <= spread_from, F.lit(1)).otherwise(F.greatest(F.lit(2), F.ceil(F.col(size) / block), F.least(F.lit(SPREAD), F.ceil(F.col(size) / LEAST_BLOCK)))).cast("int")
+    blocks = F.when(F.col(size) <= spread_from, F.lit(1)).otherwise(F.greatest(F.lit(2), F.ceil(F.col(size) / block), F.least(F.lit(spread), F.ceil(F.col(size) / LEAST_BLOCK)))).cast("int")
     rows = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: (j != F.col("_b")) | (F.col("_n") == 1))
     rows = rows.withColumn("_o", F.explode(others))
@@ -232,7 +233,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, words: int, similar: i
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(extra, pa.binary())], ["id", "family", "m", "n", "bits", "extra"])
 
     coded = map_batches(rows.join(hubs, "family").select("id", "family", "m", "set", "hub"), against_hub, "id long, family long, m long, n long, bits binary, extra binary")
-    dealt = in_blocks(coded, "m", "id", FAMILY_BLOCK, 2 * LEAST_BLOCK)
+    dealt = in_blocks(coded, "m", "id", FAMILY_BLOCK, 2 * LEAST_BLOCK, FAMILY_SPREAD)
 
     def link(batches):
         for g in sorted_groups(batches, ["family", "x", "y"]):
