@@ -20,7 +20,8 @@ passage that a third of all documents share costs rows of counts that combine
 before the shuffle, and joins that adaptive execution can split.
 
 Cases: null texts have no words; texts shorter than a window keep all words; a
-text may repeat itself; ids are expected to be unique; other columns pass.
+text may repeat itself; rows with one id are taken as one document; rows with
+a null id keep all words; other columns pass.
 """
 
 from __future__ import annotations
@@ -115,9 +116,11 @@ class FingerprintIndex:
     def _read(self, folder: str) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(folder)
 
-    def append(self, docs: DataFrame) -> DataFrame:
+    def append(self, docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        """``only``: ids to index; the others' fingerprints are dropped before they are written."""
         history = [f for _, f in self.runs]
-        fresh = self._read(self._write_run(fingerprints(docs, self.window, self.gram), 0))
+        found = fingerprints(docs, self.window, self.gram)
+        fresh = self._read(self._write_run(found if only is None else found.join(only, "id", "left_semi").select("fp", "id", "first", "last"), 0))
         own = fresh.groupBy("fp").agg(F.count("*").alias("n"))
         hits = own.filter("n > 1").select("fp")
         for folder in history:
@@ -181,7 +184,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     """(id, whole, starts): for documents with repeated windows their starts, or
     ``whole`` where an equal document repeats all of them."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
 
     def summary(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, mark = [], []
@@ -192,16 +195,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary())], ["id", "n", "mark"])
 
     marks = written(map_batches(base, summary, "id long, n long, mark binary").filter(F.col("n") >= window), "marks")
-    classes = marks.groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = written(classes.select(F.col("rep").alias("id"), (F.col("copies") > 1).alias("many")), "reps")
-    copies = marks.join(classes.filter("copies > 1").select("mark"), "mark").select("id")
-    chosen = written(base.join(reps, "id"), "chosen")
+    classes = marks.groupBy("mark").agg(F.min("id").alias("rep"), (F.max("id") > F.min("id")).alias("many"))
+    reps = written(classes.select(F.col("rep").alias("id"), "many"), "reps")
+    copies = marks.join(classes.filter("many").select("mark"), "mark").select("id").distinct()
     index = FingerprintIndex(spark, f"{shared_dir(spark)}/stratavox-index-{uuid.uuid4().hex}", window)
     for b in range(batches):
-        index.append(chosen.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
-    spans = index.repeated().groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    rows = written(_window_rows(chosen.join(spans, "id"), window), "windows")
-    many = rows.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
+        index.append(base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), reps.select("id"))
+    spans = index.repeated().groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans")).join(reps, "id")
+    rows = written(_window_rows(base.join(spans, "id"), window), "windows")
+    # rows that repeat an id give equal places, and are one document
+    place = F.struct("id", "at")
+    many = rows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("h1", "h2")
     starts = rows.filter(~F.col("many")).join(many, ["h1", "h2"]).groupBy("id").agg(F.collect_list("at").alias("starts"))
     # windows of a document with copies repeat anyway: all of its words go
     whole = copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
