@@ -20,7 +20,8 @@ own just above their old ones. Then the groups' orders are emitted from the
 least suffix on. No level of recursion, no renaming.
 
 Cases: a null or empty text has no bytes; matches never cross documents;
-a text may repeat itself, overlaps included; ids are expected to be unique;
+a text may repeat itself, overlaps included; rows with one id are taken as one
+document; rows with a null id keep all bytes;
 kept bytes may end inside a character, so the operator gives bytes.
 """
 
@@ -166,7 +167,12 @@ def equal_windows(places: list[int], texts: list[bytes], length: int = LENGTH, s
 
 
 def byte_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(fp, around, id, first, last, place) of all minimisers of (id, text)."""
+    """(fp, around, id, first, last, place, salt) of all minimisers of (id, text).
+
+    Of a batch's rows with equal surroundings only the earliest can be the
+    earliest of all: it has salt 0. The others are repeats whatever comes, and
+    are dealt by their salt, so a passage of many documents isn't one task's.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, parts = [], []
@@ -180,21 +186,38 @@ def byte_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             row.append(np.full(len(fp), k))
             parts.append((fp, around, first, last, at))
         if not parts:
-            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())], ["fp", "around", "id", "first", "last", "place"])
-        cat = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cat[0].view("i8")), pa.array(cat[1].view("i8")), batch.column(0).take(pa.array(np.concatenate(row))), *(pa.array(c.astype("i4")) for c in cat[2:])],
-            ["fp", "around", "id", "first", "last", "place"],
-        )
-
-    return map_batches(docs.select("id", "text"), run, "fp long, around long, id long, first int, last int, place int")
+            return None
+        fp, around, first, last, at = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        ids = np.asarray(batch.column(0).to_numpy())[np.concatenate(row)]
+        order = np.lexsort((first, ids, around, fp))
+        fp, around, first, last, at, ids = (x[order] for x in (fp, around, first, last, at, ids))
+        salt = np.zeros(len(fp), np.int32)
+        again = np.flatnonzero((fp[1:] == fp[:-1]) & (around[1:] == around[:-1])) + 1
+        # rows that repeat a document's id are one document: the same place again is no repeat
+        group = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (around[1:] != around[:-1])]))
+        lead = group[np.searchsorted(group, again, side="right") - 1]
+        repeat = (ids[again] != ids[lead]) | (first[again] != first[lead])
+        salt[again[repeat]] = 1 + ((ids[again[repeat]] * 31 + first[again[repeat]]) % 997)
+        return pa.RecordBatch.from_arrays([pa.array(fp.view("i8")), pa.array(around.view("i8")), pa.array(ids, pa.int64()), *(pa.array(c.astype("i4")) for c in (first, last, at, salt))], ["fp", "around", "id", "first", "last", "place", "salt"])
+
+    return map_batches(docs.select("id", "text"), run, "fp long, around long, id long, first int, last int, place int, salt int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """Rows of fingerprints that occur again: open (to be compared) or not (a plain repeat)."""
 
     def judge(t: pa.Table) -> pa.Table | None:
-        fp, around = (t.column(c).to_numpy() for c in ("fp", "around"))
+        salt = t.column("salt").to_numpy()
+        if salt.any():
+            known = t.filter(pa.array(salt > 0))
+            rest = judge(t.filter(pa.array(salt == 0))) if not salt.all() else None
+            known = known.append_column("open", pa.array(np.zeros(known.num_rows, bool)))
+            return known if rest is None else pa.concat_tables([known, rest])
+        fp, around, i, first = (t.column(c).to_numpy() for c in ("fp", "around", "id", "first"))
+        # rows that repeat a document's id are one document
+        again = np.concatenate([[False], (fp[1:] == fp[:-1]) & (around[1:] == around[:-1]) & (i[1:] == i[:-1]) & (first[1:] == first[:-1])])
+        if again.any():
+            return judge(t.filter(pa.array(~again)))
         new_fp = np.concatenate([[True], fp[1:] != fp[:-1]])
         new = new_fp | np.concatenate([[True], around[1:] != around[:-1]])
         owner = np.cumsum(new_fp) - 1
@@ -227,13 +250,13 @@ def repeats(found: DataFrame) -> DataFrame:
         if held:
             yield from judge(pa.Table.from_batches(held)).to_batches()
 
-    dealt = found.repartition("fp").sortWithinPartitions("fp", "around", "id", "first")
-    return dealt.mapInArrow(run, "fp long, around long, id long, first int, last int, place int, open boolean")
+    dealt = found.repartition("fp", "salt").sortWithinPartitions("fp", "around", "id", "first")
+    return dealt.mapInArrow(run, "fp long, around long, id long, first int, last int, place int, salt int, open boolean")
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): per document ranges [a, b) of starts of strings that start earlier."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     rows = written(repeats(byte_anchors(base, length, gram)), "repeats")
     plain = rows.filter("not open").select("id", F.col("first").alias("a"), (F.col("last") + 1).alias("b"))
     asked = rows.filter("open").groupBy("id").agg(F.collect_list(F.struct("fp", "first", "last", "place")).alias("spans"))
@@ -254,6 +277,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
         for g in sorted_groups(batches, ["fp"]):
             places, texts = g.column("place").to_pylist(), g.column("around").to_pylist()
             ids, first = g.column("id").to_pylist(), g.column("first").to_pylist()
+            once = [k for k in range(len(ids)) if not k or (ids[k], first[k]) != (ids[k - 1], first[k - 1])]
+            if len(once) < len(ids):
+                places, texts, ids, first = ([x[k] for k in once] for x in (places, texts, ids, first))
             out = []
             for i, f, starts in zip(ids, first, equal_windows(places, texts, length)):
                 if starts:
