@@ -18,7 +18,8 @@ identifier the first by (turn, place) is linked, of results too, and the others
 count as duplicates; results without a call and calls without a result are
 orphans, and keep their turns; members of a reference cycle get depth -1 and
 the status "cycle"; calls of unknown tools are invalid; repeated messages are
-formatted each; other columns are ignored.
+formatted each; parts of a message without conversation or turn are orphans;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None) -> DataFra
     status = tools.select(*key, "call_id", "nth").join(both, ["conv_id", "call_id"], "left").join(levels, key, "left")
     status = status.select(*key, "order_turn", "depth", F.when(F.col("nth") > 1, "duplicate").when(F.col("depth").isNull(), "cycle").when(F.col("linked"), "linked").otherwise("orphan").alias("status")).dropDuplicates(key)
     plain = rows.filter("kind = 'message'").select("*", F.col("turn").alias("order_turn"), F.lit(0).alias("depth"), F.lit("plain").alias("status"))
-    linked = rows.filter("kind <> 'message'").join(status, key).select(*plain.columns[:8], F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("depth", F.lit(-1)).alias("depth"), "status")
+    linked = rows.filter("kind <> 'message'").join(status, key, "left").select(*plain.columns[:8], F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("status", F.lit("orphan")).alias("status"))
     return plain.unionByName(linked).select("conv_id", "turn", "place", "kind", "call_id", "status", "valid", "order_turn", "depth", "json")
 
 

@@ -188,4 +188,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

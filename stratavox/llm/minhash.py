@@ -21,8 +21,9 @@ grows with the square of a group's size is only the counting among *different*
 texts that are mutually similar.
 
 Cases: A-Z only is lower-cased; fewer than ``words`` words make one shingle of
-all; no words, or a null text, make an empty set that links with nothing; ids
-are expected to be unique and not null; other columns are ignored.
+all; no words, or a null text, make an empty set that links with nothing; a row
+with a null id links with nothing and is kept; repeated rows are in one class;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -251,7 +252,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, words: int, similar: i
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every document."""
     sketch = written(sketches(docs, words, id_col, text_col), "sketches")
-    full = sketch.filter("n > 0")
+    full = sketch.filter("n > 0 and id is not null")
     # a class's members have equal sets, so any member's signature will do
     classes = full.groupBy("n", "mark").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     reps = written(classes.select(F.col("rep").alias("id"), "n", "mark", "sig"), "classes")
@@ -261,9 +262,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR,
     found = components(confirmed_links(docs, families, words, similar, id_col, text_col))
     marks = reps.select("n", "mark", F.col("id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("n", "mark", F.coalesce("component", "rep").alias("component_id"))
     # copies meet their class in a join that adaptive execution can split
-    out = sketch.join(marks, ["n", "mark"], "left")
+    out = sketch.withColumn("mark", F.when(F.col("id").isNotNull(), F.col("mark"))).join(marks, ["n", "mark"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

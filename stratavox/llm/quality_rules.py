@@ -31,7 +31,7 @@ BOILERPLATE = r"(?i)(all rights reserved|licensed under|terms of (use|service)|p
 #: A line fails if over this share of its words end in a run of symbols.
 SYMBOL_SHARE = 30
 #: ... or if it has this many words and no sentence mark at all.
-UNMARKED_WORDS = 40
+UNMARKED_WORDS = 400
 #: ... or if bars are over this share of its words.
 BAR_SHARE = 20
 #: A document is rejected if it loses more than this share of its word characters.

@@ -17,8 +17,8 @@ Links leave a task as counts per vector and a spanning forest, never as pairs.
 
 Cases: null labels, null or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different length never link; equal
-vectors link with each other; ids are expected to be unique; other columns are
-ignored.
+vectors link with each other; a null id links with nothing and is kept; rows
+that repeat an id count as vectors of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, id_col: str = "ve
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label_"), F.col(vector_col).cast("array<double>").alias("embedding"))
     code = F.xxhash64(F.col("label_").cast("string"))
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    usable = base.filter(F.col("label_").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
+    usable = base.filter(F.col("id").isNotNull() & F.col("label_").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
     usable = usable.select("id", code.alias("label"), F.size("embedding").alias("dim"), "embedding")
     grouped = usable.groupBy("label", "dim", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = written(grouped.select(F.col("rep").alias("id"), "copies", "label", "dim", "embedding"), "classes")
@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, id_col: str = "ve
     members = usable.join(marks, ["label", "dim", "embedding"]).select("id", "n_links", "component_id")
     rest = base.select("id").join(members, "id", "left")
     component = F.coalesce("component_id", "id")
-    return rest.select(F.col("id").cast(vectors.schema[id_col].dataType).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return rest.select(F.col("id").cast(vectors.schema[id_col].dataType).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
