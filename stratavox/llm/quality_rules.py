@@ -89,20 +89,20 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = F.transform("_real", lambda x: F.struct(x.alias("line"), _line_fails(x).alias("bad")))
     base = base.withColumns({"n_repeat_words": repeat, "_j": judged})
     failed = F.filter("_j", lambda x: x["bad"])
-    n = F.col("_n")
-    out = base.select(
-        F.col(id_col),
-        *[F.col(c) for c in keep or [] if c != id_col],
-        n.alias("n_words"),
+    measures = F.struct(
+        F.col("_n").alias("n_words"),
         _chars(F.col("_t")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_real") - F.size(F.array_distinct("_real"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        F.col("n_repeat_words").alias("n_repeat_words"),
         F.size("_real").cast("long").alias("n_lines"),
         F.size(failed).cast("long").alias("n_failed_lines"),
         F.aggregate(failed, F.lit(0).cast("long"), lambda a, x: a + _chars(x["line"])).alias("lost_chars"),
         F.array_join(F.transform(F.filter("_j", lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("clean_text"),
     )
+    # A generator of one row: a later filter on a measure stays above it. Pushed
+    # below, it would repeat the whole computation for every word.
+    out = base.select(F.col(id_col), *[F.col(c) for c in keep or [] if c != id_col], F.inline(F.array(measures)))
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_SHARE)
     return out.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * LOST_SHARE))
 
