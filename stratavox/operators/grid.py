@@ -2,9 +2,10 @@
 
 Every level nests in the 40 cm tile, so nothing ever crosses a tile. Points are
 dealt once by (frame, tile); all later aggregations and windows have those
-columns first in their keys, so they need no further exchange. The quadrant
-children of a cell are aggregated in the same pass as the cell: a split only
-chooses between the cell and its children, and never goes back to the points.
+columns first in their keys, so they need no further exchange. Points are first
+summed up per cell, quadrant child and class. A cell's vote and its split flag
+are windows over those few rows, and a split only chooses whether they are
+summed per cell or per child: the points are never read again.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratavox.config import N_CLASSES, UNLABELED, GridConfig, priority, traversability
-from stratavox.operators.keys import CFG, near_field, pack_key, with_keys
+from stratavox.operators.keys import CFG, near_field, pack_key, with_keys, with_levels, with_tiles
 
 TILE = ["frame_no", "tx", "ty"]
 CELL = [*TILE, "level", "cx", "cy"]
-SCORES = [f"s{c}" for c in range(N_CLASSES)]
+STATE = ["cnt", "zsum", "zsq", "zmin", "zmax"]
 
 
 def drop_unlabeled(points: DataFrame) -> DataFrame:
@@ -29,44 +30,76 @@ def checked_labels(points: DataFrame) -> DataFrame:
     return points.withColumn("cls", F.when(bad, F.raise_error(F.lit(f"labels must be in 0..{N_CLASSES - 1}"))).otherwise(F.col("cls")))
 
 
-def vote(scores: Column) -> tuple[Column, Column, Column]:
-    """(class, winner's score, total): the least id wins a tie; all zero gives class 0."""
-    best = F.array_max(scores)
-    return (F.array_position(scores, best) - 1).cast("int"), best, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+def partials(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
+    """Sums per base cell, quadrant child (kx, ky) and class; dealt by tile."""
+    p = with_tiles(drop_unlabeled(points).select("frame_no", "x", "y", "z", "conf", "cls"), cfg)
+    # what follows from the indices is worked out after the exchange
+    p = p.select(*TILE, "ix3", "iy3", F.col("cls").cast("int").alias("cls"), F.col("z").cast("double").alias("z"), F.col("conf").cast("double").alias("conf")).repartition(*TILE)
+    p = with_levels(p, cfg)
+    child = f"{cfg.max_level} - least(level + 1, {cfg.max_level})"
+    p = p.withColumns({"kx": F.expr(f"shiftright(ix3, {child})"), "ky": F.expr(f"shiftright(iy3, {child})")})
+    return p.groupBy(*CELL, "kx", "ky", "cls").agg(F.count("*").alias("cnt"), F.sum("z").alias("zsum"), F.sum(F.col("z") * F.col("z")).alias("zsq"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.sum("conf").alias("score"))
+
+
+def _sums() -> list[Column]:
+    return [F.sum("cnt").alias("cnt"), F.sum("zsum").alias("zsum"), F.sum("zsq").alias("zsq"), F.min("zmin").alias("zmin"), F.max("zmax").alias("zmax")]
+
+
+def winner(best: Column) -> Column:
+    """Class of the greatest (score, -class): the least id wins a tie. With no score
+    above zero it is class 0, which every vote has with a score of zero."""
+    return F.when(best["score"] > 0, -best["other"]).otherwise(0).cast("int")
+
+
+def ballot() -> Column:
+    return F.struct(F.col("score").alias("score"), (-F.col("cls")).alias("other"))
+
+
+def voted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics, class, winner's score and total score per key."""
+    per_class = rows.groupBy(*keys, "cls").agg(*_sums(), F.sum("score").alias("score"))
+    cells = per_class.groupBy(*keys).agg(*_sums(), F.max(ballot()).alias("best"), F.sum("score").alias("total"))
+    return cells.select(*keys, *STATE, winner(F.col("best")).alias("cls"), F.greatest(F.col("best.score"), F.lit(0.0)).alias("wscore"), "total")
+
+
+def splits(cls: Column, level: Column, cnt: Column, cfg: GridConfig = CFG) -> Column:
+    return (priority(cls) >= cfg.split_priority) & (level < cfg.max_level) & (cnt >= cfg.split_min_points)
 
 
 def stage1(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
-    """Base cells with their statistics, class and quadrant children (``kids``)."""
-    p = with_keys(drop_unlabeled(points).select("frame_no", "x", "y", "z", "conf", "cls"), cfg)
-    p = p.withColumns({"kx": F.expr(f"shiftright(ix3, {cfg.max_level} - least(level + 1, {cfg.max_level}))"), "ky": F.expr(f"shiftright(iy3, {cfg.max_level} - least(level + 1, {cfg.max_level}))")})
-    z, conf = F.col("z").cast("double"), F.col("conf").cast("double")
-    p = p.select(*CELL, "kx", "ky", "cls", z.alias("z"), conf.alias("conf")).repartition(*TILE)
-    sums = [F.sum(F.when(F.col("cls") == c, F.col("conf")).otherwise(0.0)).alias(s) for c, s in enumerate(SCORES)]
-    kids = p.groupBy(*CELL, "kx", "ky").agg(F.count("*").alias("cnt"), F.sum("z").alias("zsum"), F.sum(F.col("z") * F.col("z")).alias("zsq"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), *sums)
-    kid = F.struct("kx", "ky", "cnt", "zsum", "zsq", "zmin", "zmax", F.array(*SCORES).alias("scores"))
-    cells = kids.groupBy(*CELL).agg(F.sum("cnt").alias("cnt"), F.sum("zsum").alias("zsum"), F.sum("zsq").alias("zsq"), F.min("zmin").alias("zmin"), F.max("zmax").alias("zmax"), *[F.sum(s).alias(s) for s in SCORES], F.collect_list(kid).alias("kids"))
-    cells = cells.withColumn("scores", F.array(*SCORES)).drop(*SCORES)
-    cls, best, total = vote(F.col("scores"))
-    cells = cells.withColumns({"cls": cls, "wscore": best, "total": total})
-    split = (priority(F.col("cls")) >= cfg.split_priority) & (F.col("level") < cfg.max_level) & (F.col("cnt") >= cfg.split_min_points)
-    return cells.withColumn("is_split", split)
-
-
-def stage2(cells: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
-    """Leaves after the split, and a marker row (is_marker) for every split cell
-    that has a parent: that parent may not be merged."""
-    fields = ["cnt", "zsum", "zsq", "zmin", "zmax"]
-
-    def row(level: Column, x: Column, y: Column, values: list[Column], scores: Column, marker: bool) -> Column:
-        cls, best, total = vote(scores)
-        return F.struct(level.cast("int").alias("level"), x.alias("cx"), y.alias("cy"), *[v.alias(f) for v, f in zip(values, fields)], cls.alias("cls"), best.alias("wscore"), total.alias("total"), F.lit(marker).alias("is_marker"))
-
-    level, own = F.col("level"), [F.col(f) for f in fields]
-    itself = F.array(row(level, F.col("cx"), F.col("cy"), own, F.col("scores"), False))
-    children = F.transform("kids", lambda k: row(level + 1, k["kx"], k["ky"], [k[f] for f in fields], k["scores"], False))
-    marker = F.array(row(level, F.col("cx"), F.col("cy"), own, F.col("scores"), True))
-    rows = F.when(~F.col("is_split"), itself).when(level > 0, F.concat(children, marker)).otherwise(children)
-    return cells.select(*TILE, F.inline(rows))
+    """Base cells with their statistics, class and split flag."""
+    cells = voted(partials(points, cfg), CELL)
+    return cells.withColumn("is_split", splits(F.col("cls"), F.col("level"), F.col("cnt"), cfg))
+
+
+def with_split_flag(parts: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
+    """Partial sums with the split flag of their base cell. Both windows use one sort."""
+    rows = parts.withColumn("class_score", F.sum("score").over(Window.partitionBy(*CELL, "cls")))
+    w = Window.partitionBy(*CELL)
+    best = F.max(F.struct(F.col("class_score").alias("score"), (-F.col("cls")).alias("other"))).over(w)
+    rows = rows.withColumns({"best": best, "cell_cnt": F.sum("cnt").over(w)})
+    return rows.withColumn("is_split", splits(winner(F.col("best")), F.col("level"), F.col("cell_cnt"), cfg)).drop("class_score", "best", "cell_cnt")
+
+
+def split_children(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
+    """The children that replace split cells."""
+    rows = with_split_flag(partials(points, cfg), cfg).filter("is_split")
+    return voted(rows.select(*TILE, (F.col("level") + 1).alias("level"), F.col("kx").alias("cx"), F.col("ky").alias("cy"), "cls", *STATE, "score"), CELL)
+
+
+def stage2(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
+    """Leaves after the split, and marker rows (is_marker) for the parents of split
+    cells: such a parent may not be merged."""
+    up = F.col("is_split")
+    rows = with_split_flag(partials(points, cfg), cfg)
+    rows = rows.select(*TILE, F.when(up, F.col("level") + 1).otherwise(F.col("level")).alias("level"), F.when(up, F.col("kx")).otherwise(F.col("cx")).alias("cx"), F.when(up, F.col("ky")).otherwise(F.col("cy")).alias("cy"), "is_split", "cls", *STATE, "score")
+    leaves = voted(rows, [*CELL, "is_split"])
+    fields = ["cx", "cy", *STATE, "cls", "wscore", "total"]
+    leaf = F.struct(F.col("level").cast("int").alias("level"), *fields, F.lit(False).alias("is_marker"))
+    # the split cell itself, one level above its child
+    old = F.struct((F.col("level") - 1).cast("int").alias("level"), F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy"), *[F.col(f) for f in fields[2:]], F.lit(True).alias("is_marker"))
+    both = F.when(F.col("is_split") & (F.col("level") > 1), F.array(leaf, old)).otherwise(F.array(leaf))
+    return leaves.select(*TILE, F.inline(both))
 
 
 def merge_groups(leaves: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
@@ -92,7 +125,7 @@ def merged_cells(groups: DataFrame) -> DataFrame:
 
 
 def cell_states(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
-    return merged_cells(merge_groups(stage2(stage1(points, cfg), cfg), cfg))
+    return merged_cells(merge_groups(stage2(points, cfg), cfg))
 
 
 def finalize(cells: DataFrame, cfg: GridConfig = CFG) -> DataFrame:

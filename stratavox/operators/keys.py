@@ -43,11 +43,19 @@ def near_field(tx: Column, ty: Column, cfg: GridConfig = CFG) -> Column:
     return tile_r2(tx, ty, cfg) < F.lit(cfg.no_merge_radius_m * cfg.no_merge_radius_m)
 
 
-def with_keys(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
-    """Adds ix3, iy3 (finest indices), tx, ty (tile), level, cx, cy (base cell)."""
+def with_tiles(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
+    """Adds ix3, iy3 (finest indices) and tx, ty (tile)."""
     p = points.withColumns({"ix3": finest_index(F.col("x"), cfg), "iy3": finest_index(F.col("y"), cfg)})
-    p = p.withColumns({"tx": F.shiftright("ix3", cfg.max_level), "ty": F.shiftright("iy3", cfg.max_level)})
+    return p.withColumns({"tx": F.shiftright("ix3", cfg.max_level), "ty": F.shiftright("iy3", cfg.max_level)})
+
+
+def with_levels(p: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
+    """Adds level, cx, cy (base cell) to points with tiles."""
     r2 = tile_r2(F.col("tx"), F.col("ty"), cfg)
     level = F.when(r2 < F.lit(cfg.band_l3_m**2), 3).when(r2 < F.lit(cfg.band_l2_m**2), 2).when(r2 < F.lit(cfg.band_l1_m**2), 1).otherwise(0)
     p = p.withColumn("level", level)
     return p.withColumns({"cx": F.expr(f"shiftright(ix3, {cfg.max_level} - level)"), "cy": F.expr(f"shiftright(iy3, {cfg.max_level} - level)")})
+
+
+def with_keys(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
+    return with_levels(with_tiles(points, cfg), cfg)

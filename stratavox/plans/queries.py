@@ -68,13 +68,11 @@ def parent_keys(spark, d):
 
 
 def split_children(spark, d):
-    kids = g.stage1(src.points(spark, d)).filter("is_split").select("frame_no", "level", F.inline("kids"))
-    cls, best, total = g.vote(F.col("scores"))
-    return kids.select("frame_no", (F.col("level") + 1).alias("level"), F.col("kx").alias("cx"), F.col("ky").alias("cy"), "cnt", "zsum", "zmin", "zmax", cls.alias("cls"), best.alias("wscore"), total.alias("total"))
+    return g.split_children(src.points(spark, d)).select("frame_no", "level", "cx", "cy", "cnt", "zsum", "zmin", "zmax", "cls", "wscore", "total")
 
 
 def merge_groups(spark, d):
-    groups = g.merge_groups(g.stage2(g.stage1(src.points(spark, d))))
+    groups = g.merge_groups(g.stage2(src.points(spark, d)))
     return groups.filter("eligible").select("frame_no", "plevel", "px", "py").distinct()
 
 
