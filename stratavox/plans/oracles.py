@@ -99,6 +99,10 @@ def _iou(source: str, keys: str = "") -> str:
     SELECT {k}gt AS class_id, n AS g, 0 AS p, CASE WHEN gt = pred THEN n ELSE 0 END AS t FROM {source} UNION ALL SELECT {k}pred, 0, n, 0 FROM {source}) GROUP BY {k}class_id)"""
 
 
+def _names() -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join(f"({c[0]}, '{c[1]}', '{c[2]}')" for c in CLASSES) + ") v(class_id, name, color))"
+
+
 QCELLS = """,
 q AS (SELECT frame_no, least(greatest(floor(x_min / resolution + 0.5e0), -32768), 32767)::INTEGER AS ix, least(greatest(floor(y_min / resolution + 0.5e0), -32768), 32767)::INTEGER AS iy, level, semantic_class AS cls,
   least(greatest(round_even(min_height * 100e0, 0), -32768), 32767)::INTEGER AS z_min_cm, least(greatest(round_even(max_height * 100e0, 0), -32768), 32767)::INTEGER AS z_max_cm,
@@ -231,4 +235,15 @@ SQL: dict[str, str] = {
     "frame_header": GRID + " SELECT frame_no, count(*) AS n_cells, sum(point_count)::BIGINT AS n_points, min(level) AS min_level, max(level) AS max_level FROM cells GROUP BY 1",
     "frame_round_trip": GRID + " SELECT frame_no, n_points, n_cells FROM (SELECT frame_no, count(*) AS n_cells FROM cells GROUP BY 1) JOIN (SELECT frame_no, count(*) AS n_points FROM pts WHERE seq % 3 = 0 GROUP BY 1) USING (frame_no)",
     "grid_micro_batch": GRID + " SELECT frame_no, level, count(*) AS n, sum(point_count) AS points FROM cells GROUP BY ALL",
+    "iou_chart": CM + f", nm AS {_names()} SELECT name, iou, printf('%.1f', iou * 100) AS label FROM {_iou('cm')} JOIN nm USING (class_id) WHERE class_id > 0 AND gt_points > 0",
+    "chart_rows": CM + ", r AS (SELECT gt, pred, n / greatest(sum(n) OVER (PARTITION BY gt), 1)::DOUBLE AS share FROM cm) SELECT gt, pred, round(share * 100, 6) AS percent FROM r WHERE gt <> 5 AND pred <> 5 AND share >= 0.01e0",
+    "class_summary": CM + f", nm AS {_names()} SELECT name, CASE WHEN gt_points > 0 THEN iou END AS iou, gt_points, CASE WHEN gt_points = 0 AND pred_points > 0 THEN pred_points END AS absent_predicted FROM {_iou('cm')} JOIN nm USING (class_id) WHERE class_id > 0",
+    "eval_frames": LOOKED + EVAL + VARIANTS + FACC + " SELECT fa.frame_no, fa.accuracy, fa.car_iou, g.a AS grid_cell_accuracy FROM fa LEFT JOIN (SELECT frame_no, count(*) FILTER (correct) / count(*)::DOUBLE AS a FROM ec GROUP BY 1) g USING (frame_no)",
+    "segment_offsets": GRID + ' SELECT frame_no, key, row_number() OVER w - 1 AS segment, (sum(point_count) OVER w - point_count)::BIGINT AS "offset" FROM cells WINDOW w AS (PARTITION BY frame_no ORDER BY key)',
+    "size_labels": GRID + " SELECT (5 * (1 << (3 - level)))::VARCHAR || ' cm' AS size, count(*) AS n FROM cells GROUP BY 1",
+    "typed_cells": GRID + " SELECT frame_no, key, level, semantic_class, semantic_priority, point_count FROM cells",
+    "dense_confusion": CM + " SELECT gt, " + ", ".join(f"coalesce(sum(n) FILTER (pred = {k}), 0)::BIGINT AS p{k}" for k in range(20)) + " FROM cm GROUP BY gt",
+    "class_table_json": f"SELECT class_id, CAST(json_object('id', class_id, 'name', name, 'color', color) AS VARCHAR) AS json FROM {_names()}",
+    "bookmarks": CM + FACC + """, r AS (SELECT 'highest_accuracy' AS record, frame_no, accuracy AS value FROM fa UNION ALL SELECT 'highest_car_iou', frame_no, car_iou FROM fa WHERE gt_car_points >= 1 UNION ALL SELECT 'highest_person_iou', frame_no, person_iou FROM fa WHERE gt_person_points >= 1)
+      SELECT record, frame_no, value FROM r WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record ORDER BY value DESC, frame_no) = 1""",
 }

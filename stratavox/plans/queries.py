@@ -163,7 +163,80 @@ def frame_round_trip(spark, d):
     return decode_frames(encode_frames(p, c)).select("frame_no", "n_points", "n_cells")
 
 
+def _named_iou(spark, d):
+    classes = config.class_table(spark).select("class_id", "name")
+    return ev.iou_per_class(ev.confusion(_active(spark, d))).join(F.broadcast(classes), "class_id")
+
+
+def iou_chart(spark, d):
+    """Bars of the class chart: classes with true points, worst first."""
+    return _named_iou(spark, d).filter("class_id > 0 and gt_points > 0").select("name", "iou", F.format_string("%.1f", F.col("iou") * 100).alias("label")).orderBy("iou", "name")
+
+
+def chart_rows(spark, d):
+    """Shares of the confusion chart that get a label: at least one percent, one class hidden."""
+    shares = ev.row_normalized(ev.confusion(_active(spark, d)))
+    return shares.filter("gt <> 5 and pred <> 5 and share >= 0.01").select("gt", "pred", F.round(F.col("share") * 100, 6).alias("percent"))
+
+
+def class_summary(spark, d):
+    """Per class: IoU (null where absent), true points, and points predicted though absent."""
+    there = F.col("gt_points") > 0
+    return _named_iou(spark, d).filter("class_id > 0").select("name", F.when(there, F.col("iou")).alias("iou"), "gt_points", F.when(~there & (F.col("pred_points") > 0), F.col("pred_points")).alias("absent_predicted"))
+
+
+def eval_frames(spark, d):
+    """Segmentation measures of every frame beside its grid measures."""
+    return ev.frame_accuracy(_active(spark, d)).select("frame_no", "accuracy", "car_iou").join(grid_frame_accuracy(spark, d).select("frame_no", F.col("accuracy").alias("grid_cell_accuracy")), "frame_no", "left")
+
+
+def segment_offsets(spark, d):
+    """Cells of a frame in key order: their index and the first of their points."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("frame_no").orderBy("key")
+    c = _cells(spark, d)
+    return c.select("frame_no", "key", (F.row_number().over(w) - 1).alias("segment"), (F.sum("point_count").over(w) - F.col("point_count")).cast("long").alias("offset"))
+
+
+def size_labels(spark, d):
+    c = _cells(spark, d).groupBy("level").agg(F.count("*").alias("n"))
+    size = F.lit(5) * F.expr("shiftleft(1, 3 - level)")
+    return c.select(F.concat(size.cast("string"), F.lit(" cm")).alias("size"), "n")
+
+
+def typed_cells(spark, d):
+    """The matrix form of the cells cast back to the record's types."""
+    return _cells(spark, d).select("frame_no", "key", F.col("level").cast("double").cast("int").alias("level"), F.col("semantic_class").cast("double").cast("int").alias("semantic_class"), F.col("semantic_priority").cast("double").cast("int").alias("semantic_priority"), "point_count")
+
+
+def dense_confusion(spark, d):
+    from stratavox.sources.tables import dense_confusion as dense
+
+    m = dense(ev.confusion(_active(spark, d)))
+    return m.select("gt", *[F.col(str(k)).alias(f"p{k}") for k in range(config.N_CLASSES)])
+
+
+def class_table_json(spark, d):
+    return config.class_table(spark).select("class_id", F.to_json(F.struct(F.col("class_id").alias("id"), "name", "color")).alias("json"))
+
+
+def bookmarks(spark, d):
+    """Best accuracy, car and person frames of a clip, by true classes."""
+    return rp.record_frames(ev.frame_accuracy(_active(spark, d)), min_car=1, min_person=1)
+
+
 QUERIES = {
+    "iou_chart": iou_chart,
+    "chart_rows": chart_rows,
+    "class_summary": class_summary,
+    "eval_frames": eval_frames,
+    "segment_offsets": segment_offsets,
+    "size_labels": size_labels,
+    "typed_cells": typed_cells,
+    "dense_confusion": dense_confusion,
+    "class_table_json": class_table_json,
+    "bookmarks": bookmarks,
     "load_filter_valid": load_filter_valid,
     "learning_map": learning_map,
     "frame_listing": frame_listing,

@@ -93,3 +93,32 @@ def test_rounding_is_half_even_and_clipped(spark):
     df = spark.createDataFrame([(2.5, 1e9), (3.5, -1e9)], "a double, b double")
     got = df.select(quantize(F.col("a"), 1.0, UINT8), quantize(F.col("b"), 100.0, INT16)).collect()
     assert [tuple(r) for r in got] == [(2, 32767), (4, -32768)]
+
+
+def test_tables(spark, tmp_path):
+    from stratavox.sources import tables
+
+    df = spark.createDataFrame([("000007", 1.5), ("000010", float("nan"))], "frame string, accuracy double")
+    tables.write_frames(df.na.drop(), f"{tmp_path}/csv")
+    assert tables.read_frames(spark, f"{tmp_path}/csv", "frame string, accuracy double").first().frame == "000007"
+    tables.write_json(df, f"{tmp_path}/json")
+    got = {r.frame: r.accuracy for r in tables.read_summary(spark, f"{tmp_path}/json", "frame string, accuracy double").collect()}
+    assert got == {"000007": 1.5, "000010": None}
+    assert tables.read_summary(spark, f"{tmp_path}/none", "frame string") is None
+    cm = spark.createDataFrame([(1, 1, 5), (1, 9, 2), (9, 9, 7)], "gt int, pred int, n long")
+    tables.write_confusion(cm, f"{tmp_path}/cm")
+    dense = tables.dense_confusion(spark.read.parquet(f"{tmp_path}/cm")).collect()
+    assert dense[0]["9"] == 2 and dense[1]["1"] == 0
+    with open(f"{tmp_path}/manifest.json", "w") as f:
+        f.write('{"classes": [], "frames": [{"frame_no": 3, "lite_bytes": 1, "full_bytes": 2, "cells": 9}]}')
+    row = tables.read_manifest(spark, f"{tmp_path}/manifest.json").withColumn("url", tables.frame_url("http://h/c/", F.lit("lite"), F.lpad(F.col("frame_no").cast("string"), 6, "0"))).first()
+    assert row.cells == 9 and row.url == "http://h/c/frames/lite/000003.lgf.gz"
+
+
+def test_sensor_config_keeps_defaults():
+    from stratavox.config import SensorConfig
+    from stratavox.sources.tables import sensor_config
+
+    assert sensor_config(None) == SensorConfig() == sensor_config("{broken")
+    got = sensor_config('{"dataset": {"sensor": {"fov_up": 2.0, "img_prop": {"width": 1024}}}, "post": {"KNN": {"params": {"knn": 7}}}}')
+    assert (got.width, got.fov_up_deg, got.knn, got.height) == (1024, 2.0, 7, 64)
