@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import WORD, map_batches, mix64, shared_dir, table, window_hashes, word_hashes, written
+from stratavox.llm.common import WORD, map_batches, mix64, range_hashes, shared_dir, table, window_hashes, word_hashes, written
 
 WINDOW = 35
 #: Words of a gram whose hash picks a window's place in the index.
@@ -73,22 +73,28 @@ def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(fp, id, first, last) of every document of (id, text)."""
+    """(fp, around, id, first, last) of every document of (id, text); ``around`` is
+    the hash of all words of the row's windows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = batch.column(0), []
         for t in batch.column(1).to_pylist():
             words = WORD.findall(t or "")
-            found.append(anchors(word_hashes(words), window, gram) if len(words) >= window else None)
+            if len(words) < window:
+                found.append(None)
+                continue
+            h = word_hashes(words)
+            fp, _, first, last = anchors(h, window, gram)
+            found.append((fp, range_hashes(h, first, last + window, _BASE_1), first, last))
         row = np.repeat(np.arange(len(found)), [0 if x is None else len(x[0]) for x in found])
         parts = [x for x in found if x is not None]
         cat = lambda k, t: np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(cat(0, np.uint64).view("i8")), ids.take(pa.array(row)), pa.array(cat(2, np.int64).astype("i4")), pa.array(cat(3, np.int64).astype("i4"))],
-            ["fp", "id", "first", "last"],
+            [pa.array(cat(0, np.uint64).view("i8")), pa.array(cat(1, np.uint64).view("i8")), ids.take(pa.array(row)), pa.array(cat(2, np.int64).astype("i4")), pa.array(cat(3, np.int64).astype("i4"))],
+            ["fp", "around", "id", "first", "last"],
         )
 
-    return map_batches(docs.select("id", "text"), run, "fp long, id long, first int, last int")
+    return map_batches(docs.select("id", "text"), run, "fp long, around long, id long, first int, last int")
 
 
 class FingerprintIndex:
@@ -105,7 +111,7 @@ class FingerprintIndex:
         self.runs: list[tuple[int, str]] = []
         self.hits: list[DataFrame] = []
 
-    SCHEMA = "fp long, id long, first int, last int"
+    SCHEMA = "fp long, around long, id long, first int, last int"
 
     def _write_run(self, rows: DataFrame, level: int) -> str:
         folder = f"{self.path}/run-{level}-{uuid.uuid4().hex}"
@@ -120,7 +126,7 @@ class FingerprintIndex:
         """``only``: ids to index; the others' fingerprints are dropped before they are written."""
         history = [f for _, f in self.runs]
         found = fingerprints(docs, self.window, self.gram)
-        fresh = self._read(self._write_run(found if only is None else found.join(only, "id", "left_semi").select("fp", "id", "first", "last"), 0))
+        fresh = self._read(self._write_run(found if only is None else found.join(only, "id", "left_semi").select("fp", "around", "id", "first", "last"), 0))
         own = fresh.groupBy("fp").agg(F.count("*").alias("n"))
         hits = own.filter("n > 1").select("fp")
         for folder in history:
@@ -158,11 +164,11 @@ class FingerprintIndex:
         hits = self.hits[0]
         for h in self.hits[1:]:
             hits = hits.unionByName(h)
-        return self.rows().join(hits.distinct(), "fp").select("id", "first", "last")
+        return self.rows().join(hits.distinct(), "fp")
 
 
 def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, id, at) of every candidate window of (id, text, spans, many)."""
+    """(h1, h2, id, at) of every candidate window of (id, text, spans)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, h1, h2, at = [], [], [], []
@@ -175,14 +181,14 @@ def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
             h2.append(window_hashes(mix64(h), window, _BASE_2)[on] >> np.uint64(32))
         cat = np.concatenate
         row = pa.array(cat(row))
-        return pa.RecordBatch.from_arrays([pa.array(cat(h1).view("i8")), pa.array(cat(h2).astype("u4").view("i4")), batch.column(0).take(row), batch.column(3).take(row), pa.array(cat(at).astype("i4"))], ["h1", "h2", "id", "many", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(h1).view("i8")), pa.array(cat(h2).astype("u4").view("i4")), batch.column(0).take(row), pa.array(cat(at).astype("i4"))], ["h1", "h2", "id", "at"])
 
-    return map_batches(candidates.select("id", "text", "spans", "many"), run, "h1 long, h2 int, id long, many boolean, at int")
+    return map_batches(candidates.select("id", "text", "spans"), run, "h1 long, h2 int, id long, at int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, whole, starts): for documents with repeated windows their starts, or
-    ``whole`` where an equal document repeats all of them."""
+    """(id, whole, spans): for documents with repeated windows the ranges [a, b] of
+    their starts, or ``whole`` where an equal document repeats all of them."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
 
@@ -196,20 +202,30 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
 
     marks = written(map_batches(base, summary, "id long, n long, mark binary").filter(F.col("n") >= window), "marks")
     classes = marks.groupBy("mark").agg(F.min("id").alias("rep"), (F.max("id") > F.min("id")).alias("many"))
-    reps = written(classes.select(F.col("rep").alias("id"), "many"), "reps")
+    reps = written(classes.select(F.col("rep").alias("id")), "reps")
+    # members of classes of several ids, their first one included
     copies = marks.join(classes.filter("many").select("mark"), "mark").select("id").distinct()
     index = FingerprintIndex(spark, f"{shared_dir(spark)}/stratavox-index-{uuid.uuid4().hex}", window)
     for b in range(batches):
-        index.append(base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), reps.select("id"))
-    spans = index.repeated().groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans")).join(reps, "id")
+        index.append(base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), reps)
+    found = written(index.repeated().select("fp", "around", "id", "first", "last"), "found")
+    # equal surroundings repeat each other in all their windows; one of them is
+    # compared with the other surroundings of its fingerprint, window by window
+    place = F.struct("id", "first")
+    kinds = found.groupBy("fp", "around").agg(F.min(place).alias("rep"), (F.min(place) < F.max(place)).alias("twice"))
+    mixed = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
+    plain = found.join(kinds.filter("twice").select("fp", "around"), ["fp", "around"]).select("id", F.col("first").alias("a"), F.col("last").alias("b"))
+    asked = found.join(kinds, ["fp", "around"]).filter((F.col("rep.id") == F.col("id")) & (F.col("rep.first") == F.col("first"))).join(mixed, "fp", "left_semi")
+    spans = asked.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     rows = written(_window_rows(base.join(spans, "id"), window), "windows")
     # rows that repeat an id give equal places, and are one document
-    place = F.struct("id", "at")
-    many = rows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("h1", "h2")
-    starts = rows.filter(~F.col("many")).join(many, ["h1", "h2"]).groupBy("id").agg(F.collect_list("at").alias("starts"))
+    at = F.struct("id", "at")
+    many = rows.groupBy("h1", "h2").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a < b").select("h1", "h2")
+    single = rows.join(many, ["h1", "h2"]).select("id", F.col("at").alias("a"), F.col("at").alias("b"))
     # windows of a document with copies repeat anyway: all of its words go
-    whole = copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
-    return whole.unionByName(starts.select("id", F.lit(False).alias("whole"), "starts"))
+    copied = copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    marked = plain.unionByName(single).join(copies, "id", "left_anti").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return copied.unionByName(marked.select("id", F.lit(False).alias("whole"), "spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
@@ -218,23 +234,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     kept = [c for c in keep or [] if c != id_col]
     marks = repeated_windows(docs, window, batches, id_col, text_col)
     source = docs.select(F.col(id_col), *kept, F.col(text_col).alias("_dedup_text"), F.col(id_col).cast("long").alias("_dedup_id"))
-    source = source.join(marks.select(F.col("id").alias("_dedup_id"), "whole", "starts"), "_dedup_id", "left").drop("_dedup_id")
+    source = source.join(marks.select(F.col("id").alias("_dedup_id"), "whole", "spans"), "_dedup_id", "left").drop("_dedup_id")
     names = [id_col, *kept]
     n_kept = len(names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept]) + ", n_words long, n_removed long, " + ("kept_sha256 string" if digest else "clean_text string")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, gone, out = [], [], []
-        for t, whole, starts in zip(*(batch.column(n_kept + k).to_pylist() for k in range(3))):
+        for t, whole, spans in zip(*(batch.column(n_kept + k).to_pylist() for k in range(3))):
             words = WORD.findall(t or "")
             left = words
             if whole:
                 left = []
-            elif starts:
+            elif spans:
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.array(starts, np.int64))
-                edge[at] += 1
-                edge[at + window] -= 1
+                np.add.at(edge, [s["a"] for s in spans], 1)
+                np.add.at(edge, [s["b"] + window for s in spans], -1)
                 left = [w for w, c in zip(words, np.cumsum(edge)[:-1].tolist()) if not c]
             total.append(len(words))
             gone.append(len(words) - len(left))
