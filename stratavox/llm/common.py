@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratavox-{label}-{uuid.uuid4().hex}"
@@ -88,6 +88,24 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+#: Rows that a block has at least, where a large group is divided to spread it.
+LEAST_BLOCK = 64
+
+
+def in_blocks(rows: DataFrame, size: str, id_col: str, block: int, spread_from: int, spread: int) -> DataFrame:
+    """Copies of each row for every pair (x, y) of blocks of its group that needs it.
+
+    A group of up to ``spread_from`` rows is one pair (0, 0). A larger one has
+    enough blocks that each holds ``block`` rows on average at most, and ``spread``
+    of them if they don't get too small.
+    """
+    blocks = F.when(F.col(size) <= spread_from, F.lit(1)).otherwise(F.greatest(F.lit(2), F.ceil(F.col(size) / block), F.least(F.lit(spread), F.ceil(F.col(size) / LEAST_BLOCK)))).cast("int")
+    rows = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: (j != F.col("_b")) | (F.col("_n") == 1))
+    rows = rows.withColumn("_o", F.explode(others))
+    return rows.withColumns({"x": F.least("_b", "_o"), "y": F.greatest("_b", "_o")}).drop("_n", "_b", "_o")
+
+
 class WordHash:
     """Deterministic 64-bit hash of words with a bounded per-worker memory."""
 

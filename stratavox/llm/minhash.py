@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import ASCII_LOWER, WORD, map_batches, mix64, sorted_groups, table, window_hashes, word_hashes, written
+from stratavox.llm.common import ASCII_LOWER, LEAST_BLOCK, WORD, in_blocks, map_batches, mix64, sorted_groups, table, window_hashes, word_hashes, written
 from stratavox.llm.components import components
 
 WORDS = 5
@@ -45,7 +45,7 @@ MATCHES = 32
 #: Most rows of a posting list, and most documents of a family, in one block.
 LIST_BLOCK, FAMILY_BLOCK = 2048, 1024
 #: Large groups are divided at least so far that one of them spreads over tasks.
-LIST_SPREAD, FAMILY_SPREAD, LEAST_BLOCK = 6, 24, 64
+LIST_SPREAD, FAMILY_SPREAD = 6, 24
 
 _SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BASE = 0x2545F4914F6CDD1D
@@ -161,20 +161,6 @@ def posting_links(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, size: str, id_col: str, block: int, spread_from: int, spread: int) -> DataFrame:
-    """Copies of each row for every pair (x, y) of blocks of its group that needs it.
-
-    A group of up to ``spread_from`` rows is one pair (0, 0). A larger one has
-    enough blocks that each holds ``block`` rows on average at most, and ``spread``
-    of them if they don't get too small.
-    """
-    blocks = F.when(F.col(size) <= spread_from, F.lit(1)).otherwise(F.greatest(F.lit(2), F.ceil(F.col(size) / block), F.least(F.lit(spread), F.ceil(F.col(size) / LEAST_BLOCK)))).cast("int")
-    rows = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: (j != F.col("_b")) | (F.col("_n") == 1))
-    rows = rows.withColumn("_o", F.explode(others))
-    return rows.withColumns({"x": F.least("_b", "_o"), "y": F.greatest("_b", "_o")}).drop("_n", "_b", "_o")
-
-
 def _forest_of_sets(ids: np.ndarray, size: np.ndarray, sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
     """Spanning forest of the links of a block, by an inverted index of shingles."""
     n = len(ids)

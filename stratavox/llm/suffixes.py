@@ -33,12 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import map_batches, mix64, range_hashes, sorted_groups, table, written
+from stratavox.llm.common import in_blocks, map_batches, mix64, range_hashes, sorted_groups, table, written
 from stratavox.llm.substring import anchors
 
 LENGTH = 100
 GRAM = 20
 STEP = 10
+#: A fingerprint with more distinct surroundings is compared in pairs of blocks.
+BLOCK, SPREAD = 512, 8
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xC2B2AE3D27D4EB4F
 
@@ -259,7 +261,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     rows = written(repeats(byte_anchors(base, length, gram)), "repeats")
     plain = rows.filter("not open").select("id", F.col("first").alias("a"), (F.col("last") + 1).alias("b"))
-    asked = rows.filter("open").groupBy("id").agg(F.collect_list(F.struct("fp", "first", "last", "place")).alias("spans"))
+    unsettled = rows.filter("open").select("fp", "id", "first", "last", "place")
+    sizes = unsettled.groupBy("fp").agg(F.count("*").alias("m"))
+    asked = unsettled.join(sizes, "fp").groupBy("id").agg(F.collect_list(F.struct("fp", "first", "last", "place", "m")).alias("spans"))
 
     def surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, values = [], []
@@ -267,14 +271,16 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
             raw = t.encode("utf-8", "surrogatepass")
             for s in spans:
                 row.append(k)
-                values.append((s["fp"], s["first"], s["place"] - s["first"], raw[s["first"] : s["last"] + length]))
-        fp, first, place, text = zip(*values)
-        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(first, pa.int32()), pa.array(place, pa.int32()), pa.array(text, pa.binary())], ["fp", "id", "first", "place", "around"])
+                values.append((s["fp"], s["m"], s["first"], s["place"] - s["first"], raw[s["first"] : s["last"] + length]))
+        fp, m, first, place, text = zip(*values)
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(m, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(first, pa.int32()), pa.array(place, pa.int32()), pa.array(text, pa.binary())], ["fp", "m", "id", "first", "place", "around"])
 
-    near = map_batches(base.join(asked, "id").select("id", "text", "spans"), surroundings, "fp long, id long, first int, place int, around binary")
+    near = map_batches(base.join(asked, "id").select("id", "text", "spans"), surroundings, "fp long, m long, id long, first int, place int, around binary")
+    # every two surroundings meet in some pair of blocks, so none is missed
+    near = in_blocks(near, "m", "id", BLOCK, BLOCK, SPREAD).select("fp", "x", "y", "id", "first", "place", "around")
 
     def compare(batches):
-        for g in sorted_groups(batches, ["fp"]):
+        for g in sorted_groups(batches, ["fp", "x", "y"]):
             places, texts = g.column("place").to_pylist(), g.column("around").to_pylist()
             ids, first = g.column("id").to_pylist(), g.column("first").to_pylist()
             once = [k for k in range(len(ids)) if not k or (ids[k], first[k]) != (ids[k - 1], first[k - 1])]
@@ -289,7 +295,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["id", "a", "b"])
 
-    compared = near.repartition("fp").sortWithinPartitions("fp", "id", "first").mapInArrow(compare, "id long, a int, b int")
+    compared = near.repartition("fp", "x", "y").sortWithinPartitions("fp", "x", "y", "id", "first").mapInArrow(compare, "id long, a int, b int")
     return plain.unionByName(compared).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 

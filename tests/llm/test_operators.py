@@ -469,3 +469,14 @@ def test_pipeline_takes_empty_input(spark, tmp_path):
     for _, stage in cp.STAGES:
         now = stage(spark, now, d)
     assert now.count() == 0
+
+
+def test_suffix_dedup_of_a_large_group(spark, monkeypatch):
+    """One passage in many different surroundings, compared in pairs of blocks."""
+    from stratavox.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "BLOCK", 40)
+    r, core = random.Random(6), passage(31, 40)
+    data = [(i, passage(1000 + i, 5) + " " + core[r.randrange(20) : len(core) - r.randrange(20)] + " " + passage(2000 + i, 5)) for i in range(150)]
+    got = rows(suffixes.suffix_dedup(spark.createDataFrame(data, "doc_id long, text string"), digest=True))
+    assert {i: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for i, g in got.items()} == suffix_brute(dict(data))
