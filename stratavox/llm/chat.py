@@ -151,8 +151,8 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None) -> DataFra
     calls = tools.filter("kind = 'call' and nth = 1 and call_id is not null").select("conv_id", "call_id", F.col("turn").alias("on_turn"), F.col("place").alias("on_place"))
     results = tools.filter("kind = 'result' and nth = 1").select("conv_id", "call_id", F.col("turn").alias("on_turn"), F.col("place").alias("on_place"))
     key = ["conv_id", "turn", "place"]
-    after_call = tools.filter("kind = 'result' and nth = 1").select(*key, "call_id").join(calls, ["conv_id", "call_id"])
-    linked_results = results.join(calls.select("conv_id", "call_id"), ["conv_id", "call_id"])
+    after_call = tools.filter("kind = 'result' and nth = 1").select(*key, "call_id").join(calls.hint("shuffle_hash"), ["conv_id", "call_id"])
+    linked_results = results.join(calls.select("conv_id", "call_id").hint("shuffle_hash"), ["conv_id", "call_id"])
     after_result = tools.filter("kind = 'call'").select(*key, F.explode(F.array_distinct("refs")).alias("call_id")).join(linked_results, ["conv_id", "call_id"])
     edges = written(after_call.unionByName(after_result).select(*key, "on_turn", "on_place"), "chat-edges")
     levels = _levels(tools.select(*key).distinct(), edges)

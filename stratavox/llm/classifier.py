@@ -32,7 +32,7 @@ SAMPLE = 6000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-6, 1e-6
 #: N-gram indicators are means; this scale keeps gradients of usual size.
-SCALE = 8.0
+SCALE = 16.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
