@@ -128,7 +128,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -
     weight = {1: len(rows) / (2 * positives), 0: len(rows) / (2 * (len(rows) - positives))}
     for _ in range(epochs):
         for index, value, y in rows:
-            i, x = np.append(index, size), np.append(value, 1.0)
+            i, x = np.append(index, size), np.append(value.astype(np.float64), 1.0)
             w = weights(z[i], n[i])
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * weight[y] * x
@@ -159,9 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             value.append((SCALE * c / max(len(f), 1)).astype("f4"))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], [id_col, "y", "i", "v"])
 
-    got = map_batches(rows, run, f"{id_col} {kind}, y int, i array<int>, v array<float>").toArrow().to_pydict()
-    order = sorted(range(len(got["y"])), key=lambda k: (int(mix64(np.array([hash(got[id_col][k]) & (2**64 - 1)], np.uint64))[0]), str(got[id_col][k])))
-    return ftrl([(np.array(got["i"][k], np.int64), np.array(got["v"][k], np.float64), got["y"][k]) for k in order])
+    got = map_batches(rows, run, f"{id_col} {kind}, y int, i array<int>, v array<float>").toArrow()
+    # flat arrays: a few bytes a feature on the driver
+    parts = [got.column(c).combine_chunks() for c in range(4)]
+    ids, label = parts[0].to_pylist(), parts[1].to_numpy()
+    at, index, value = parts[2].offsets.to_numpy(), parts[2].values.to_numpy(), parts[3].values.to_numpy()
+    del got, parts
+    order = sorted(range(len(ids)), key=lambda k: (int(mix64(np.array([hash(ids[k]) & (2**64 - 1)], np.uint64))[0]), str(ids[k])))
+    return ftrl([(index[at[k] : at[k + 1]], value[at[k] : at[k + 1]], int(label[k])) for k in order])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
