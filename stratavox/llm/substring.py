@@ -14,10 +14,11 @@ A window that also starts anywhere else goes, in all its places, so a batch
 may mark words of earlier batches; ``marks`` reads the index once all batches
 are in.
 
-Documents with equal words form a class first; its members' windows all repeat
-each other, so only one of them enters the index, flagged as repeated. A
-passage that a third of all documents share costs rows of counts that combine
-before the shuffle, and joins that adaptive execution can split.
+Occurrences with equal surroundings (all words of the row's windows), as copies
+have, repeat each other without a further look; only one per distinct
+surrounding is compared window by window. A passage that a third of all
+documents share costs rows of minima that combine before the shuffle, and joins
+that adaptive execution can split.
 
 Cases: null texts have no words; texts shorter than a window keep all words; a
 text may repeat itself; rows with one id are taken as one document; rows with
@@ -40,7 +41,7 @@ WINDOW = 35
 GRAM = 10
 BATCHES = 3
 #: Runs of like size that are merged into one.
-FAN_IN = 3
+FAN_IN = 2
 _GRAM_BASE, _BASE_1, _BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
@@ -98,73 +99,71 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in a folder, merged as they grow.
+    """Sorted immutable runs in a shared folder, merged as they grow.
 
-    ``append`` adds a batch of documents (id, text) and returns the
-    fingerprints that it shares with itself or with history; ``repeated`` has
-    all rows of the index whose fingerprint occurs more than once.
+    A run is a table in buckets of fingerprints, each sorted, so runs meet in
+    merge joins without an exchange. ``append`` adds a batch of documents (id,
+    text) and returns the fingerprints that it shares with itself or with
+    history; ``repeated`` has all rows of the index whose fingerprint occurs
+    more than once.
     """
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN) -> None:
         self.spark, self.path, self.window, self.gram, self.fan_in = spark, path, window, gram, fan_in
-        #: (level, folder) of every live run, oldest first.
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: (level, table) of every live run, oldest first.
         self.runs: list[tuple[int, str]] = []
         self.hits: list[DataFrame] = []
 
-    SCHEMA = "fp long, around long, id long, first int, last int"
+    def _write_run(self, rows: DataFrame, level: int) -> DataFrame:
+        name = f"stratavox_run_{uuid.uuid4().hex}"
+        # one file a bucket: the exchange deals rows as the buckets do
+        dealt = rows.repartition(self.buckets, "fp")
+        dealt.write.option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+        self.runs.append((level, name))
+        return self.spark.table(name)
 
-    def _write_run(self, rows: DataFrame, level: int) -> str:
-        folder = f"{self.path}/run-{level}-{uuid.uuid4().hex}"
-        rows.repartition("fp").sortWithinPartitions("fp").write.option("compression", "zstd").parquet(folder)
-        self.runs.append((level, folder))
-        return folder
-
-    def _read(self, folder: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(folder)
-
-    def append(self, docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        """``only``: ids to index; the others' fingerprints are dropped before they are written."""
-        history = [f for _, f in self.runs]
-        found = fingerprints(docs, self.window, self.gram)
-        fresh = self._read(self._write_run(found if only is None else found.join(only, "id", "left_semi").select("fp", "around", "id", "first", "last"), 0))
-        own = fresh.groupBy("fp").agg(F.count("*").alias("n"))
-        hits = own.filter("n > 1").select("fp")
-        for folder in history:
-            met = own.select("fp").hint("merge").join(self._read(folder).select("fp").distinct(), "fp")
-            hits = hits.unionByName(met)
-        hits = written(hits.distinct(), "hits")
-        self.hits.append(hits)
+    def append(self, docs: DataFrame) -> DataFrame:
         self._compact()
-        return hits
+        history = [name for _, name in self.runs]
+        own = self._write_run(fingerprints(docs, self.window, self.gram), 0).groupBy("fp").agg(F.count("*").alias("n"))
+        hits = own.filter("n > 1").select("fp")
+        for name in history:
+            hits = hits.unionByName(own.select("fp").hint("merge").join(self.spark.table(name).select("fp").distinct(), "fp"))
+        self.hits.append(written(hits.distinct(), "hits"))
+        return self.hits[-1]
 
     def _compact(self) -> None:
-        """Merges ``fan_in`` runs of a level into one of the next. Replaced runs stay
-        on disk, as running queries may read them."""
+        """Merges ``fan_in`` runs of a level into one of the next, before the next batch
+        comes. All hits so far are written out, so replaced runs can go."""
         level = 0
-        while True:
+        while any(r[0] >= level for r in self.runs):
             same = [r for r in self.runs if r[0] == level]
-            if len(same) < self.fan_in:
-                if not any(r[0] > level for r in self.runs):
-                    return
-            else:
+            if len(same) >= self.fan_in:
+                merged = self.spark.table(same[0][1])
+                for _, name in same[1:]:
+                    merged = merged.unionByName(self.spark.table(name))
                 self.runs = [r for r in self.runs if r[0] != level]
-                merged = self._read(same[0][1])
-                for _, folder in same[1:]:
-                    merged = merged.unionByName(self._read(folder))
                 self._write_run(merged, level + 1)
+                for _, name in same:
+                    self._drop(name)
             level += 1
 
-    def rows(self) -> DataFrame:
-        out = self._read(self.runs[0][1])
-        for _, folder in self.runs[1:]:
-            out = out.unionByName(self._read(folder))
-        return out
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def repeated(self) -> DataFrame:
         hits = self.hits[0]
         for h in self.hits[1:]:
             hits = hits.unionByName(h)
-        return self.rows().join(hits.distinct(), "fp")
+        hits = written(hits.distinct(), "all-hits")
+        found = [self.spark.table(name).join(hits, "fp") for _, name in self.runs]
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out
 
 
 def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
@@ -187,45 +186,27 @@ def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, whole, spans): for documents with repeated windows the ranges [a, b] of
-    their starts, or ``whole`` where an equal document repeats all of them."""
+    """(id, spans): for documents with repeated windows the ranges [a, b] of their starts."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-
-    def summary(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, mark = [], []
-        for t in batch.column(1).to_pylist():
-            words = WORD.findall(t or "")
-            n.append(len(words))
-            mark.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary())], ["id", "n", "mark"])
-
-    marks = written(map_batches(base, summary, "id long, n long, mark binary").filter(F.col("n") >= window), "marks")
-    classes = marks.groupBy("mark").agg(F.min("id").alias("rep"), (F.max("id") > F.min("id")).alias("many"))
-    reps = written(classes.select(F.col("rep").alias("id")), "reps")
-    # members of classes of several ids, their first one included
-    copies = marks.join(classes.filter("many").select("mark"), "mark").select("id").distinct()
     index = FingerprintIndex(spark, f"{shared_dir(spark)}/stratavox-index-{uuid.uuid4().hex}", window)
     for b in range(batches):
-        index.append(base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), reps)
+        index.append(base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
     found = written(index.repeated().select("fp", "around", "id", "first", "last"), "found")
     # equal surroundings repeat each other in all their windows; one of them is
     # compared with the other surroundings of its fingerprint, window by window
     place = F.struct("id", "first")
     kinds = found.groupBy("fp", "around").agg(F.min(place).alias("rep"), (F.min(place) < F.max(place)).alias("twice"))
     mixed = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
+    # rows that repeat an id give equal places, and are one document
     plain = found.join(kinds.filter("twice").select("fp", "around"), ["fp", "around"]).select("id", F.col("first").alias("a"), F.col("last").alias("b"))
     asked = found.join(kinds, ["fp", "around"]).filter((F.col("rep.id") == F.col("id")) & (F.col("rep.first") == F.col("first"))).join(mixed, "fp", "left_semi")
     spans = asked.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     rows = written(_window_rows(base.join(spans, "id"), window), "windows")
-    # rows that repeat an id give equal places, and are one document
     at = F.struct("id", "at")
     many = rows.groupBy("h1", "h2").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a < b").select("h1", "h2")
     single = rows.join(many, ["h1", "h2"]).select("id", F.col("at").alias("a"), F.col("at").alias("b"))
-    # windows of a document with copies repeat anyway: all of its words go
-    copied = copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
-    marked = plain.unionByName(single).join(copies, "id", "left_anti").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return copied.unionByName(marked.select("id", F.lit(False).alias("whole"), "spans"))
+    return plain.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
@@ -234,19 +215,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     kept = [c for c in keep or [] if c != id_col]
     marks = repeated_windows(docs, window, batches, id_col, text_col)
     source = docs.select(F.col(id_col), *kept, F.col(text_col).alias("_dedup_text"), F.col(id_col).cast("long").alias("_dedup_id"))
-    source = source.join(marks.select(F.col("id").alias("_dedup_id"), "whole", "spans"), "_dedup_id", "left").drop("_dedup_id")
+    source = source.join(marks.select(F.col("id").alias("_dedup_id"), "spans"), "_dedup_id", "left").drop("_dedup_id")
     names = [id_col, *kept]
     n_kept = len(names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept]) + ", n_words long, n_removed long, " + ("kept_sha256 string" if digest else "clean_text string")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, gone, out = [], [], []
-        for t, whole, spans in zip(*(batch.column(n_kept + k).to_pylist() for k in range(3))):
+        for t, spans in zip(*(batch.column(n_kept + k).to_pylist() for k in range(2))):
             words = WORD.findall(t or "")
             left = words
-            if whole:
-                left = []
-            elif spans:
+            if spans:
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, [s["a"] for s in spans], 1)
                 np.add.at(edge, [s["b"] + window for s in spans], -1)

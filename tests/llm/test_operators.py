@@ -242,6 +242,7 @@ def test_fingerprint_index_merges_runs(spark, tmp_path):
         batch = spark.createDataFrame([(k, t if k in (0, 3) else passage(50 + k, 90))], "id long, text string")
         hits.append(index.append(batch).count())
     assert hits[:3] == [0, 0, 0] and hits[3] > 0
+    index._compact()
     assert [level for level, _ in index.runs] == [2]
     assert {r.id for r in index.repeated().collect()} == {0, 3}
 
