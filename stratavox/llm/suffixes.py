@@ -40,7 +40,9 @@ LENGTH = 100
 GRAM = 20
 STEP = 10
 #: A fingerprint with more distinct surroundings is compared in pairs of blocks.
-BLOCK, SPREAD = 512, 8
+#: The array is linear and the pairs aren't, so blocks are as large as memory
+#: allows: two of them are some 5 MB of text.
+BLOCK, SPREAD = 16384, 2
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xC2B2AE3D27D4EB4F
 
