@@ -73,9 +73,27 @@ def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return grams[at], at, first, last
 
 
+def within(fp: np.ndarray, around: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list]:
+    """Rows that stand for a document's equal ones, and where those are: ranges [a, b]
+    of windows, or None. A word said a thousand times is one row and one range."""
+    key = mix64(fp) + around
+    _, lead, group, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    again: list = [None] * len(lead)
+    if len(lead) < len(key):
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(size)
+        for g in np.flatnonzero(size > 1).tolist():
+            rows = order[ends[g] - size[g] + 1 : ends[g]]
+            a, b = first[rows], last[rows]
+            cut = np.flatnonzero(a[1:] > b[:-1] + 1)
+            again[g] = [{"a": int(x), "b": int(y)} for x, y in zip(a[np.append(0, cut + 1)], b[np.append(cut, len(b) - 1)])]
+    return lead, again
+
+
 def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(fp, around, id, first, last) of every document of (id, text); ``around`` is
-    the hash of all words of the row's windows."""
+    """(fp, around, id, first, last, again) of every document of (id, text);
+    ``around`` is the hash of all words of the row's windows, ``again`` the windows
+    of the same document that are equal to them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = batch.column(0), []
@@ -86,16 +104,18 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 continue
             h = word_hashes(words)
             fp, _, first, last = anchors(h, window, gram)
-            found.append((fp, range_hashes(h, first, last + window, _BASE_1), first, last))
+            around = range_hashes(h, first, last + window, _BASE_1)
+            lead, again = within(fp, around, first, last)
+            found.append((fp[lead], around[lead], first[lead], last[lead], again))
         row = np.repeat(np.arange(len(found)), [0 if x is None else len(x[0]) for x in found])
         parts = [x for x in found if x is not None]
         cat = lambda k, t: np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(cat(0, np.uint64).view("i8")), pa.array(cat(1, np.uint64).view("i8")), ids.take(pa.array(row)), pa.array(cat(2, np.int64).astype("i4")), pa.array(cat(3, np.int64).astype("i4"))],
-            ["fp", "around", "id", "first", "last"],
+            [pa.array(cat(0, np.uint64).view("i8")), pa.array(cat(1, np.uint64).view("i8")), ids.take(pa.array(row)), pa.array(cat(2, np.int64).astype("i4")), pa.array(cat(3, np.int64).astype("i4")), pa.array([r for x in parts for r in x[4]], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
+            ["fp", "around", "id", "first", "last", "again"],
         )
 
-    return map_batches(docs.select("id", "text"), run, "fp long, around long, id long, first int, last int")
+    return map_batches(docs.select("id", "text"), run, "fp long, around long, id long, first int, last int, again array<struct<a:int,b:int>>")
 
 
 class FingerprintIndex:
@@ -126,8 +146,8 @@ class FingerprintIndex:
     def append(self, docs: DataFrame) -> DataFrame:
         self._compact()
         history = [name for _, name in self.runs]
-        own = self._write_run(fingerprints(docs, self.window, self.gram), 0).groupBy("fp").agg(F.count("*").alias("n"))
-        hits = own.filter("n > 1").select("fp")
+        own = self._write_run(fingerprints(docs, self.window, self.gram), 0).groupBy("fp").agg(F.count("*").alias("n"), F.max(F.col("again").isNotNull()).alias("self"))
+        hits = own.filter("n > 1 or self").select("fp")
         for name in history:
             hits = hits.unionByName(own.select("fp").hint("merge").join(self.spark.table(name).select("fp").distinct(), "fp"))
         self.hits.append(written(hits.distinct(), "hits"))
@@ -192,14 +212,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     index = FingerprintIndex(spark, f"{shared_dir(spark)}/stratavox-index-{uuid.uuid4().hex}", window)
     for b in range(batches):
         index.append(base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
-    found = written(index.repeated().select("fp", "around", "id", "first", "last"), "found")
+    found = written(index.repeated().select("fp", "around", "id", "first", "last", "again"), "found")
     # equal surroundings repeat each other in all their windows; one of them is
     # compared with the other surroundings of its fingerprint, window by window
     place = F.struct("id", "first")
-    kinds = found.groupBy("fp", "around").agg(F.min(place).alias("rep"), (F.min(place) < F.max(place)).alias("twice"))
+    kinds = found.groupBy("fp", "around").agg(F.min(place).alias("rep"), (F.max(F.col("again").isNotNull()) | (F.min(place) < F.max(place))).alias("twice"))
     mixed = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
     # rows that repeat an id give equal places, and are one document
-    plain = found.join(kinds.filter("twice").select("fp", "around"), ["fp", "around"]).select("id", F.col("first").alias("a"), F.col("last").alias("b"))
+    plain = found.join(kinds.filter("twice").select("fp", "around"), ["fp", "around"])
+    itself = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
+    plain = plain.select("id", F.inline(F.when(F.col("again").isNull(), itself).otherwise(F.concat(itself, "again"))))
     asked = found.join(kinds, ["fp", "around"]).filter((F.col("rep.id") == F.col("id")) & (F.col("rep.first") == F.col("first"))).join(mixed, "fp", "left_semi")
     spans = asked.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     rows = written(_window_rows(base.join(spans, "id"), window), "windows")

@@ -481,3 +481,16 @@ def test_suffix_dedup_of_a_large_group(spark, monkeypatch):
     data = [(i, passage(1000 + i, 5) + " " + core[r.randrange(20) : len(core) - r.randrange(20)] + " " + passage(2000 + i, 5)) for i in range(150)]
     got = rows(suffixes.suffix_dedup(spark.createDataFrame(data, "doc_id long, text string"), digest=True))
     assert {i: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for i, g in got.items()} == suffix_brute(dict(data))
+
+
+def test_substring_of_periodic_texts(spark):
+    """Words said a thousand times, in and across documents."""
+    from stratavox.llm.substring import anchors, substring_dedup, within
+
+    data = [(0, "the " * 900), (1, passage(3, 50) + " the" * 300), (2, "a b c " * 200), (3, "x " * 34), (4, "y " * 36), (5, passage(4, 60) + " c a b" * 15)]
+    got = rows(substring_dedup(spark.createDataFrame(data, "doc_id long, text string"), digest=True))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == substring_brute(dict(data), 35)
+    h = np.full(1000, 7, np.uint64)
+    fp, _, first, last = anchors(h, 35, 10)
+    lead, again = within(fp, fp, first, last)
+    assert len(lead) == 1 and again == [[{"a": 1, "b": 965}]]
