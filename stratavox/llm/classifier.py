@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import WORD, map_batches, mix64, table, word_hashes
+from stratavox.llm.common import WORD, map_batches, mix64, table
 
 BITS = 18
 #: Labelled rows that training uses, in expectation.
@@ -57,7 +58,7 @@ def shape(word: str) -> str:
 class Features:
     """Hashes texts to arrays of feature indices; words are remembered."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -73,8 +74,9 @@ class Features:
         if fresh:
             for w in fresh:
                 known[w] = len(known)
-            self.word = np.concatenate([self.word, word_hashes([w.lower() for w in fresh])])
-            self.form = np.concatenate([self.form, word_hashes(["\x00" + shape(w) for w in fresh])])
+            digest = xxhash.xxh3_64_intdigest
+            self.word = np.concatenate([self.word, np.array([digest(w.lower().encode("utf-8", "surrogatepass")) for w in fresh], np.uint64)])
+            self.form = np.concatenate([self.form, np.array([digest("\x00" + shape(w)) for w in fresh], np.uint64)])
         return np.array([known[w] for w in words], np.int64)
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -52,12 +52,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = fn(batch.slice(at, SLICE))
                 if out is not None and out.num_rows:
                     yield out
+        # workers are used again: what this task needed shouldn't add to the next one's
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
 #: Rows that one call of a batch function sees; texts of a slice fit in memory.
-SLICE = 2000
+SLICE = 1000
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -109,7 +111,7 @@ def in_blocks(rows: DataFrame, size: str, id_col: str, block: int, spread_from:
 class WordHash:
     """Deterministic 64-bit hash of words with a bounded per-worker memory."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __init__(self) -> None:
         import xxhash
