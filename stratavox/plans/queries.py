@@ -115,11 +115,17 @@ def throughput(spark, d):
     return t.select("points", "seconds", *[F.round(c, 6).alias(c) for c in ("points_per_s", "frames_per_s", "joules_per_frame")])
 
 
-def bench_left_accuracy(spark, d):
-    n = src.frame_timings(spark, d).filter("frame_no < 12").select(F.col("frame_no").cast("int").alias("frame_no"))
+def bench_accuracy(spark, d):
+    """Every benchmark frame beside its accuracy; null where it has no points."""
+    n = src.frame_timings(spark, d).select(F.col("frame_no").cast("int").alias("frame_no"))
     return n.join(ev.frame_accuracy(_active(spark, d)).select("frame_no", "accuracy"), "frame_no", "left")
 
 
+def bench_left_accuracy(spark, d):
+    """The frames of bench_accuracy that the query's SQL asks for: a subset."""
+    return bench_accuracy(spark, d).filter("frame_no < 12")
+
+
 def pred_class_points(spark, d):
     c = _cells(spark, d)
     of = lambda k, n: F.sum(F.when(F.col("semantic_class") == k, F.col("point_count")).otherwise(0.0)).cast("long").alias(n)
