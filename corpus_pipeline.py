@@ -34,9 +34,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates, the one of least id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id").select(*COLUMNS)
+    """One row of every group of near-duplicates, one of least id; rows without an id stay.
+
+    Ids may repeat, so rows are told apart by a number of their own.
+    """
+    # written once, so the numbers are fixed whatever executors are lost
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    known = rows.filter("doc_id is not null")
+    groups = near_duplicates(known, id_col="row").select("row", "component_id")
+    least = known.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    kept = known.join(least.select("least.row"), "row")
+    return kept.select(*COLUMNS).unionByName(rows.filter("doc_id is null").select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -462,6 +462,17 @@ def test_pipeline(spark):
         assert len(WORD.findall(t)) == want[i][0] - want[i][1]
 
 
+def test_near_stage_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline as cp
+
+    t, u, v = passage(1, 40), passage(2, 40), passage(3, 40)
+    data = [(5, t), (3, t), (3, t), (3, t), (4, u), (4, v), (None, t), (None, "a"), (None, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near(spark, df, "")
+    assert got.columns == cp.COLUMNS
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, t), (4, u), (4, v), *data[6:]]))
+
+
 def test_pipeline_takes_empty_input(spark, tmp_path):
     import corpus_pipeline as cp
 
