@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +105,8 @@ def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, ids, part, nth): ids are kept for
-    pieces shorter than a sequence; nth counts pieces of that length in the part."""
+    """(id, start, length, doc_tokens, ids, part, nth): nth counts pieces of that
+    length in the part."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4")
 
@@ -117,28 +116,26 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                row, start, length, crc, tokens, kept, nth = [], [], [], [], [], [], []
+                row, start, length, tokens, kept, nth = [], [], [], [], [], []
                 for k, ids in enumerate(token_ids(path, batch.column(1).to_pylist())):
                     ids = np.concatenate([ids, end])
                     for a in range(0, len(ids), capacity):
                         piece = ids[a : a + capacity]
                         n = len(piece)
-                        raw = piece.tobytes()
                         row.append(k)
                         start.append(a)
                         length.append(n)
-                        crc.append(zlib.crc32(raw))
                         tokens.append(len(ids))
-                        kept.append(raw if n < capacity else None)
+                        kept.append(piece.tobytes())
                         nth.append(count[n])
                         count[n] += 1
                 if row:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens)), pa.array(kept, pa.binary()), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())],
-                        [id_col, "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "nth"],
+                        [batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, tokens)), pa.array(kept, pa.binary()), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())],
+                        [id_col, "start", "length", "doc_tokens", "ids", "part", "nth"],
                     )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, part int, nth long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary, part int, nth long")
 
 
 def price(duals: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -239,12 +236,17 @@ def plan_sequences(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tu
 
 
 def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    """One row per piece: (id, start, length, doc_tokens, sequence_id, offset, ids, ids_crc32).
+
+    ids are the piece's tokens as little-endian unsigned integers of 32 bits; a
+    sequence is its pieces' ids by offset.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = written(cut_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    # of known size when the join is planned: where it's small, no ids are shuffled
+    base = written(counts.select("length", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base")), "ranks")
     ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base"))
     # at most ``capacity`` rows at any input size
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}
@@ -255,46 +257,38 @@ def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, end_i
     tail = max(used, -(-int(rest[-1, 3] + (rest[-1, 2] - rest[-1, 1]) * rest[-1, 0]) // capacity) if len(rest) else 0)
     runs = np.concatenate([runs, np.array([[capacity, 0, full, 1, tail, 0]], np.int64)])
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in columns[1:])
+    columns = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    schema = f"{id_col} {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     key = 1 << 40
+    # for the rest by length: its first rank and the token that one starts at
+    rest_rank, rest_token = np.zeros((2, capacity + 1), np.int64)
+    rest_rank[rest[:, 0]], rest_token[rest[:, 0]] = rest[:, 1], rest[:, 3]
 
     def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        length, rank = (batch.column(i).to_numpy() for i in (2, 5))
+        start, length, tokens, rank = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
         at = np.searchsorted(runs[:, 0] * key + runs[:, 1], length * key + rank, side="right") - 1
         own = runs[np.maximum(at, 0)]
         held = (at >= 0) & (own[:, 0] == length) & (rank < own[:, 2])
         nth = rank - own[:, 1]
-        sequence, offset = own[:, 4] + nth // own[:, 3], own[:, 5] + nth % own[:, 3] * length
-        keep = pa.array(held)
-        return pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:5]), pa.array(sequence[held]), pa.array(offset[held])], columns)
-
-    laid = map_batches(ranked.select(*columns[:5], "rank"), assign, schema)
-    if not len(rest):
-        return laid
-    by_length = {int(r[0]): r for r in rest}
-
-    def divide(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, values = [], []
-        rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)))
-        for k, (start, length, crc, tokens, rank, raw) in enumerate(rows):
-            _, first, _, base = by_length[length].tolist()
-            at = base + (rank - first) * length
-            cut = min(length, capacity - at % capacity)
-            if cut == length:
-                row.append(k)
-                values.append((start, length, crc, tokens, at // capacity, at % capacity))
-            else:
-                row += [k, k]
-                values.append((start, cut, zlib.crc32(raw[: 4 * cut]), tokens, at // capacity, at % capacity))
-                values.append((start + cut, length - cut, zlib.crc32(raw[4 * cut :]), tokens, at // capacity + 1, 0))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in zip(*values))], columns)
-
-    # the rest of a length are its last ranks; at most ``capacity`` lengths
-    last = F.try_element_at(F.create_map(*[F.lit(int(x)) for k, r in by_length.items() for x in (k, r[1])]), F.col("length").cast("int"))
-    cut = map_batches(ranked.filter(F.col("length") < capacity).filter(F.col("rank") >= F.coalesce(last, F.lit(1 << 60))).select(*columns[:5], "rank", "ids"), divide, schema)
-    return laid.unionByName(cut)
+        token = rest_token[length] + (rank - rest_rank[length]) * length
+        sequence = np.where(held, own[:, 4] + nth // own[:, 3], token // capacity)
+        offset = np.where(held, own[:, 5] + nth % own[:, 3] * length, token % capacity)
+        over = offset + length > capacity
+        if not over.any():
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(sequence), pa.array(offset), batch.column(5)], columns)
+        # what reaches over a sequence's end is two rows: up to it, and from it on
+        row = np.repeat(np.arange(len(over)), 1 + over)
+        second = np.append(False, row[1:] == row[:-1])
+        cut = np.where(over, capacity - offset, length)[row]
+        raw = batch.column(5).take(pa.array(row)).to_pylist()
+        ids = [r[4 * c :] if s else r[: 4 * c] for r, s, c in zip(raw, second.tolist(), cut.tolist())]
+        values = (start[row] + np.where(second, cut, 0), np.where(second, length[row] - cut, cut), tokens[row], sequence[row] + second, np.where(second, 0, offset[row]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, values), pa.array(ids, pa.binary())], columns)
+
+    packed = map_batches(ranked.select(*columns[:4], "rank", "ids"), assign, schema)
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    """The pieces with the digests of their ids in place of the ids."""
+    return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

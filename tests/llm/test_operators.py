@@ -324,6 +324,19 @@ def test_packing_wastes_little(spark):
     assert check_packing(pack(docs).collect(), docs) < 0.02
 
 
+def test_packing_returns_the_tokens(docs):
+    from stratavox.llm.packing import TokenIds, pack
+
+    texts = texts_of(docs)
+    want = {i: x.tolist() + [0] for i, x in zip(texts, TokenIds("byte_bpe_50k.json")(list(texts.values())))}
+    got, told = collections.defaultdict(list), pack(docs, capacity=100).collect()
+    for r in sorted(told, key=lambda r: (r.doc_id, r.start)):
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+        got[r.doc_id] += ids
+    assert got == want and any(r.length == 100 for r in told)
+
+
 def test_column_generation_reaches_the_bound():
     from stratavox.llm.packing import column_generation, plan_sequences
 
