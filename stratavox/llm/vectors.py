@@ -1,7 +1,7 @@
 """Operator 9: embedding near-dedup by collision-counting projections.
 
 Every vector is normalised and projected on ``PROJECTIONS`` random lines. On
-each line the rows are sorted, and a query's window holds the rows within
+each line a block's rows are sorted, and a query's window holds the rows within
 ``WIDTH`` of it. A pair collides on a line if one lies in the other's window;
 pairs with at least ``COLLISIONS`` collisions are verified by their cosine in
 double precision.
@@ -12,8 +12,7 @@ collides on a line with probability 0.967 at least, and on 24 of 32 lines with
 
 Equal vectors of a label form a class first. A label's classes are divided into
 blocks and every pair of blocks is a task, so a label with a third of all rows
-is spread; blocks whose ranges are apart on too many lines are skipped whole.
-Links leave a task as counts per vector and a spanning forest, never as pairs.
+is spread. Links leave a task as counts per vector and a spanning forest, never as pairs.
 
 Cases: null labels, null or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different length never link; equal
@@ -23,6 +22,8 @@ that repeat an id count as vectors of their own; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,34 +41,26 @@ def lines(dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, PROJECTIONS))
 
 
+def collisions(px: np.ndarray, py: np.ndarray) -> Iterator[np.ndarray]:
+    """For every row of px, on how many lines each row of py lies in its window."""
+    order = np.argsort(py, axis=0, kind="stable").T.copy()
+    low, high = (np.array([np.searchsorted(py[o, j], px[:, j] + shift, side) for j, o in enumerate(order)]).T for shift, side in ((-WIDTH, "left"), (WIDTH, "right")))
+    for a, b in zip(low.tolist(), high.tolist()):
+        yield np.bincount(np.concatenate([o[m:n] for o, m, n in zip(order, a, b)]), minlength=len(py))
+
+
 def block_links(x: np.ndarray, y: np.ndarray, similar: float) -> list[tuple[int, np.ndarray]]:
     """For rows of x the linked rows of y, by collision counts, then cosines."""
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     way = lines(x.shape[1])
     px, py = ((x / nx[:, None]) @ way).astype("f4"), ((y / ny[:, None]) @ way).astype("f4")
-    # rows in the order of the first line: near rows share a strip
-    ox, oy = np.argsort(px[:, 0], kind="stable"), np.argsort(py[:, 0], kind="stable")
     out = []
-    for a in range(0, len(ox), 128):
-        q = ox[a : a + 128]
-        low, high = px[q].min(0) - WIDTH, px[q].max(0) + WIDTH
-        for b in range(0, len(oy), 512):
-            c = oy[b : b + 512]
-            if ((py[c].min(0) <= high) & (py[c].max(0) >= low)).sum() < COLLISIONS:
-                continue
-            count = np.zeros((len(q), len(c)), np.int8)
-            for j in range(PROJECTIONS):
-                count += np.abs(px[q, j][:, None] - py[c, j][None, :]) <= WIDTH
-            i, k = np.nonzero(count >= COLLISIONS)
-            i, k = q[i], c[k]
-            cosine = np.einsum("ij,ij->i", x[i], y[k]) / (nx[i] * ny[k])
-            good = cosine >= similar
-            i, k = i[good], k[good]
-            order = np.argsort(i, kind="stable")
-            i, k = i[order], k[order]
-            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
-                if len(part):
-                    out.append((int(i[part[0]]), k[part]))
+    for i, count in enumerate(collisions(px, py)):
+        k = np.flatnonzero(count >= COLLISIONS)
+        cosine = np.einsum("ij,ij->i", np.broadcast_to(x[i], (len(k), x.shape[1])), y[k]) / (nx[i] * ny[k])
+        k = k[cosine >= similar]
+        if len(k):
+            out.append((i, k))
     return out
 
 

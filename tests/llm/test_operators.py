@@ -397,6 +397,16 @@ def test_vectors_in_blocks(spark):
     assert sum(len(k) for _, k in block_links(x, x, 0.93)) == want.sum() + 600
 
 
+def test_vectors_collide_in_windows():
+    from stratavox.llm.vectors import WIDTH, collisions
+
+    r = np.random.default_rng(8)
+    px, py = r.normal(size=(70, 32)).astype("f4"), r.normal(size=(90, 32)).astype("f4")
+    py[:9] = px[:9]
+    near = (py >= px[:, None] - WIDTH) & (py <= px[:, None] + WIDTH)
+    assert np.array_equal(np.array(list(collisions(px, py))), near.sum(axis=2))
+
+
 def test_sharding(docs, empty):
     from stratavox.llm.sharding import hilbert_index, hilbert_shards
 
