@@ -114,19 +114,23 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, id_col: str = "ve
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label_"), F.col(vector_col).cast("array<double>").alias("embedding"))
     code = F.xxhash64(F.col("label_").cast("string"))
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    usable = base.filter(F.col("id").isNotNull() & F.col("label_").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
-    usable = usable.select("id", code.alias("label"), F.size("embedding").alias("dim"), "embedding")
+    fit = F.col("id").isNotNull() & F.col("label_").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
+    base = base.withColumn("fit", F.coalesce(fit, F.lit(False)))
+    usable = base.filter("fit").select("id", code.alias("label"), F.size("embedding").alias("dim"), "embedding")
     grouped = usable.groupBy("label", "dim", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(grouped.select(F.col("rep").alias("id"), "copies", "label", "dim", "embedding"), "classes")
+    # classes have numbers of their own: ids may repeat, so a least id can be that of several
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("id"), "rep", "copies", "label", "dim", "embedding"), "classes")
     links = written(vector_links(classes, similar), "links")
     counts = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     found = components(links.filter("b is not null").select("a", "b"))
+    found = classes.select("id", "rep").join(found, F.col("id") == F.col("node")).select("node", "component", "rep")
+    found = found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
     marks = classes.join(counts, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
-    marks = marks.select("label", "dim", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    marks = marks.select("label", "dim", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     members = usable.join(marks, ["label", "dim", "embedding"]).select("id", "n_links", "component_id")
-    rest = base.select("id").join(members, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return rest.select(F.col("id").cast(vectors.schema[id_col].dataType).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # rows that link with nothing are added as they are: a join by id would multiply repeated ones
+    out = members.unionByName(base.filter("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").cast(vectors.schema[id_col].dataType).alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -407,6 +407,16 @@ def test_vectors_collide_in_windows():
     assert np.array_equal(np.array(list(collisions(px, py))), near.sum(axis=2))
 
 
+def test_vectors_of_repeated_ids(spark):
+    from stratavox.llm.vectors import near_vectors
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    data = [(2, a), (2, a), (2, b), (1, b), (3, c), (3, None), (3, None), (None, a), (None, a)]
+    df = spark.createDataFrame([(*r, 1) for r in data], "vec_id long, embedding array<double>, label int")
+    got = collections.Counter(tuple(r) for r in near_vectors(df).collect())
+    assert got == {(2, 1, 2, True): 2, (2, 1, 1, False): 1, (1, 1, 1, True): 1, (3, 0, 3, True): 3, (None, 0, None, True): 2}
+
+
 def test_sharding(docs, empty):
     from stratavox.llm.sharding import hilbert_index, hilbert_shards
 
