@@ -161,14 +161,19 @@ def grid_micro_batch(spark, d):
     return stream_to_table(spark, d)
 
 
-def frame_round_trip(spark, d):
-    """Frames encoded to bytes and decoded again."""
+def round_trip(spark, d, stride=1):
+    """Frames encoded to bytes and decoded again, with every point unless there's a stride."""
     from stratavox.sources.frames import decode_frames, encode_frames
 
-    p, c = quantize_points(src.points(spark, d), 3), quantize_cells(_cells(spark, d))
+    p, c = quantize_points(src.points(spark, d), stride), quantize_cells(_cells(spark, d))
     return decode_frames(encode_frames(p, c)).select("frame_no", "n_points", "n_cells")
 
 
+def frame_round_trip(spark, d):
+    """The round trip of every third point, as the query's SQL asks."""
+    return round_trip(spark, d, 3)
+
+
 def _named_iou(spark, d):
     classes = config.class_table(spark).select("class_id", "name")
     return ev.iou_per_class(ev.confusion(_active(spark, d))).join(F.broadcast(classes), "class_id")

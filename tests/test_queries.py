@@ -45,6 +45,14 @@ def test_bench_accuracy_joins_every_frame(spark, sf, duck):
     assert canonical(got) == canonical(duck.sql(whole).df())
 
 
+def test_round_trip_of_every_point(spark, sf, duck):
+    from stratavox.plans.queries import round_trip
+
+    whole = SQL["frame_round_trip"].replace(" WHERE seq % 3 = 0", "")
+    assert whole != SQL["frame_round_trip"]
+    assert canonical(round_trip(spark, sf).toPandas()) == canonical(duck.sql(whole).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
