@@ -5,8 +5,8 @@
    coordinate-value pairs. Two sets of similarity s share one of them with
    probability 1 - (1 - s) ** PREFIX (0.9999999 at 0.75), and agree in COORDINATES * s
    coordinates on average.
-3. In a posting list collisions are counted over whole signatures; a pair that
-   already met under an earlier coordinate is skipped. Pairs of at least
+3. In a posting list collisions are counted over whole signatures, again in each
+   list in which a pair meets. Pairs of at least
    ``MATCHES`` matches make a graph, of which only a spanning forest of each
    list is emitted: never all pairs of a list.
 4. A component of that graph is a family. Inside it all pairs are compared on
