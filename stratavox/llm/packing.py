@@ -4,10 +4,12 @@ Documents become token ids with an end id; whole sequences are cut off first,
 and what remains (1 to ``capacity`` - 1 tokens) is packed like stock to be cut:
 a linear program over patterns of lengths, its columns priced by a knapsack
 dynamic program over the length histogram. The histogram has at most
-``capacity`` bins at any input size, so the program runs on the driver. Rounded
-patterns are assigned to documents by their rank among pieces of their length;
-what rounding leaves over is laid end to end by length and rank and cut where a
-sequence ends, so only the last of all sequences has room left.
+``capacity`` bins at any input size, so the program runs on the driver. It
+starts from patterns filled longest length first, and ends by its gap alone.
+Rounded patterns are assigned to documents by their rank among pieces of their
+length; what rounding leaves over is filled into patterns of its own, and what
+fits into none is laid end to end and cut where a sequence ends, so only the
+last of all sequences has room left.
 
 Ranks come from counts of (length, input partition), so no length is gathered
 in one task even if a third of all rows have it. Pieces are written to the
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,11 @@ from stratavox.llm.common import map_batches, table, written
 CAPACITY = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Column generation ends at this relative gap to its lower bound.
-GAP = 2e-4
-#: Tokens of padding that a pattern may have.
-MAX_WASTE = 4
-MAX_COLUMNS = 2500
+#: Column generation ends at this relative gap to its lower bound, or this near to
+#: it in sequences: rounding costs more than one.
+GAP, WHOLE = 1e-3, 1.0
+#: Tokens of padding that a pattern may have, and what a cut costs as a share of the piece.
+MAX_WASTE, CUT = 4, 0.01
 #: Fixed value: how a byte-level tokenizers file splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -138,101 +141,241 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary, part int, nth long")
 
 
-def price(duals: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The pattern of greatest value: an unbounded knapsack by dynamic programming."""
+def fill(lengths: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """Counts of lengths, ``left`` of each at most, with the greatest sum that fits ``room``.
+
+    Subset sums as bits of one integer per length; of equal sums the one with the
+    longest lengths is taken, as short ones are easier to place later.
+    """
+    m = int(np.searchsorted(lengths, room, side="right"))
+    counts = np.zeros(len(lengths), np.int64)
+    most = np.minimum(left[:m], room // lengths[:m]).tolist()
+    sums, mask, at = 1, (1 << (room + 1)) - 1, []
+    for size, n in zip(lengths[:m].tolist(), most):
+        at.append(sums)
+        take = 1
+        while n > 0:
+            step = min(take, n)
+            sums |= (sums << (step * size)) & mask
+            n -= step
+            take *= 2
+    total = sums.bit_length() - 1
+    for k in range(m - 1, -1, -1):
+        size = int(lengths[k])
+        for n in range(min(most[k], total // size), -1, -1):
+            if at[k] >> (total - n * size) & 1:
+                counts[k], total = n, total - n * size
+                break
+        if not total:
+            break
+    return counts
+
+
+def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns, their costs and their use: the longest length left, filled up with
+    what is left; where over ``MAX_WASTE`` would stay empty, pieces to be cut.
+
+    Every column uses up a length that no later column has, so the columns are
+    independent and make a basis.
+    """
+    left, n = demand.astype(float).copy(), len(lengths)
+    columns, cost, x, done = np.zeros((n, n)), np.ones(n), np.zeros(n), 0
+    while done < n:
+        there = np.maximum(np.floor(left), left > 0).astype(np.int64)
+        top = int(np.flatnonzero(there)[-1])
+        there[top] -= 1
+        pattern = fill(lengths, there, capacity - int(lengths[top]))
+        pattern[top] += 1
+        if capacity - int(pattern @ lengths) > MAX_WASTE:
+            columns[top, done], cost[done], x[done] = 1, (1 + CUT) * lengths[top] / capacity, left[top]
+            left[top] = 0
+            done += 1
+            continue
+        on = np.flatnonzero(pattern)
+        share = left[on] / pattern[on]
+        times = share.min()
+        gone = on[share <= times * (1 + 1e-12)]
+        left[on] -= times * pattern[on]
+        left[gone] = 0
+        columns[:, done], x[done] = pattern, times
+        for k in gone[1:]:  # used up by the same pattern: a column of its own, not used
+            done += 1
+            columns[k, done], cost[done] = 1, (1 + CUT) * lengths[k] / capacity
+        done += 1
+    return columns, cost, x
+
+
+def price(duals: np.ndarray, lengths: np.ndarray, capacity: int, more: int = 0) -> tuple[float, list[np.ndarray]]:
+    """Patterns of great value, the best first: an unbounded knapsack by dynamic programming.
+
+    The others are the best ones that hold a given length, for ``more`` lengths.
+    """
     best = np.zeros(capacity + 1)
     item = np.full(capacity + 1, -1, np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        k = np.searchsorted(lengths, room, side="right")
+        k = fits[room]
         best[room] = best[room - 1]
         if k:
             value = best[room - lengths[:k]] + duals[:k]
             j = int(value.argmax())
             if value[j] > best[room] + 1e-12:
                 best[room], item[room] = value[j], j
-    pattern, room = np.zeros(len(lengths)), capacity
-    while room > 0:
-        if item[room] < 0:
-            room -= 1
-        else:
-            pattern[item[room]] += 1
-            room -= int(lengths[item[room]])
-    return float(best[capacity]), pattern
 
+    def pattern(room: int, start: int | None = None) -> np.ndarray:
+        out = np.zeros(len(lengths))
+        if start is not None:
+            out[start] += 1
+            room -= int(lengths[start])
+        while room > 0:
+            if item[room] < 0:
+                room -= 1
+            else:
+                out[item[room]] += 1
+                room -= int(lengths[item[room]])
+        return out
+
+    found = [pattern(capacity)]
+    if more:
+        value = best[capacity - lengths] + duals
+        for k in np.argsort(-value, kind="stable")[:more].tolist():
+            if value[k] > 1 + 1e-7:
+                p = pattern(capacity, k)
+                if not any(np.array_equal(p, q) for q in found):
+                    found.append(p)
+    return float(best[capacity]), found
+
+
+#: Columns that one pricing may bring, and pivots after which the inverse is made anew.
+AT_ONCE, FRESH = 40, 100
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, by the revised simplex method.
 
-    It ends at optimality or when the lower bound (objective / best pattern
-    value) is within ``gap``. The basis starts with one length per pattern.
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float, float]:
+    """Patterns and how often each is used, the objective and its lower bound, by the
+    revised simplex method.
+
+    A piece may also be cut, which costs its share of a sequence and ``CUT`` of it
+    more; so a pattern pays as long as it wastes less than that. The program ends
+    when the objective is within ``gap`` of the bound (the greater of the volume
+    and the value of duals that no pattern exceeds) or less than ``WHOLE`` above it,
+    or when no column improves it.
     """
     n = len(lengths)
     if not n:
-        return []
-    columns = np.diag((capacity // lengths).astype(float))
-    inverse = np.diag(1 / np.diag(columns))
-    x = inverse @ demand
-    for _ in range(MAX_COLUMNS):
-        duals = inverse.sum(axis=0)
-        value, pattern = price(np.maximum(duals, 0), lengths, capacity)
-        slack = int(duals.argmin())
-        if value <= 1 + 1e-9 and duals[slack] >= -1e-9:
-            break
-        if duals[slack] < -1e-6:
-            pattern = np.zeros(n)
-            pattern[slack] = -1.0  # a surplus column: more of that length than asked for
-        elif x.sum() * (1 - 1 / value) <= gap * x.sum():
+        return [], 0.0, 0.0
+    # a little more of each, all different: no ties, so no pivot without progress
+    asked = demand * (1 + 1e-7 * np.random.default_rng(n).random(n))
+    columns, cost, x = first_basis(lengths, asked, capacity)
+    alone = (1 + CUT) * lengths / capacity
+    inverse, bound, pivots = np.linalg.inv(columns), float(asked @ lengths) / capacity, 0
+    while True:
+        duals = cost @ inverse
+        asking = np.clip(duals, 0, alone)
+        value, found = price(asking, lengths, capacity, AT_ONCE)
+        bound = max(bound, float(asked @ asking) / max(value, 1.0))
+        reached = float(cost @ x)
+        if reached - bound <= max(gap * bound, WHOLE):
             break
-        step = inverse @ pattern
-        ok = step > 1e-9
-        if not ok.any():
+        offers = [(p, 1.0) for p in found]
+        for k in np.flatnonzero((duals < -1e-9) | (duals > alone + 1e-9)).tolist():
+            one = np.zeros(n)
+            one[k] = -1.0 if duals[k] < 0 else 1.0  # more of a length than asked for, or a piece to be cut
+            offers.append((one, 0.0 if duals[k] < 0 else float(alone[k])))
+        moved = False
+        for pattern, price_ in offers:
+            if float(cost @ inverse @ pattern) <= price_ + 1e-9:
+                continue
+            step = inverse @ pattern
+            ok = step > 1e-9
+            if not ok.any():
+                continue
+            ratio = np.full(n, np.inf)
+            ratio[ok] = x[ok] / step[ok]
+            out = int(ratio.argmin())
+            t = ratio[out]
+            x -= t * step
+            x[out] = t
+            np.maximum(x, 0, out=x)
+            pivot = inverse[out] / step[out]
+            inverse -= np.outer(step, pivot)
+            inverse[out] = pivot
+            columns[:, out], cost[out] = pattern, price_
+            moved, pivots = True, pivots + 1
+            if pivots % FRESH == 0:
+                inverse = np.linalg.inv(columns)
+                x = np.maximum(inverse @ asked, 0)
+        if not moved:
             break
-        ratio = np.full(n, np.inf)
-        ratio[ok] = x[ok] / step[ok]
-        out = int(ratio.argmin())
-        t = ratio[out]
-        x -= t * step
-        x[out] = t
-        np.maximum(x, 0, out=x)
-        pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
-        inverse[out] = pivot
-        columns[:, out] = pattern
-    return [(columns[:, k].astype(np.int64), float(x[k])) for k in range(n) if x[k] > 1e-9 and columns[:, k].min() >= 0]
-
-
-def plan_sequences(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rounded patterns as runs of ranks, and the rest laid end to end.
+    used = [(columns[:, k].astype(np.int64), float(x[k])) for k in range(n) if x[k] > 1e-9 and cost[k] == 1]
+    return used, float(cost @ x), bound
+
 
-    runs: (length, first rank, end rank, times in a pattern, first sequence,
+@dataclass(frozen=True)
+class Plan:
+    """runs: (length, first rank, end rank, times in a pattern, first sequence,
     offset). rest: (length, first rank, end rank, first token), its tokens
-    counted on from the end of the last pattern's sequence. Also returns the
-    number of the patterns' sequences. Patterns that waste more than
-    ``MAX_WASTE`` tokens aren't used: their pieces are cut instead.
+    counted on from the end of the last pattern's sequence. ``sequences`` is the
+    number of the patterns' ones; objective and bound are the linear program's.
+    """
+
+    runs: np.ndarray
+    rest: np.ndarray
+    sequences: int
+    objective: float
+    bound: float
+
+    @property
+    def share(self) -> float:
+        """Share of the pieces that patterns place."""
+        held, over = (int((x[:, 2] - x[:, 1]).sum()) for x in (self.runs, self.rest))
+        return held / max(held + over, 1)
+
+
+def plan_sequences(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Plan:
+    """Rounded patterns as runs of ranks, and the rest laid end to end.
+
+    The program's patterns are used as often as whole numbers go; what is left is
+    filled into patterns of its own, longest lengths first. Patterns that waste
+    more than ``MAX_WASTE`` tokens aren't used: their pieces are cut instead.
     """
     left, used = demand.astype(np.int64).copy(), np.zeros(len(lengths), np.int64)
     runs, rest, sequence = [], [], 0
-    chosen = [(p, x) for p, x in column_generation(lengths, demand.astype(float), capacity) if capacity - int(p @ lengths) <= MAX_WASTE]
-    # whole parts first, then one more of each by the size of what was cut off
-    turns = [(p, int(x + 1e-9)) for p, x in chosen] + [(p, 1) for p, x in sorted(chosen, key=lambda c: -(c[1] % 1)) if x % 1 > 1e-6]
-    for pattern, times in turns:
-        on = np.flatnonzero(pattern)
-        times = min([times, *(left[on] // pattern[on]).tolist()])
-        if times <= 0:
-            continue
+
+    def place(pattern: np.ndarray, times: int) -> None:
+        nonlocal sequence
         offset = 0
-        for k in on[::-1].tolist():
+        for k in np.flatnonzero(pattern)[::-1].tolist():
             a = int(pattern[k])
             runs.append((int(lengths[k]), int(used[k]), int(used[k]) + a * times, a, sequence, offset))
             used[k] += a * times
             left[k] -= a * times
             offset += a * int(lengths[k])
         sequence += times
+
+    most = lambda p: int((left[p > 0] // p[p > 0]).min())
+    chosen, objective, bound = column_generation(lengths, demand.astype(float), capacity)
+    for pattern, x in chosen:
+        times = min(int(x + 1e-6), most(pattern))
+        if times > 0 and capacity - int(pattern @ lengths) <= MAX_WASTE:
+            place(pattern, times)
+    open_ = left.copy()
+    while open_.any():
+        top = int(np.flatnonzero(open_)[-1])
+        open_[top] -= 1
+        pattern = fill(lengths, open_, capacity - int(lengths[top]))
+        open_[top] += 1
+        pattern[top] += 1
+        if capacity - int(pattern @ lengths) <= MAX_WASTE:
+            times = most(pattern)
+            place(pattern, times)
+            open_ -= pattern * times
+        else:
+            open_[top] = 0  # nothing that is left fits beside it
     token = sequence * capacity
     for k in np.flatnonzero(left)[::-1].tolist():
         rest.append((int(lengths[k]), int(used[k]), int(demand[k]), token))
         token += int(left[k] * lengths[k])
-    return np.array(runs, np.int64).reshape(-1, 6), np.array(rest, np.int64).reshape(-1, 4), sequence
+    return Plan(np.array(runs, np.int64).reshape(-1, 6), np.array(rest, np.int64).reshape(-1, 4), sequence, objective, bound)
 
 
 def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +396,8 @@ def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, end_i
     full = histogram.pop(capacity, 0)
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[k] for k in sorted(histogram)], np.int64)
-    runs, rest, used = plan_sequences(lengths, demand, capacity)
+    plan = plan_sequences(lengths, demand, capacity)
+    runs, rest, used = plan.runs, plan.rest, plan.sequences
     tail = max(used, -(-int(rest[-1, 3] + (rest[-1, 2] - rest[-1, 1]) * rest[-1, 0]) // capacity) if len(rest) else 0)
     runs = np.concatenate([runs, np.array([[capacity, 0, full, 1, tail, 0]], np.int64)])
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]

@@ -338,20 +338,68 @@ def test_packing_returns_the_tokens(docs):
 
 
 def test_column_generation_reaches_the_bound():
-    from stratavox.llm.packing import column_generation, plan_sequences
+    from stratavox.llm.packing import CUT, column_generation, plan_sequences
 
     lengths, demand = np.array([30, 40, 60, 70]), np.array([100, 50, 80, 90])
-    found = column_generation(lengths, demand.astype(float), 100)
+    found, objective, bound = column_generation(lengths, demand.astype(float), 100)
     assert all(int(p @ lengths) <= 100 for p, _ in found)
-    assert (sum(p * x for p, x in found) >= demand - 1e-6).all()
-    assert sum(x for _, x in found) == pytest.approx(170, rel=1e-3)  # 90 of 70 and 80 of 60 can't share, the rest fits beside them
-    runs, rest, n = plan_sequences(lengths, demand, 100)
+    placed = sum(p * x for p, x in found)
+    cut = np.maximum(demand - placed, 0)
+    assert objective == pytest.approx(sum(x for _, x in found) + (1 + CUT) * cut @ lengths / 100, rel=1e-3)
+    assert bound <= objective <= bound * 1.001 + 1
+    plan = plan_sequences(lengths, demand, 100)
     placed = collections.Counter()
-    for length, a, b, *_ in runs.tolist() + rest.tolist():
+    for length, a, b, *_ in plan.runs.tolist() + plan.rest.tolist():
         placed[length] += b - a
     assert placed == dict(zip(lengths.tolist(), demand.tolist()))
 
 
+def test_column_generation_prices_columns(monkeypatch):
+    """From a basis in which every piece is cut, pricing finds the patterns."""
+    from stratavox.llm import packing as p
+
+    lengths = np.array([130, 170, 220, 260, 310, 330, 350, 420, 510, 600])
+    demand = np.array([90.0, 80, 70, 60, 50, 40, 90, 80, 70, 60])
+    n, share = len(lengths), (1 + p.CUT) * lengths / 1024
+    monkeypatch.setattr(p, "first_basis", lambda lengths, demand, capacity: (np.eye(n), share.copy(), demand.copy()))
+    monkeypatch.setattr(p, "WHOLE", 0.0)
+    found, objective, bound = p.column_generation(lengths, demand, 1024, gap=1e-6)
+    assert found and objective == pytest.approx(bound, rel=1e-5) and objective < demand @ share
+    assert all(int(q @ lengths) <= 1024 for q, _ in found)
+
+
+def test_price_equals_brute_force():
+    from itertools import product
+
+    from stratavox.llm.packing import fill, price
+
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = np.sort(r.choice(np.arange(3, 30), 4, replace=False))
+        duals, left, room = r.random(4), r.integers(0, 4, 4), 40
+        every = [np.array(c) for c in product(range(14), repeat=4) if np.array(c) @ lengths <= room]
+        value, found = price(duals, lengths, room, 3)
+        assert value == pytest.approx(max(duals @ c for c in every)) and duals @ found[0] == pytest.approx(value)
+        assert all(p @ lengths <= room for p in found)
+        got = fill(lengths, left, room)
+        assert (got <= left).all() and got @ lengths == max(c @ lengths for c in every if (c <= left).all())
+
+
+def test_patterns_place_nearly_all_pieces():
+    """On the lengths of a real table, patterns place the pieces; little is cut."""
+    import pyarrow.parquet as pq
+
+    from stratavox.llm.packing import TokenIds, plan_sequences
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    n = np.array([len(x) + 1 for x in TokenIds("byte_bpe_50k.json")(texts)]) % 1024
+    lengths, demand = np.unique(n[n > 0], return_counts=True)
+    plan = plan_sequences(lengths, demand, 1024)
+    assert plan.share > 0.95 and plan.objective <= plan.bound * 1.001
+    ends = plan.rest[-1, 3] + (plan.rest[-1, 2] - plan.rest[-1, 1]) * plan.rest[-1, 0]
+    assert -(-ends // 1024) <= np.ceil(demand @ lengths / 1024) * 1.002
+
+
 def test_tokens_equal_the_library():
     from stratavox.llm.packing import TokenIds
 
