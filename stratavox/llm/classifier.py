@@ -1,8 +1,9 @@
 """Operator 3: quality classifier. Hashed word n-gram logistic regression.
 
-Features are hashed word n-grams (one to three words), each word taken in two
-forms: as it is in lower case, and as a class of its shape (letters, capitals,
-digits, trailing marks, a repeat of the word before it). A document's features
+Features are hashed word n-grams, each word taken in two
+forms: as it is in lower case (n-grams of one and two words), and as a class of
+its shape (letters, capitals, digits, trailing marks, a repeat of the word before
+it; one to three words). A document's features
 are the mean of its n-grams' indicators, so a score is one sparse dot product,
 whatever the length. Weights are trained by follow the regularised leader
 (FTRL-proximal, per-coordinate rates, L1 and L2).
@@ -14,8 +15,9 @@ all rows, without a shuffle.
 
 Cases: a null or empty text has no n-grams and gets the bias' score; labels
 that are null or not 0 or 1 are left out; of repeated labels for a document
-the largest counts; with no labelled rows, or one class only, every score is
-the prior (0.5 without labels); repeated rows are scored each.
+the largest counts, of repeated documents the least text; with no labelled rows,
+or one class only, every score is the prior (0.5 without labels); repeated rows
+are scored each; a kept column that is named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import WORD, map_batches, mix64, table
+from stratavox.llm.common import WORD, kept_columns, map_batches, mix64, table
 
 BITS = 18
 #: Labelled rows that training uses, in expectation.
@@ -36,6 +38,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-6, 1e-6
 SCALE = 16.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
+#: Seed of the order in which training sees its rows.
+SEED = 20240229
 
 _MARKS = "!?.,;:#*$%&|<>"
 
@@ -150,24 +154,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cut = int(share * (1 << 32))
     chosen = usable.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < cut).groupBy(id_col).agg(F.max("_y").alias("_y"))
     # about ``sample`` rows of two numbers: bounded by the parameter, not by the input
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, "_y", text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen.select(F.col(id_col).alias("_id"), "_y")), "_id")
+    # one text per id, so that ids that repeat don't multiply the sample
+    rows = rows.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_text").alias("_text"))
+    order = F.xxhash64(F.lit(SEED), F.col("_id").cast("string"))
+    rows = rows.select(order.alias("_order"), F.col("_id").cast("string").alias("_id"), "_y", "_text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, value = [], []
-        for t in batch.column(2).to_pylist():
+        for t in batch.column(3).to_pylist():
             f = features(t)
             i, c = np.unique(f, return_counts=True)
             index.append(i.astype("i4"))
             value.append((SCALE * c / max(len(f), 1)).astype("f4"))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], [id_col, "y", "i", "v"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["at", "id", "y", "i", "v"])
 
-    got = map_batches(rows, run, f"{id_col} {kind}, y int, i array<int>, v array<float>").toArrow()
+    got = map_batches(rows, run, "at long, id string, y int, i array<int>, v array<float>").toArrow()
     # flat arrays: a few bytes a feature on the driver
-    parts = [got.column(c).combine_chunks() for c in range(4)]
-    ids, label = parts[0].to_pylist(), parts[1].to_numpy()
-    at, index, value = parts[2].offsets.to_numpy(), parts[2].values.to_numpy(), parts[3].values.to_numpy()
+    parts = [got.column(c).combine_chunks() for c in range(5)]
+    turn, ids, label = parts[0].to_pylist(), parts[1].to_pylist(), parts[2].to_numpy()
+    at, index, value = parts[3].offsets.to_numpy(), parts[3].values.to_numpy(), parts[4].values.to_numpy()
     del got, parts
-    order = sorted(range(len(ids)), key=lambda k: (int(mix64(np.array([hash(ids[k]) & (2**64 - 1)], np.uint64))[0]), str(ids[k])))
+    # by a hash of the id: the same model in every run
+    order = sorted(range(len(ids)), key=lambda k: (turn[k], ids[k]))
     return ftrl([(index[at[k] : at[k + 1]], value[at[k] : at[k + 1]], int(label[k])) for k in order])
 
 
@@ -175,9 +184,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     """(id, kept columns, score double, predicted int) for every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 1 MB at any input size
-    kept = [c for c in keep or [] if c != id_col]
-    names = [id_col, *kept]
-    source = docs.select(*names, F.col(text_col).alias("_scored_text"))
+    names = [id_col, *kept_columns(keep, id_col, ["score", "predicted"])]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_scored_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", score double, predicted int"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

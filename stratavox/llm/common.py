@@ -48,8 +48,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                out = fn(batch.slice(at, SLICE))
+            for part in slices(batch):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
         # workers are used again: what this task needed shouldn't add to the next one's
@@ -58,8 +58,45 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-#: Rows that one call of a batch function sees; texts of a slice fit in memory.
-SLICE = 1000
+#: Rows and bytes that one call of a batch function sees; a longer text comes alone.
+SLICE, SLICE_BYTES = 1000, 16 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded rows and bytes."""
+    if batch.num_rows > 1 and (batch.num_rows > SLICE or batch.nbytes > SLICE_BYTES):
+        half = SLICE if batch.num_rows > SLICE else batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
+def kept_columns(keep: list[str] | None, id_col: str, results: Iterable[str]) -> list[str]:
+    """Columns to pass on. One that is named like a result gives way to it."""
+    taken = {id_col.lower(), *(r.lower() for r in results)}
+    return [c for c in dict.fromkeys(keep or []) if c.lower() not in taken]
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Aggregated rows, dealt anew. Else the aggregation would be part of the stage of a
+    join on the keys, and adaptive execution splits no such join where a key is hot."""
+    return rows.repartition(F.xxhash64(*keys))
+
+
+def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _dedup_id, _dedup_tag and _dedup_text: id and tag tell documents apart.
+
+    The tag is 0 where an id occurs once, and a hash of the text where it occurs
+    again: rows with one id and equal texts are one document, rows with one id and
+    other texts are others. The repeated ids are a table of known size, so where
+    there are few the texts aren't shuffled for them.
+    """
+    base = docs.withColumns({"_dedup_id": F.col(id_col).cast("long"), "_dedup_text": F.col(text_col)})
+    again = base.filter("_dedup_id is not null").groupBy("_dedup_id").agg(F.count("*").alias("n")).filter("n > 1")
+    again = written(again.select("_dedup_id", F.lit(True).alias("_dedup_again")), "repeated-ids")
+    tag = F.when(F.col("_dedup_again"), F.xxhash64("_dedup_text")).otherwise(F.lit(0).cast("long"))
+    return base.join(again, "_dedup_id", "left").withColumn("_dedup_tag", tag).drop("_dedup_again")
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

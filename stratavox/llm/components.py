@@ -1,8 +1,8 @@
 """Connected components over an edge table, by large-star and small-star rounds.
 
 Every round is a min-aggregation (combined before the shuffle) and an equi-join
-that adaptive execution can split, so a node with a third of all edges is no
-bottleneck. Rounds grow with the logarithm of the longest path. Each round is
+that adaptive execution can split, as both its sides come straight from an
+exchange, so a node with a third of all edges is no bottleneck. Rounds grow with the logarithm of the longest path. Each round is
 written to the shared folder; nothing but a count and a sum reaches the driver.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratavox.llm.common import written
+from stratavox.llm.common import dealt, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,10 +19,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.filter("v > u").join(dealt(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = edges.join(dealt(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 

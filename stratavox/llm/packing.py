@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratavox.llm.bpe import resolve
-from stratavox.llm.common import map_batches, table, written
+from stratavox.llm.common import map_batches, slices, table, written
 
 CAPACITY = 1024
 END_ID = 0
@@ -117,8 +117,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
         count = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole):
                 row, start, length, tokens, kept, nth = [], [], [], [], [], []
                 for k, ids in enumerate(token_ids(path, batch.column(1).to_pylist())):
                     ids = np.concatenate([ids, end])

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import SPACE, table
+from stratavox.llm.common import SPACE, kept_columns, table
 
 #: Marks counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -55,14 +55,19 @@ def _line_fails(line: Column) -> Column:
     return (symbols * 100 > n * SYMBOL_SHARE) | (bars * 100 > n * BAR_SHARE) | ((n >= UNMARKED_WORDS) & ~F.rlike(line, F.lit(SENTENCE_MARK))) | F.rlike(line, F.lit(BOILERPLATE))
 
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "lost_chars", "base_failed", "kept", "clean_text"]
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per document the measures, the cleaned text and the verdict.
 
     Columns: id, those in ``keep``, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lines, n_failed_lines, lost_chars, base_failed, kept,
-    clean_text.
+    clean_text. A column in ``keep`` that is named like a result gives way to it.
     """
-    base = docs.select(F.col(id_col), *[F.col(c) for c in keep or [] if c != id_col], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    # in a struct, so no kept column meets a working one
+    names = [id_col, *kept_columns(keep, id_col, RESULTS)]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     base = base.withColumns({"_w": _words(F.col("_t")), "_l": F.split(F.col("_t"), "\n")})
     base = base.withColumns({"_n": F.size("_w").cast("long"), "_real": F.filter("_l", lambda x: F.rlike(x, F.lit(rf"[^{SPACE}]")))})
     #: bits for a position; the rest of the 64 are the triple's hash
@@ -102,7 +107,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     # A generator of one row: a later filter on a measure stays above it. Pushed
     # below, it would repeat the whole computation for every word.
-    out = base.select(F.col(id_col), *[F.col(c) for c in keep or [] if c != id_col], F.inline(F.array(measures)))
+    out = base.select(*[F.col("_row").getField(c).alias(c) for c in names], F.inline(F.array(measures)))
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_SHARE)
     return out.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * LOST_SHARE))
 
