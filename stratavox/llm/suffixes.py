@@ -20,9 +20,10 @@ own just above their old ones. Then the groups' orders are emitted from the
 least suffix on. No level of recursion, no renaming.
 
 Cases: a null or empty text has no bytes; matches never cross documents;
-a text may repeat itself, overlaps included; rows with one id are taken as one
-document; rows with a null id keep all bytes;
-kept bytes may end inside a character, so the operator gives bytes.
+a text may repeat itself, overlaps included; rows with one id and one text are
+one document, rows with one id and other texts are documents of their own, in
+an order of their hashes; rows with a null id keep all bytes; other columns
+are ignored; kept bytes may end inside a character, so the operator gives bytes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import in_blocks, map_batches, mix64, range_hashes, sorted_groups, table, written
+from stratavox.llm.common import in_blocks, map_batches, mix64, range_hashes, sorted_groups, table, tagged, written
 from stratavox.llm.substring import anchors
 
 LENGTH = 100
@@ -171,7 +172,7 @@ def equal_windows(places: list[int], texts: list[bytes], length: int = LENGTH, s
 
 
 def byte_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(fp, around, id, first, last, place, salt) of all minimisers of (id, text).
+    """(fp, around, id, tag, first, last, place, salt) of all minimisers of (id, tag, text).
 
     Of a batch's rows with equal surroundings only the earliest can be the
     earliest of all: it has salt 0. The others are repeats whatever comes, and
@@ -180,7 +181,7 @@ def byte_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, parts = [], []
-        for k, t in enumerate(batch.column(1).to_pylist()):
+        for k, t in enumerate(batch.column(2).to_pylist()):
             raw = (t or "").encode("utf-8", "surrogatepass")
             if len(raw) < length:
                 continue
@@ -192,120 +193,122 @@ def byte_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if not parts:
             return None
         fp, around, first, last, at = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        ids = np.asarray(batch.column(0).to_numpy())[np.concatenate(row)]
-        order = np.lexsort((first, ids, around, fp))
-        fp, around, first, last, at, ids = (x[order] for x in (fp, around, first, last, at, ids))
+        row = np.concatenate(row)
+        ids, tags = (np.asarray(batch.column(k).to_numpy())[row] for k in (0, 1))
+        order = np.lexsort((first, tags, ids, around, fp))
+        fp, around, first, last, at, ids, tags = (x[order] for x in (fp, around, first, last, at, ids, tags))
         salt = np.zeros(len(fp), np.int32)
         again = np.flatnonzero((fp[1:] == fp[:-1]) & (around[1:] == around[:-1])) + 1
-        # rows that repeat a document's id are one document: the same place again is no repeat
+        # rows that repeat a document are one document: the same place again is no repeat
         group = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (around[1:] != around[:-1])]))
         lead = group[np.searchsorted(group, again, side="right") - 1]
-        repeat = (ids[again] != ids[lead]) | (first[again] != first[lead])
-        salt[again[repeat]] = 1 + ((ids[again[repeat]] * 31 + first[again[repeat]]) % 997)
-        return pa.RecordBatch.from_arrays([pa.array(fp.view("i8")), pa.array(around.view("i8")), pa.array(ids, pa.int64()), *(pa.array(c.astype("i4")) for c in (first, last, at, salt))], ["fp", "around", "id", "first", "last", "place", "salt"])
+        again = again[(ids[again] != ids[lead]) | (tags[again] != tags[lead]) | (first[again] != first[lead])]
+        salt[again] = 1 + ((ids[again] * 31 + tags[again] % 1009 + first[again]) % 997)
+        return pa.RecordBatch.from_arrays([pa.array(fp.view("i8")), pa.array(around.view("i8")), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(c.astype("i4")) for c in (first, last, at, salt))], ["fp", "around", "id", "tag", "first", "last", "place", "salt"])
 
-    return map_batches(docs.select("id", "text"), run, "fp long, around long, id long, first int, last int, place int, salt int")
+    return map_batches(docs.select("id", "tag", "text"), run, "fp long, around long, id long, tag long, first int, last int, place int, salt int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """Rows of fingerprints that occur again: open (to be compared) or not (a plain repeat)."""
-
-    def judge(t: pa.Table) -> pa.Table | None:
-        salt = t.column("salt").to_numpy()
-        if salt.any():
-            known = t.filter(pa.array(salt > 0))
-            rest = judge(t.filter(pa.array(salt == 0))) if not salt.all() else None
-            known = known.append_column("open", pa.array(np.zeros(known.num_rows, bool)))
-            return known if rest is None else pa.concat_tables([known, rest])
-        fp, around, i, first = (t.column(c).to_numpy() for c in ("fp", "around", "id", "first"))
-        # rows that repeat a document's id are one document
-        again = np.concatenate([[False], (fp[1:] == fp[:-1]) & (around[1:] == around[:-1]) & (i[1:] == i[:-1]) & (first[1:] == first[:-1])])
-        if again.any():
-            return judge(t.filter(pa.array(~again)))
-        new_fp = np.concatenate([[True], fp[1:] != fp[:-1]])
-        new = new_fp | np.concatenate([[True], around[1:] != around[:-1]])
-        owner = np.cumsum(new_fp) - 1
-        kinds = np.bincount(owner, weights=new)[owner]
-        out = t.append_column("open", pa.array(new))
-        return out.filter(pa.array(~new | (kinds > 1)))
+    """Rows of fingerprints that occur again: open (to be compared) or not (a plain repeat).
+
+    A stream sorted by fingerprint, surroundings, document and place. A row with
+    the surroundings of the one before is a plain repeat; the first of other
+    surroundings is open; the first of all is held until other surroundings come,
+    so a fingerprint of any number of rows takes one row of memory.
+    """
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held: pa.RecordBatch | None = None  # the first row of a fingerprint with one kind of surroundings so far
+        last = None  # (fp, around, id, tag, first) of the row before
         for batch in batches:
+            salt = batch.column(7).to_numpy()
+            if salt.any():
+                known = batch.filter(pa.array(salt > 0))
+                yield known.append_column("open", pa.array(np.zeros(known.num_rows, bool)))
+                batch = batch.filter(pa.array(salt == 0))
             if not batch.num_rows:
                 continue
-            fp = batch.column(0).to_numpy()
-            # the batch's last fingerprint may go on in the next one
-            cut = int(np.searchsorted(np.cumsum(np.concatenate([[0], fp[1:] != fp[:-1]])), (fp[1:] != fp[:-1]).sum()))
-            if held and (cut > 0 or held[-1].column(0)[-1].as_py() != int(fp[0])):
-                if held[-1].column(0)[-1].as_py() != int(fp[0]):
-                    yield from judge(pa.Table.from_batches(held)).to_batches()
-                    held = []
-                held.append(batch.slice(0, cut))
-                if held and sum(b.num_rows for b in held):
-                    yield from judge(pa.Table.from_batches(held)).to_batches()
-                held = [batch.slice(cut)]
-            elif held:
-                held.append(batch)
-            else:
-                if cut:
-                    yield from judge(pa.Table.from_batches([batch.slice(0, cut)])).to_batches()
-                held = [batch.slice(cut)]
-        if held:
-            yield from judge(pa.Table.from_batches(held)).to_batches()
-
-    dealt = found.repartition("fp", "salt").sortWithinPartitions("fp", "around", "id", "first")
-    return dealt.mapInArrow(run, "fp long, around long, id long, first int, last int, place int, salt int, open boolean")
-
-
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): per document ranges [a, b) of starts of strings that start earlier."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = written(repeats(byte_anchors(base, length, gram)), "repeats")
-    plain = rows.filter("not open").select("id", F.col("first").alias("a"), (F.col("last") + 1).alias("b"))
-    unsettled = rows.filter("open").select("fp", "id", "first", "last", "place")
-    sizes = unsettled.groupBy("fp").agg(F.count("*").alias("m"))
-    asked = unsettled.join(sizes, "fp").groupBy("id").agg(F.collect_list(F.struct("fp", "first", "last", "place", "m")).alias("spans"))
+            cols = [batch.column(k).to_numpy() for k in range(5)]
+            before = [np.concatenate([[c[0] if last is None else v], c[:-1]]) for c, v in zip(cols, last or [None] * 5)]
+            same = [c == b for c, b in zip(cols, before)]
+            if last is None:
+                same[0][0] = False
+            last = [c[-1] for c in cols]
+            new_fp = ~same[0]
+            new = new_fp | ~same[1]
+            # rows that repeat a document are one document
+            real = ~(same[0] & same[1] & same[2] & same[3] & same[4])
+            owner = np.cumsum(new_fp)  # 0: the fingerprint goes on from the batch before
+            kinds = np.bincount(owner, weights=new)
+            emit = real & (~new | (kinds[owner] > 1) | (owner == 0))
+            n = int(owner[-1])
+            if held is not None:
+                if kinds[0] > 0:
+                    yield held.append_column("open", pa.array([True]))
+                if kinds[0] > 0 or n > 0:
+                    held = None
+            if n > 0 and kinds[n] == 1:
+                held = batch.slice(int(np.flatnonzero(new_fp)[-1]), 1)
+            keep = pa.array(emit)
+            if emit.any():
+                yield batch.filter(keep).append_column("open", pa.array(new[emit]))
+
+    dealt = found.repartition("fp", "salt").sortWithinPartitions("fp", "around", "id", "tag", "first")
+    return dealt.mapInArrow(run, "fp long, around long, id long, tag long, first int, last int, place int, salt int, open boolean")
+
+
+def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(id, tag, spans): per document of (id, tag, text) ranges [a, b) of starts of strings that start earlier."""
+    rows = written(repeats(byte_anchors(docs, length, gram)), "repeats")
+    plain = rows.filter("not open").select("id", "tag", F.col("first").alias("a"), (F.col("last") + 1).alias("b"))
+    unsettled = rows.filter("open").select("fp", "id", "tag", "first", "last", "place")
+    # only fingerprints of more than a block need their size: few rows, of known number
+    sizes = written(unsettled.groupBy("fp").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK), "large")
+    asked = unsettled.join(sizes, "fp", "left").groupBy("id", "tag").agg(F.collect_list(F.struct("fp", "first", "last", "place", F.coalesce("m", F.lit(1).cast("long")).alias("m"))).alias("spans"))
 
     def surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, values = [], []
-        for k, (t, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        for k, (t, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             raw = t.encode("utf-8", "surrogatepass")
             for s in spans:
                 row.append(k)
                 values.append((s["fp"], s["m"], s["first"], s["place"] - s["first"], raw[s["first"] : s["last"] + length]))
         fp, m, first, place, text = zip(*values)
-        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(m, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(first, pa.int32()), pa.array(place, pa.int32()), pa.array(text, pa.binary())], ["fp", "m", "id", "first", "place", "around"])
+        row = pa.array(row)
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(m, pa.int64()), batch.column(0).take(row), batch.column(1).take(row), pa.array(first, pa.int32()), pa.array(place, pa.int32()), pa.array(text, pa.binary())], ["fp", "m", "id", "tag", "first", "place", "around"])
 
-    near = map_batches(base.join(asked, "id").select("id", "text", "spans"), surroundings, "fp long, m long, id long, first int, place int, around binary")
+    near = map_batches(docs.join(asked, ["id", "tag"]).select("id", "tag", "text", "spans"), surroundings, "fp long, m long, id long, tag long, first int, place int, around binary")
     # every two surroundings meet in some pair of blocks, so none is missed
-    near = in_blocks(near, "m", "id", BLOCK, BLOCK, SPREAD).select("fp", "x", "y", "id", "first", "place", "around")
+    near = in_blocks(near, "m", "id", BLOCK, BLOCK, SPREAD).select("fp", "x", "y", "id", "tag", "first", "place", "around")
 
     def compare(batches):
         for g in sorted_groups(batches, ["fp", "x", "y"]):
             places, texts = g.column("place").to_pylist(), g.column("around").to_pylist()
-            ids, first = g.column("id").to_pylist(), g.column("first").to_pylist()
-            once = [k for k in range(len(ids)) if not k or (ids[k], first[k]) != (ids[k - 1], first[k - 1])]
+            ids, tags, first = (g.column(c).to_pylist() for c in ("id", "tag", "first"))
+            once = [k for k in range(len(ids)) if not k or (ids[k], tags[k], first[k]) != (ids[k - 1], tags[k - 1], first[k - 1])]
             if len(once) < len(ids):
-                places, texts, ids, first = ([x[k] for k in once] for x in (places, texts, ids, first))
+                places, texts, ids, tags, first = ([x[k] for k in once] for x in (places, texts, ids, tags, first))
             out = []
-            for i, f, starts in zip(ids, first, equal_windows(places, texts, length)):
+            for i, t, f, starts in zip(ids, tags, first, equal_windows(places, texts, length)):
                 if starts:
                     at = np.array(starts)
                     cut = np.flatnonzero(np.diff(at) > 1)
-                    out += [(i, f + int(a), f + int(b) + 1) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
+                    out += [(i, t, f + int(a), f + int(b) + 1) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "tag", "a", "b"])
 
-    compared = near.repartition("fp", "x", "y").sortWithinPartitions("fp", "x", "y", "id", "first").mapInArrow(compare, "id long, a int, b int")
-    return plain.unionByName(compared).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    compared = near.repartition("fp", "x", "y").sortWithinPartitions("fp", "x", "y", "id", "tag", "first").mapInArrow(compare, "id long, tag long, a int, b int")
+    return plain.unionByName(compared).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary); with ``digest`` kept_sha256 instead."""
     kind = docs.schema[id_col].dataType.simpleString()
-    marks = repeated_strings(docs, length, GRAM, id_col, text_col)
-    source = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("_id")).join(marks.withColumnRenamed("id", "_id"), "_id", "left").select(id_col, "text", "spans")
+    docs = tagged(docs.select(id_col, text_col), id_col, text_col)
+    base = docs.select(F.col("_dedup_id").alias("id"), F.col("_dedup_tag").alias("tag"), F.col("_dedup_text").alias("text")).filter("id is not null")
+    marks = repeated_strings(base, length).select(F.col("id").alias("_dedup_id"), F.col("tag").alias("_dedup_tag"), "spans")
+    source = docs.join(marks, ["_dedup_id", "_dedup_tag"], "left").select(id_col, "_dedup_text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, gone, runs, out = [], [], [], []
