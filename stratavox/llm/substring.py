@@ -3,12 +3,13 @@
 Windows of ``window`` words are sampled by content: of a window's word grams
 the one of least hash stands for it (its minimiser), so equal windows always
 have equal fingerprints at the same place, and about one gram in a dozen is
-kept. The index holds sorted immutable runs of (fingerprint, document, place).
-A new batch's fingerprints are sorted into a run of their own, merge-joined
-with the runs of history, and compacted with runs of like size, so the number
-of runs stays logarithmic in the number of batches. Fingerprints met before
-are verified on the windows themselves: on two independent hashes of each
-window's words (96 bits together).
+kept. The index holds sorted immutable runs with one row per fingerprint, and
+beside them the postings (fingerprint, document, place). A new batch's
+fingerprints are sorted into a run of their own, merge-joined with the runs of
+history, and compacted with runs of like size, so the number of runs stays
+logarithmic in the number of batches. Fingerprints met before are verified on
+the windows themselves: on two polynomial hashes of each window's words, 96 bits
+together, both over one hash of 64 bits a word.
 
 A window that also starts anywhere else goes, in all its places, so a batch
 may mark words of earlier batches; ``marks`` reads the index once all batches
@@ -17,12 +18,13 @@ are in.
 Occurrences with equal surroundings (all words of the row's windows), as copies
 have, repeat each other without a further look; only one per distinct
 surrounding is compared window by window. A passage that a third of all
-documents share costs rows of minima that combine before the shuffle, and joins
-that adaptive execution can split.
+documents share is one row of a run; its postings meet the repeated
+fingerprints in joins that adaptive execution can split.
 
 Cases: null texts have no words; texts shorter than a window keep all words; a
-text may repeat itself; rows with one id are taken as one document; rows with
-a null id keep all words; other columns pass.
+text may repeat itself; rows with one id and one text are one document, rows
+with one id and other texts are documents of their own; rows with a null id
+keep all words; other columns pass, but one named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import WORD, map_batches, mix64, range_hashes, shared_dir, table, window_hashes, word_hashes, written
+from stratavox.llm.common import WORD, dealt, kept_columns, map_batches, mix64, range_hashes, shared_dir, table, tagged, window_hashes, word_hashes, written
 
 WINDOW = 35
 #: Words of a gram whose hash picks a window's place in the index.
@@ -91,13 +93,13 @@ def within(fp: np.ndarray, around: np.ndarray, first: np.ndarray, last: np.ndarr
 
 
 def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(fp, around, id, first, last, again) of every document of (id, text);
+    """(fp, around, id, tag, first, last, again) of every document of (id, tag, text);
     ``around`` is the hash of all words of the row's windows, ``again`` the windows
     of the same document that are equal to them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = batch.column(0), []
-        for t in batch.column(1).to_pylist():
+        ids, tags, found = batch.column(0), batch.column(1), []
+        for t in batch.column(2).to_pylist():
             words = WORD.findall(t or "")
             if len(words) < window:
                 found.append(None)
@@ -111,45 +113,48 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
         parts = [x for x in found if x is not None]
         cat = lambda k, t: np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(cat(0, np.uint64).view("i8")), pa.array(cat(1, np.uint64).view("i8")), ids.take(pa.array(row)), pa.array(cat(2, np.int64).astype("i4")), pa.array(cat(3, np.int64).astype("i4")), pa.array([r for x in parts for r in x[4]], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
-            ["fp", "around", "id", "first", "last", "again"],
+            [pa.array(cat(0, np.uint64).view("i8")), pa.array(cat(1, np.uint64).view("i8")), ids.take(pa.array(row)), tags.take(pa.array(row)), pa.array(cat(2, np.int64).astype("i4")), pa.array(cat(3, np.int64).astype("i4")), pa.array([r for x in parts for r in x[4]], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
+            ["fp", "around", "id", "tag", "first", "last", "again"],
         )
 
-    return map_batches(docs.select("id", "text"), run, "fp long, around long, id long, first int, last int, again array<struct<a:int,b:int>>")
+    return map_batches(docs.select("id", "tag", "text"), run, "fp long, around long, id long, tag long, first int, last int, again array<struct<a:int,b:int>>")
 
 
 class FingerprintIndex:
     """Sorted immutable runs in a shared folder, merged as they grow.
 
-    A run is a table in buckets of fingerprints, each sorted, so runs meet in
-    merge joins without an exchange. ``append`` adds a batch of documents (id,
-    text) and returns the fingerprints that it shares with itself or with
-    history; ``repeated`` has all rows of the index whose fingerprint occurs
-    more than once.
+    A run is a table of (fp, n, again), one row per fingerprint, in buckets of
+    fingerprints, each sorted, so runs meet in merge joins without an exchange.
+    Rows are summed before they are dealt, so a fingerprint that every document
+    has is no more work than any other. ``append`` adds a batch of documents (id,
+    tag, text) and returns the fingerprints that it shares with itself or with
+    history; ``repeated`` has all postings whose fingerprint occurs more than once.
     """
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN) -> None:
         self.spark, self.path, self.window, self.gram, self.fan_in = spark, path, window, gram, fan_in
+        #: the exchange of a sum by fingerprint deals rows as the buckets do: one file a bucket
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         #: (level, table) of every live run, oldest first.
         self.runs: list[tuple[int, str]] = []
+        self.postings: list[DataFrame] = []
         self.hits: list[DataFrame] = []
 
     def _write_run(self, rows: DataFrame, level: int) -> DataFrame:
         name = f"stratavox_run_{uuid.uuid4().hex}"
-        # one file a bucket: the exchange deals rows as the buckets do
-        dealt = rows.repartition(self.buckets, "fp")
-        dealt.write.option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+        summed = rows.groupBy("fp").agg(F.sum("n").alias("n"), F.max("again").alias("again"))
+        summed.write.option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
         self.runs.append((level, name))
         return self.spark.table(name)
 
     def append(self, docs: DataFrame) -> DataFrame:
         self._compact()
         history = [name for _, name in self.runs]
-        own = self._write_run(fingerprints(docs, self.window, self.gram), 0).groupBy("fp").agg(F.count("*").alias("n"), F.max(F.col("again").isNotNull()).alias("self"))
-        hits = own.filter("n > 1 or self").select("fp")
+        self.postings.append(written(fingerprints(docs, self.window, self.gram), "postings"))
+        own = self._write_run(self.postings[-1].select("fp", F.lit(1).cast("long").alias("n"), F.col("again").isNotNull().alias("again")), 0)
+        hits = own.filter("n > 1 or again").select("fp")
         for name in history:
-            hits = hits.unionByName(own.select("fp").hint("merge").join(self.spark.table(name).select("fp").distinct(), "fp"))
+            hits = hits.unionByName(own.select("fp").hint("merge").join(self.spark.table(name).select("fp"), "fp"))
         self.hits.append(written(hits.distinct(), "hits"))
         return self.hits[-1]
 
@@ -174,24 +179,27 @@ class FingerprintIndex:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def close(self) -> None:
+        """Takes the runs out of the catalog and their files away."""
+        for _, name in self.runs:
+            self._drop(name)
+        self.runs = []
+
     def repeated(self) -> DataFrame:
-        hits = self.hits[0]
+        hits, rows = self.hits[0], self.postings[0]
         for h in self.hits[1:]:
             hits = hits.unionByName(h)
-        hits = written(hits.distinct(), "all-hits")
-        found = [self.spark.table(name).join(hits, "fp") for _, name in self.runs]
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return out
+        for p in self.postings[1:]:
+            rows = rows.unionByName(p)
+        return rows.join(dealt(hits.distinct(), "fp"), "fp")
 
 
 def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, id, at) of every candidate window of (id, text, spans)."""
+    """(h1, h2, id, tag, at) of every candidate window of (id, tag, text, spans)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, h1, h2, at = [], [], [], []
-        for k, (t, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        for k, (t, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             h = word_hashes(WORD.findall(t or ""))
             on = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
             row.append(np.full(len(on), k))
@@ -200,45 +208,48 @@ def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
             h2.append(window_hashes(mix64(h), window, _BASE_2)[on] >> np.uint64(32))
         cat = np.concatenate
         row = pa.array(cat(row))
-        return pa.RecordBatch.from_arrays([pa.array(cat(h1).view("i8")), pa.array(cat(h2).astype("u4").view("i4")), batch.column(0).take(row), pa.array(cat(at).astype("i4"))], ["h1", "h2", "id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(h1).view("i8")), pa.array(cat(h2).astype("u4").view("i4")), batch.column(0).take(row), batch.column(1).take(row), pa.array(cat(at).astype("i4"))], ["h1", "h2", "id", "tag", "at"])
 
-    return map_batches(candidates.select("id", "text", "spans"), run, "h1 long, h2 int, id long, at int")
+    return map_batches(candidates.select("id", "tag", "text", "spans"), run, "h1 long, h2 int, id long, tag long, at int")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): for documents with repeated windows the ranges [a, b] of their starts."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+    """(id, tag, spans): for documents of (id, tag, text) with repeated windows the
+    ranges [a, b] of their starts."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     index = FingerprintIndex(spark, f"{shared_dir(spark)}/stratavox-index-{uuid.uuid4().hex}", window)
     for b in range(batches):
-        index.append(base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
-    found = written(index.repeated().select("fp", "around", "id", "first", "last", "again"), "found")
+        index.append(docs.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b))
+    found = written(index.repeated().select("fp", "around", "id", "tag", "first", "last", "again"), "found")
+    index.close()
     # equal surroundings repeat each other in all their windows; one of them is
-    # compared with the other surroundings of its fingerprint, window by window
-    place = F.struct("id", "first")
-    kinds = found.groupBy("fp", "around").agg(F.min(place).alias("rep"), (F.max(F.col("again").isNotNull()) | (F.min(place) < F.max(place))).alias("twice"))
-    mixed = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
-    # rows that repeat an id give equal places, and are one document
+    # compared with the other surroundings of its fingerprint, window by window.
+    # Rows that repeat a document give equal places, and are one document.
+    place = F.struct("id", "tag", "first", "last")
+    kinds = written(found.groupBy("fp", "around").agg(F.min(place).alias("rep"), (F.max(F.col("again").isNotNull()) | (F.min(place) < F.max(place))).alias("twice")), "kinds")
     plain = found.join(kinds.filter("twice").select("fp", "around"), ["fp", "around"])
     itself = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
-    plain = plain.select("id", F.inline(F.when(F.col("again").isNull(), itself).otherwise(F.concat(itself, "again"))))
-    asked = found.join(kinds, ["fp", "around"]).filter((F.col("rep.id") == F.col("id")) & (F.col("rep.first") == F.col("first"))).join(mixed, "fp", "left_semi")
-    spans = asked.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    rows = written(_window_rows(base.join(spans, "id"), window), "windows")
-    at = F.struct("id", "at")
+    plain = plain.select("id", "tag", F.inline(F.when(F.col("again").isNull(), itself).otherwise(F.concat(itself, "again"))))
+    mixed = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
+    asked = kinds.join(dealt(mixed, "fp"), "fp").select("rep.*")
+    spans = asked.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    rows = written(_window_rows(docs.join(spans, ["id", "tag"]), window), "windows")
+    at = F.struct("id", "tag", "at")
     many = rows.groupBy("h1", "h2").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a < b").select("h1", "h2")
-    single = rows.join(many, ["h1", "h2"]).select("id", F.col("at").alias("a"), F.col("at").alias("b"))
-    return plain.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    single = rows.join(dealt(many, "h1", "h2"), ["h1", "h2"]).select("id", "tag", F.col("at").alias("a"), F.col("at").alias("b"))
+    return plain.unionByName(single).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
     """(id, kept columns, n_words, n_removed, clean_text); with ``digest`` the
     SHA-256 of the kept words, kept_sha256, instead of the text."""
-    kept = [c for c in keep or [] if c != id_col]
-    marks = repeated_windows(docs, window, batches, id_col, text_col)
-    source = docs.select(F.col(id_col), *kept, F.col(text_col).alias("_dedup_text"), F.col(id_col).cast("long").alias("_dedup_id"))
-    source = source.join(marks.select(F.col("id").alias("_dedup_id"), "spans"), "_dedup_id", "left").drop("_dedup_id")
+    kept = kept_columns(keep, id_col, ["n_words", "n_removed", "clean_text", "kept_sha256"])
     names = [id_col, *kept]
+    # under names of its own, so no kept column meets a working one
+    docs = tagged(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_dedup_row"), F.col(id_col), F.col(text_col)), id_col, text_col)
+    base = docs.select(F.col("_dedup_id").alias("id"), F.col("_dedup_tag").alias("tag"), F.col("_dedup_text").alias("text")).filter("id is not null")
+    marks = repeated_windows(base, window, batches).select(F.col("id").alias("_dedup_id"), F.col("tag").alias("_dedup_tag"), F.col("spans").alias("_dedup_spans"))
+    source = docs.join(marks, ["_dedup_id", "_dedup_tag"], "left").select(*[F.col("_dedup_row").getField(c).alias(c) for c in names], "_dedup_text", "_dedup_spans")
     n_kept = len(names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept]) + ", n_words long, n_removed long, " + ("kept_sha256 string" if digest else "clean_text string")
 

@@ -239,12 +239,14 @@ def test_fingerprint_index_merges_runs(spark, tmp_path):
     t = passage(9, 90)
     hits = []
     for k in range(4):
-        batch = spark.createDataFrame([(k, t if k in (0, 3) else passage(50 + k, 90))], "id long, text string")
+        batch = spark.createDataFrame([(k, 0, t if k in (0, 3) else passage(50 + k, 90))], "id long, tag long, text string")
         hits.append(index.append(batch).count())
     assert hits[:3] == [0, 0, 0] and hits[3] > 0
     index._compact()
     assert [level for level, _ in index.runs] == [2]
     assert {r.id for r in index.repeated().collect()} == {0, 3}
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stratavox_run_")]
 
 
 def suffix_brute(texts, length=100):
@@ -586,3 +588,88 @@ def test_substring_of_periodic_texts(spark):
     fp, _, first, last = anchors(h, 35, 10)
     lead, again = within(fp, fp, first, last)
     assert len(lead) == 1 and again == [[{"a": 1, "b": 965}]]
+
+
+def test_dedup_of_other_texts_under_one_id(spark):
+    """Ids that repeat with other texts, with equal ones, and null: no crash, no lost row."""
+    from stratavox.llm.substring import substring_dedup
+    from stratavox.llm.suffixes import suffix_dedup
+
+    shared = passage(40, 50)
+    texts = [(1, passage(41, 30) + " " + shared), (1, shared + " " + passage(42, 30)), (1, shared + " " + passage(42, 30)), (2, passage(43, 20) + " " + shared), (1, None), (1, ""), (None, shared), (3, passage(44, 60)), (2, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    own = {t: k for k, (i, t) in enumerate(texts) if i is not None}  # one number a document
+    want = substring_brute({k: t for t, k in own.items()}, 35)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, digest=True).collect())
+    plain = lambda t: (len(WORD.findall(t or "")), 0, hashlib.sha256(" ".join(WORD.findall(t or "")).encode()).hexdigest())
+    assert got == collections.Counter((i, *(want[own[t]] if i is not None else plain(t))) for i, t in texts)
+    assert sum(n for _, _, n, _ in got) > 100
+    kept = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup(df).collect()]
+    assert sorted((str(i), n) for i, n, _ in kept) == sorted((str(i), len((t or "").encode())) for i, t in texts)
+    # the shared passage stays in one of the four documents that have it
+    whole = [n for i, n, gone in kept if i is not None and n > 200 and not gone]
+    assert len(whole) in (2, 3) and all(gone == 0 for i, _, gone in kept if i in (None, 3))
+    first = [gone for i, n, gone in kept if i == 2 and n]
+    assert first[0] >= len(shared)
+
+
+def test_repeats_stream_equals_groups(spark):
+    """The stream of sorted rows settles a fingerprint whatever batches it comes in."""
+    from stratavox.llm.suffixes import repeats
+
+    r = random.Random(3)
+    data = [(r.randrange(12), r.randrange(3), r.randrange(6), 0, r.randrange(4), 0, 0, 0) for _ in range(150)]
+    df = spark.createDataFrame(data, "fp long, around long, id long, tag long, first int, last int, place int, salt int")
+    groups = collections.defaultdict(lambda: collections.defaultdict(set))
+    for fp, around, i, _, first, *_ in data:
+        groups[fp][around].add((i, first))
+    want = collections.Counter()
+    for fp, kinds in groups.items():
+        for around, places in kinds.items():
+            for n, place in enumerate(sorted(places)):
+                if n or len(kinds) > 1:
+                    want[fp, around, *place, n == 0] += 1
+    for size in (1, 3, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = collections.Counter((x.fp, x.around, x.id, x.first, x.open) for x in repeats(df).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
+def test_kept_columns_that_clash(spark):
+    """Kept columns keep their values beside working columns; one named like a result gives way."""
+    from stratavox.llm.classifier import score, train
+    from stratavox.llm.quality_rules import quality_rules
+    from stratavox.llm.substring import substring_dedup
+
+    names = ["_t", "_w", "_l", "_n", "_k", "_s", "_p", "_j", "_row", "score", "n_words", "spans", "id", "tag", "a b"]
+    df = spark.createDataFrame([(1, passage(1, 60), *range(len(names))), (1, passage(1, 60), *range(len(names))), (None, None, *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    model = train(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    for got, taken in ((quality_rules(df, keep=names), {"n_words"}), (score(df, model, keep=names), {"score"}), (substring_dedup(df, keep=names), {"n_words"})):
+        assert len(got.columns) == len(set(got.columns)) and got.count() == 3
+        for r in got.collect():
+            assert all(r[n] == k for k, n in enumerate(names) if n not in taken)
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    from stratavox.llm.common import SLICE, SLICE_BYTES, slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (3 << 20)] * 20 + ["y"] * 2500 + ["z" * (40 << 20)])], ["t"])
+    parts = list(slices(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows <= SLICE and (p.num_rows == 1 or p.nbytes <= SLICE_BYTES) for p in parts)
+
+
+def test_training_of_repeated_ids(spark):
+    """Documents that repeat an id are one row of the sample, and runs give one model."""
+    from stratavox.llm.classifier import train
+
+    docs = [(i, passage(i, 30) + (" good" if i % 2 else " bad!!")) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    again = train(spark.createDataFrame(docs * 3, "doc_id long, text string"), labels)
+    assert np.array_equal(once[0], again[0]) and once[1] == again[1] and once[0].any()
