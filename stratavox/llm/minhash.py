@@ -5,10 +5,11 @@
    coordinate-value pairs. Two sets of similarity s share one of them with
    probability 1 - (1 - s) ** PREFIX (0.9999999 at 0.75), and agree in COORDINATES * s
    coordinates on average.
-3. In a posting list collisions are counted over whole signatures, again in each
-   list in which a pair meets. Pairs of at least
-   ``MATCHES`` matches make a graph, of which only a spanning forest of each
-   list is emitted: never all pairs of a list.
+3. A posting list merges its documents' signatures and counts collisions. A pair
+   is skipped if an earlier coordinate posts it too, so it is counted once; after
+   the first ``CHECKED`` coordinates it is dropped if the others can't bring it to
+   the threshold any more. Pairs of at least ``MATCHES`` matches make a graph, of
+   which only a spanning forest of each list is emitted: never all pairs of a list.
 4. A component of that graph is a family. Inside it all pairs are compared on
    full shingle sets, by an inverted index in blocks; again only a spanning
    forest of the confirmed links is emitted.
@@ -42,6 +43,8 @@ PREFIX = 12
 #: Coordinates in which signatures must agree; at similarity 0.75 the mean is
 #: 48 with deviation 3.5, so a true pair is missed with probability 3e-6.
 MATCHES = 32
+#: Coordinates of the signature that every pair is counted on; the rest only where it may still be enough.
+CHECKED = 40
 #: Most rows of a posting list, and most documents of a family, in one block.
 LIST_BLOCK, FAMILY_BLOCK = 2048, 1024
 #: Large groups are divided at least so far that one of them spreads over tasks.
@@ -113,20 +116,43 @@ class _Union:
         self.label[np.isin(self.label, groups)] = mine
 
 
-def _forest_of_list(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of a posting list with enough matches."""
+def _forest_of_list(ids: np.ndarray, sig: np.ndarray, code: np.ndarray, coordinate: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs with enough matches that meet in this list first.
+
+    sig: a byte of every coordinate; code: 24 bits of the posted ones. Equal codes
+    of an earlier coordinate mean an earlier list (a wrong skip has probability
+    2**-24 a coordinate).
+    """
     n = len(ids)
     joined = _Union(n)
+    early = code[:, :coordinate]
     for at in range(0, n, 64):
         if (joined.label == joined.label[0]).all():
             break
-        block = sig[at : at + 64]
-        match = (block[:, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16) >= MATCHES
-        for k in range(len(block)):
-            joined.join(at + k, np.flatnonzero(match[k]))
+        met = np.zeros((min(64, n - at), n), bool)
+        for c in range(coordinate):
+            met |= early[at : at + 64, None, c] == early[None, :, c]
+        i, j = np.nonzero(~met)
+        later = j > at + i
+        i, j = at + i[later], j[later]
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            count = (sig[p, :CHECKED] == sig[q, :CHECKED]).sum(axis=1)
+            may = count + COORDINATES - CHECKED >= MATCHES
+            p, q, count = p[may], q[may], count[may]
+            enough = count + (sig[p, CHECKED:] == sig[q, CHECKED:]).sum(axis=1) >= MATCHES
+            p, q = p[enough], q[enough]
+            cut = np.flatnonzero(np.diff(p)) + 1
+            for own, others in zip(np.split(p, cut), np.split(q, cut)):
+                if len(own):
+                    joined.join(int(own[0]), others)
     return [(int(ids[a]), int(ids[b])) for a, b in joined.links]
 
 
+#: Low bits of a list's key, which tell its coordinate.
+KEY_BITS = 4
+
+
 def posting_links(reps: DataFrame) -> DataFrame:
     """(a, b): a spanning forest, list by list, of pairs with enough matches."""
 
@@ -134,14 +160,18 @@ def posting_links(reps: DataFrame) -> DataFrame:
         ids = batch.column(0).to_numpy()
         raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(len(ids), COORDINATES + 8 * PREFIX)
         values = np.ascontiguousarray(raw[:, COORDINATES:]).view("<u8")
+        mixed = mix64(values)
         keys = mix64(values ^ (np.arange(1, PREFIX + 1, dtype=np.uint64) << np.uint64(58)))
-        sig = [r.tobytes() for r in raw[:, :COORDINATES]]
+        keys = keys >> np.uint64(KEY_BITS) << np.uint64(KEY_BITS) | np.arange(PREFIX, dtype=np.uint64)
+        # the byte of a posted coordinate is in the signature; two more follow it
+        more = (mixed >> np.uint64(40)).astype("<u2").view("u1").reshape(len(ids), 2 * PREFIX)
+        sig = [r.tobytes() for r in np.concatenate([raw[:, :COORDINATES], more], axis=1)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view("i8")), pa.array(np.tile(np.arange(PREFIX, dtype="i4"), len(ids))), pa.array(np.repeat(ids, PREFIX)), pa.array(sig, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), PREFIX)))],
-            ["key", "coordinate", "id", "sig"],
+            [pa.array(keys.ravel().view("i8")), pa.array(np.repeat(ids, PREFIX)), pa.array(sig, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), PREFIX)))],
+            ["key", "id", "sig"],
         )
 
-    posted = map_batches(reps.select("id", "sig"), post, "key long, coordinate int, id long, sig binary")
+    posted = map_batches(reps.select("id", "sig"), post, "key long, id long, sig binary")
     sizes = written(posted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "lists")
     # lists of one need no task; long ones are dealt as pairs of blocks
     live = posted.join(sizes, "key")
@@ -152,8 +182,10 @@ def posting_links(reps: DataFrame) -> DataFrame:
             if g.num_rows < 2:
                 continue
             ids = g.column("id").to_numpy()
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "u1").reshape(len(ids), COORDINATES)
-            pairs = _forest_of_list(ids, sig)
+            raw = np.frombuffer(b"".join(g.column("sig").to_pylist()), "u1").reshape(len(ids), COORDINATES + 2 * PREFIX)
+            sig, more = raw[:, :COORDINATES], np.ascontiguousarray(raw[:, COORDINATES:]).view("<u2")
+            code = sig[:, :PREFIX].astype(np.uint32) << np.uint32(16) | more
+            pairs = _forest_of_list(ids, sig, code, int(g.column("key")[0].as_py()) & ((1 << KEY_BITS) - 1))
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 

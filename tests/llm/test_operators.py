@@ -673,3 +673,31 @@ def test_training_of_repeated_ids(spark):
     once = train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
     again = train(spark.createDataFrame(docs * 3, "doc_id long, text string"), labels)
     assert np.array_equal(once[0], again[0]) and once[1] == again[1] and once[0].any()
+
+
+def test_posting_lists_count_a_pair_once():
+    """A list counts only pairs that no earlier coordinate posts; all lists together find all."""
+    from stratavox.llm.minhash import COORDINATES, MATCHES, PREFIX, _forest_of_list
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 256, COORDINATES).astype("u1")
+    sig = np.tile(base, (40, 1))
+    for k in range(40):
+        change = r.random(COORDINATES) < 0.3 * (k % 4)
+        sig[k, change] = r.integers(0, 256, change.sum())
+    code = sig[:, :PREFIX].astype(np.uint32)
+    label, pairs = np.arange(40), 0
+    for c in range(PREFIX):
+        for v in np.unique(code[:, c]):
+            on = np.flatnonzero(code[:, c] == v)
+            links = _forest_of_list(on, sig[on], code[on], c) if len(on) > 1 else []
+            pairs += len(links)
+            for a, b in links:
+                assert (code[a, :c] != code[b, :c]).all() and (sig[a] == sig[b]).sum() >= MATCHES
+                label[label == label[b]] = label[a]
+    near = (sig[:, None] == sig[None]).sum(2) >= MATCHES
+    near &= (code[:, None] == code[None]).any(2)
+    want = np.arange(40)
+    for a, b in zip(*np.nonzero(near)):
+        want[want == want[b]] = want[a]
+    assert pairs and ((label[:, None] == label) == (want[:, None] == want)).all()
