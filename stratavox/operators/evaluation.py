@@ -61,10 +61,10 @@ def frame_accuracy(rows: DataFrame) -> DataFrame:
 
 def evaluated_cells(points: DataFrame, cells: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
     """Cells that hold true points: (frame_no, key, level, resolution, semantic_class, gt_class, correct)."""
-    at = cell_lookup(points.filter("gt > 0").select("frame_no", "seq", "x", "y", "gt"), cells.select("frame_no", "key", "tx", "ty", "level", "resolution", "semantic_class"), cfg)
-    at = at.filter("c_key is not null").select("frame_no", F.col("c_key").alias("key"), F.col("c_level").alias("level"), F.col("c_resolution").alias("resolution"), F.col("c_semantic_class").alias("semantic_class"), "gt", "tx", "ty")
+    at = cell_lookup(points.filter("gt > 0").select("frame_no", "seq", "x", "y", "gt"), cells.select("frame_no", "tile", "key", "level", "resolution", "semantic_class"), cfg)
+    at = at.filter("c_key is not null").select("frame_no", F.col("c_key").alias("key"), F.col("c_level").alias("level"), F.col("c_resolution").alias("resolution"), F.col("c_semantic_class").alias("semantic_class"), "gt", "tile")
     counts = [F.count_if(F.col("gt") == c) for c in range(N_CLASSES)]
-    votes = at.groupBy("frame_no", "tx", "ty", "key", "level", "resolution", "semantic_class").agg(F.array(*counts).alias("votes"))
+    votes = at.groupBy("tile", "frame_no", "key", "level", "resolution", "semantic_class").agg(F.array(*counts).alias("votes"))
     votes = votes.withColumn("gt_class", (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))
     return votes.select("frame_no", "key", "level", "resolution", "semantic_class", "gt_class", (F.col("gt_class") == F.col("semantic_class")).alias("correct"))
 
@@ -78,7 +78,7 @@ def grid_accuracy(evaluated: DataFrame) -> DataFrame:
 
 def obstacle_safety(points: DataFrame, cells: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
     """Counters per frame. A point without a cell is a missed obstacle, and never a blocked road."""
-    at = cell_lookup(points.select("frame_no", "seq", "x", "y", "gt"), cells.select("frame_no", "key", "tx", "ty", "level", "traversability"), cfg)
+    at = cell_lookup(points.select("frame_no", "seq", "x", "y", "gt"), cells.select("frame_no", "tile", "key", "level", "traversability"), cfg)
     blocked = F.coalesce(F.col("c_traversability") < cfg.blocked_below, F.lit(False))
     gt = F.col("gt")
     out = []

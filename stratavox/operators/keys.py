@@ -49,11 +49,32 @@ def with_tiles(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
     return p.withColumns({"tx": F.shiftright("ix3", cfg.max_level), "ty": F.shiftright("iy3", cfg.max_level)})
 
 
+def level_of(tx: Column, ty: Column, cfg: GridConfig = CFG) -> Column:
+    """Level of a tile's base cells, by its distance."""
+    r2 = tile_r2(tx, ty, cfg)
+    return F.when(r2 < F.lit(cfg.band_l3_m**2), 3).when(r2 < F.lit(cfg.band_l2_m**2), 2).when(r2 < F.lit(cfg.band_l1_m**2), 1).otherwise(0)
+
+
+def pack_tile(tx: Column, ty: Column, cfg: GridConfig = CFG) -> Column:
+    """A tile's indices in one BIGINT."""
+    bits = cfg.key_bits - cfg.max_level
+    return F.shiftleft(tx, bits).bitwiseOR(ty + F.lit(1 << (bits - 1)))
+
+
+def tile_xy(tile: Column, cfg: GridConfig = CFG) -> tuple[Column, Column]:
+    bits = cfg.key_bits - cfg.max_level
+    return F.shiftright(tile, bits), tile.bitwiseAND(F.lit((1 << bits) - 1).cast("long")) - F.lit(1 << (bits - 1))
+
+
+def tile_of_key(key: Column, cfg: GridConfig = CFG) -> Column:
+    level, ix, iy = unpack_key(key, cfg)
+    down = lambda i: F.call_function("shiftright", i, level)
+    return pack_tile(down(ix), down(iy), cfg)
+
+
 def with_levels(p: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
     """Adds level, cx, cy (base cell) to points with tiles."""
-    r2 = tile_r2(F.col("tx"), F.col("ty"), cfg)
-    level = F.when(r2 < F.lit(cfg.band_l3_m**2), 3).when(r2 < F.lit(cfg.band_l2_m**2), 2).when(r2 < F.lit(cfg.band_l1_m**2), 1).otherwise(0)
-    p = p.withColumn("level", level)
+    p = p.withColumn("level", level_of(F.col("tx"), F.col("ty"), cfg))
     return p.withColumns({"cx": F.expr(f"shiftright(ix3, {cfg.max_level} - level)"), "cy": F.expr(f"shiftright(iy3, {cfg.max_level} - level)")})
 
 

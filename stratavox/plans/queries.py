@@ -73,7 +73,7 @@ def split_children(spark, d):
 
 def merge_groups(spark, d):
     groups = g.merge_groups(g.stage2(src.points(spark, d)))
-    return groups.filter("eligible").select("frame_no", "plevel", "px", "py").distinct()
+    return g.with_cells(groups.filter("eligible"), code="parent", names=("plevel", "px", "py")).select("frame_no", "plevel", "px", "py").distinct()
 
 
 def _eval(spark, d):
@@ -261,12 +261,12 @@ QUERIES = {
     "split_flags": lambda s, d: g.stage1(src.points(s, d)).select("frame_no", "level", "cx", "cy", "is_split"),
     "split_children": split_children,
     "merge_groups": merge_groups,
-    "grid_cells": _cells,
+    "grid_cells": lambda s, d: _cells(s, d).drop("tile"),
     "grid_stats": lambda s, d: g.grid_stats(src.points(s, d)),
     "grid_bounds": lambda s, d: g.grid_bounds(src.points(s, d)),
     "cells_by_level": lambda s, d: _cells(s, d).groupBy("frame_no", "level").agg(F.count("*").alias("n"), F.sum("point_count").alias("points")),
-    "cell_lookup": lambda s, d: g.cell_lookup(src.points(s, d).select("frame_no", "seq", "x", "y"), _cells(s, d).select("frame_no", "key", "tx", "ty", "level")).select("frame_no", "seq", F.col("c_key").alias("key")),
-    "unlabeled_lookup": lambda s, d: g.cell_lookup(src.points(s, d).filter("cls = 0").select("frame_no", "seq", "x", "y"), _cells(s, d).select("frame_no", "key", "tx", "ty", "level")).groupBy("frame_no").agg(F.count("*").alias("n"), F.count("c_key").alias("on_cell")),
+    "cell_lookup": lambda s, d: g.cell_lookup(src.points(s, d).select("frame_no", "seq", "x", "y"), _cells(s, d).select("frame_no", "tile", "key", "level")).select("frame_no", "seq", F.col("c_key").alias("key")),
+    "unlabeled_lookup": lambda s, d: g.cell_lookup(src.points(s, d).filter("cls = 0").select("frame_no", "seq", "x", "y"), _cells(s, d).select("frame_no", "tile", "key", "level")).groupBy("frame_no").agg(F.count("*").alias("n"), F.count("c_key").alias("on_cell")),
     "confusion": lambda s, d: ev.confusion(_active(s, d)),
     "iou_per_class": lambda s, d: ev.iou_per_class(ev.confusion(_active(s, d))),
     "miou": lambda s, d: ev.miou(ev.confusion(_active(s, d))).select(F.round("miou", 12).alias("miou"), "classes_present"),
