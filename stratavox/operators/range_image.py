@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratavox.config import N_CLASSES, SensorConfig
 
@@ -52,6 +52,10 @@ def kernel(sensor: SensorConfig = SENSOR) -> list[float]:
     return [1 - v / total for v in raw]
 
 
+#: Rows of the image that one task of the vote sees, besides the window's margin.
+BAND = 8
+
+
 def knn_vote(points: DataFrame, image: DataFrame, sensor: SensorConfig = SENSOR, height: int | None = None, width: int | None = None) -> DataFrame:
     """(frame_no, seq, label): the vote of the ``knn`` nearest pixels of a window.
 
@@ -60,26 +64,60 @@ def knn_vote(points: DataFrame, image: DataFrame, sensor: SensorConfig = SENSOR,
     far; the centre has the point's own range; neighbours beyond the cutoff and
     class 0 don't vote; with no vote at all the label is 1. Ties of distance go
     to the earlier place of the window, ties of votes to the lower class.
+
+    Points and pixels are dealt once, by bands of ``BAND`` rows of the image; a
+    pixel goes to the bands whose windows reach it. A band is bounded by the
+    sensor, and its windows are read off a dense array. As joins, every point
+    would be shuffled once per place of its window.
     """
+    import numpy as np
+    import pandas as pd
+
     if sensor.search % 2 == 0:
         raise ValueError("the search window must be odd")
     height, width = height or sensor.height, width or sensor.width
-    r, weights = sensor.search // 2, kernel(sensor)
-    places = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(i // sensor.search - r).alias("dy"), F.lit(i % sensor.search - r).alias("dx"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
-    p = points.select("frame_no", "seq", "px", "py", F.col("depth").alias("own"), F.inline(places))
-    p = p.withColumns({"ny": F.col("py") + F.col("dy"), "nx": F.col("px") + F.col("dx")})
-    image = image.select("frame_no", F.col("py").alias("ny"), F.col("px").alias("nx"), F.col("depth").alias("there"), F.col("cls").alias("c"))
-    p = p.join(image, ["frame_no", "ny", "nx"], "left")
-    outside = (F.col("ny") < 0) | (F.col("ny") >= height) | (F.col("nx") < 0) | (F.col("nx") >= width)
-    centre = (sensor.search * sensor.search - 1) // 2
-    span = F.when(F.col("place") == centre, F.col("own")).when(outside, F.lit(0.0)).otherwise(F.coalesce("there", F.lit(float("inf"))))
-    # an empty pixel carries class 0, as the padding does
-    p = p.select("frame_no", "seq", "place", (F.abs(span - F.col("own")) * F.col("w")).alias("dist"), F.coalesce("c", F.lit(0)).alias("c"))
-    near = p.withColumn("rank", F.row_number().over(Window.partitionBy("frame_no", "seq").orderBy("dist", "place"))).filter(F.col("rank") <= sensor.knn)
-    voted = F.when(F.col("dist") <= sensor.cutoff, F.col("c")) if sensor.cutoff > 0 else F.col("c")
-    counts = [F.count_if(voted == k) for k in range(1, N_CLASSES)]
-    votes = near.groupBy("frame_no", "seq").agg(F.array(*counts).alias("votes"))
-    return votes.select("frame_no", "seq", F.array_position("votes", F.array_max("votes")).cast("int").alias("label"))
+    r, n_places, weights = sensor.search // 2, sensor.search**2, np.array(kernel(sensor))
+    band = lambda row: F.floor(row / BAND).cast("int")
+    p = points.select("frame_no", band(F.col("py")).alias("band"), "seq", "px", "py", "depth")
+    reach = F.sequence(band(F.greatest(F.col("py") - r, F.lit(0))), band(F.least(F.col("py") + r, F.lit(height - 1))))
+    # names of their own: both sides may come from one table
+    rows = image.select(F.col("frame_no").alias("frame"), F.explode(reach).alias("strip"), F.col("py").alias("row"), F.col("px").alias("column"), F.col("depth").alias("range"), F.col("cls").alias("kind"))
+
+    def vote(key: tuple, pts: pd.DataFrame, pix: pd.DataFrame) -> pd.DataFrame:
+        top = int(key[1]) * BAND - r  # the first row of the dense array
+        depth = np.full((BAND + 2 * r, width + 2 * r), np.inf)
+        kind = np.zeros(depth.shape, np.int64)
+        at = np.arange(top, top + len(depth))
+        depth[(at < 0) | (at >= height)], depth[:, :r], depth[:, width + r :] = 0.0, 0.0, 0.0
+        y, x = pix["row"].to_numpy() - top, pix["column"].to_numpy() + r
+        depth[y, x], kind[y, x] = pix["range"].to_numpy(), pix["kind"].to_numpy()
+        out = []
+        for k in range(0, len(pts), 1 << 15):
+            part = pts.iloc[k : k + (1 << 15)]
+            y, x, own = part.py.to_numpy() - top - r, part.px.to_numpy(), part.depth.to_numpy()
+            place = (np.arange(n_places) // sensor.search, np.arange(n_places) % sensor.search)
+            there, c = (a[y[:, None] + place[0], x[:, None] + place[1]] for a in (depth, kind))
+            there[:, n_places // 2] = own
+            dist = np.abs(there - own[:, None]) * weights
+            near = np.argsort(dist, axis=1, kind="stable")[:, : sensor.knn]
+            c, far = np.take_along_axis(c, near, 1), np.take_along_axis(dist, near, 1) > sensor.cutoff
+            c = np.where(far, 0, c) if sensor.cutoff > 0 else c
+            votes = (c[:, :, None] == np.arange(1, N_CLASSES)).sum(axis=1)
+            out.append(pd.DataFrame({"frame_no": part.frame_no, "seq": part.seq, "label": (votes.argmax(axis=1) + 1).astype("int32")}))
+        return pd.concat(out) if out else pd.DataFrame({"frame_no": [], "seq": [], "label": []})
+
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema.fields}
+    return p.groupBy("frame_no", "band").cogroup(rows.groupBy("frame", "strip")).applyInPandas(vote, f"frame_no {kinds['frame_no']}, seq {kinds['seq']}, label int")
+
+
+def point_confidence(labels: DataFrame, points: DataFrame, scores: DataFrame) -> DataFrame:
+    """(frame_no, seq, cls, conf): every point's final label with its score at the point's pixel.
+
+    labels: frame_no, seq, label; points: frame_no, seq, px, py; scores: frame_no, py, px, probs.
+    """
+    at = points.select("frame_no", "seq", "px", "py").join(labels, ["frame_no", "seq"])
+    at = at.join(scores.select("frame_no", "py", "px", "probs"), ["frame_no", "py", "px"])
+    return at.select("frame_no", "seq", F.col("label").alias("cls"), F.get("probs", F.col("label")).cast("double").alias("conf"))
 
 
 def pixel_labels(points: DataFrame, image: DataFrame) -> DataFrame:
