@@ -233,7 +233,7 @@ def grid_bounds(points: DataFrame, cfg: GridConfig = CFG) -> DataFrame:
     t, pad = F.lit(cfg.tile_m), F.lit(cfg.padding_m)
     low = lambda c: F.floor((F.col(c) - pad) / t) * t
     high = lambda c: F.ceil((F.col(c) + pad) / t) * t
-    return b.select("frame_no", "x0", "y0", "x1", "y1", low("x0").alias("grid_x_min"), low("y0").alias("grid_y_min"), high("x1").alias("grid_x_max"), high("y1").alias("grid_y_max"), t.alias("tile_size"))
+    return b.select("frame_no", "x0", "y0", "x1", "y1", low("x0").alias("grid_x_min"), low("y0").alias("grid_y_min"), high("x1").alias("grid_x_max"), high("y1").alias("grid_y_max"), t.alias("tile_size"), F.array(*[F.lit(cfg.finest_m * 2 ** (cfg.max_level - k)) for k in range(cfg.max_level + 1)]).alias("level_sizes"))
 
 
 def cell_lookup(points: DataFrame, cells: DataFrame, cfg: GridConfig = CFG) -> DataFrame:

@@ -8,7 +8,6 @@ exponent.
 from __future__ import annotations
 
 from stratavox.config import CLASSES, LEARNING_MAP
-from stratavox.operators.range_image import kernel
 from stratavox.sources.adapter import STAGES
 
 PRI = "[" + ", ".join(str(c[3]) for c in CLASSES) + "]"
@@ -112,6 +111,11 @@ q AS (SELECT frame_no, least(greatest(floor(x_min / resolution + 0.5e0), -32768)
 QUANT = GRID + QCELLS
 
 
+QPOINTS = BASE + """ SELECT frame_no, seq, least(greatest(round_even(x * 100e0, 0), -32768), 32767)::INTEGER AS x_cm, least(greatest(round_even(y * 100e0, 0), -32768), 32767)::INTEGER AS y_cm, least(greatest(round_even(z * 100e0, 0), -32768), 32767)::INTEGER AS z_cm,
+      round_even(least(greatest(remission, 0e0), 1e0) * 255e0, 0)::INTEGER AS intensity, cls AS class, round_even(least(greatest(conf, 0e0), 1e0) * 255e0, 0)::INTEGER AS confidence, gt AS gt_class FROM pts"""
+QPOINTS_DECODED = QPOINTS.replace("frame_no, seq,", "frame_no,")
+
+
 def _drive(off: bool) -> str:
     return f"""SELECT frame_no, ix, iy, level, (CASE WHEN cls IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 16, 18, 19) OR complexity / 255e0 >= 0.8e0 THEN 2
     WHEN s = 0 AND (complexity / 255e0 >= 0.5e0 OR confidence / 255e0 < 0.5e0) THEN 1 ELSE s END)::INTEGER AS code
@@ -143,7 +147,16 @@ ec AS (SELECT frame_no, key, level, resolution, semantic_class, gt AS gt_class,
 PIX = BASE + """,
 px AS (SELECT frame_no, seq, (seq % 64)::INTEGER AS px, ((seq * 5) % 16)::INTEGER AS py, (512 + (seq * 29) % 4096) / 128e0 AS depth, cls FROM pts),
 own AS (SELECT frame_no, py, px, seq AS owner, depth, cls FROM px QUALIFY row_number() OVER (PARTITION BY frame_no, py, px ORDER BY depth, seq) = 1)"""
-_K = ", ".join(f"({i}, {i // 5 - 2}, {i % 5 - 2}, {w!r}e0)" for i, w in enumerate(kernel()))
+# the weights worked out in SQL: one minus a Gaussian of standard deviation 1, divided by its sum over the window
+KERNEL = """kn AS (SELECT (dy + 2) * 5 + dx + 2 AS place, dy, dx, 1e0 - exp(-(dx * dx + dy * dy) / 2e0) / sum(exp(-(dx * dx + dy * dy) / 2e0)) OVER () AS w
+  FROM (SELECT unnest(range(-2, 3))::INTEGER AS dy), (SELECT unnest(range(-2, 3))::INTEGER AS dx))"""
+KNN = PIX + f""", {KERNEL},
+      nb AS (SELECT p.frame_no, p.seq, place, abs(CASE WHEN place = 12 THEN p.depth WHEN p.py + dy < 0 OR p.py + dy >= 16 OR p.px + dx < 0 OR p.px + dx >= 64 THEN 0e0 ELSE coalesce(o.depth, 'inf'::DOUBLE) END - p.depth) * w AS dist, coalesce(o.cls, 0) AS c
+        FROM px p CROSS JOIN kn LEFT JOIN own o ON o.frame_no = p.frame_no AND o.py = p.py + dy AND o.px = p.px + dx),
+      nn AS (SELECT frame_no, seq, CASE WHEN dist <= 1e0 THEN c END AS c FROM nb QUALIFY row_number() OVER (PARTITION BY frame_no, seq ORDER BY dist, place) <= 5),
+      vt AS (SELECT frame_no, seq, c, count(*) AS n FROM nn WHERE c > 0 GROUP BY ALL),
+      bt AS (SELECT frame_no, seq, c FROM vt QUALIFY row_number() OVER (PARTITION BY frame_no, seq ORDER BY n DESC, c) = 1),
+      kv AS (SELECT frame_no, seq, px.px, px.py, coalesce(bt.c, 1)::INTEGER AS label FROM px LEFT JOIN bt USING (frame_no, seq))"""
 
 SENSOR_SQL = """,
 sp AS (SELECT frame_no, seq, x, y, z, remission, sqrt(x * x + y * y + z * z) AS depth FROM pts),
@@ -170,7 +183,7 @@ SQL: dict[str, str] = {
       LEFT JOIN (SELECT frame_no, count(*) AS n1, count(*) FILTER (is_split) AS n2 FROM s1 GROUP BY 1) b USING (frame_no)
       LEFT JOIN (SELECT frame_no, count(*) FILTER (is_merged) AS n1, count(*) AS n2 FROM st GROUP BY 1) c USING (frame_no)""",
     "grid_bounds": BASE + """ SELECT frame_no, x0, y0, x1, y1, floor((x0 - 1e0) / 0.4e0) * 0.4e0 AS grid_x_min, floor((y0 - 1e0) / 0.4e0) * 0.4e0 AS grid_y_min,
-      ceil((x1 + 1e0) / 0.4e0) * 0.4e0 AS grid_x_max, ceil((y1 + 1e0) / 0.4e0) * 0.4e0 AS grid_y_max, 0.4e0 AS tile_size
+      ceil((x1 + 1e0) / 0.4e0) * 0.4e0 AS grid_x_max, ceil((y1 + 1e0) / 0.4e0) * 0.4e0 AS grid_y_max, 0.4e0 AS tile_size, '0.40 0.20 0.10 0.05' AS level_sizes
       FROM (SELECT frame_no, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pts WHERE cls <> 0 GROUP BY 1)""",
     "cells_by_level": GRID + " SELECT frame_no, level, count(*) AS n, sum(point_count) AS points FROM cells GROUP BY ALL",
     "cell_lookup": LOOKED + " SELECT frame_no, seq, c_key AS key FROM lk",
@@ -188,7 +201,7 @@ SQL: dict[str, str] = {
       SELECT variant, sum(CASE WHEN gt = pred THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS accuracy, sum(n)::BIGINT AS points, any_value(m.miou) AS miou, any_value(m.k) AS classes_present FROM vc
       JOIN (SELECT variant, round(avg(iou), 12) AS miou, count(*) AS k FROM """ + _iou("vc", "variant") + " WHERE class_id >= 1 AND gt_points > 0 GROUP BY variant) m USING (variant) GROUP BY variant",
     "grid_accuracy_rollup": LOOKED + EVAL + """ SELECT level, count(*) AS cells, count(*) FILTER (correct) AS correct, round(sum(resolution * resolution), 9) AS area, round(coalesce(sum(resolution * resolution) FILTER (correct), 0), 9) AS area_correct,
-      count(*) FILTER (correct) / count(*)::DOUBLE AS by_cell FROM ec GROUP BY ROLLUP (level)""",
+      count(*) FILTER (correct) / count(*)::DOUBLE AS by_cell, round(coalesce(sum(resolution * resolution) FILTER (correct), 0) / sum(resolution * resolution), 9) AS by_area FROM ec GROUP BY ROLLUP (level)""",
     "grid_frame_accuracy": LOOKED + EVAL + " SELECT frame_no, count(*) AS cells, count(*) FILTER (correct) / count(*)::DOUBLE AS accuracy FROM ec GROUP BY 1",
     "obstacle_safety": LOOKED + """ SELECT frame_no, count(*) FILTER (o) AS obs, count(*) FILTER (o AND NOT b) AS obs_missed, count(*) FILTER (d) AS dyn, count(*) FILTER (d AND NOT b) AS dyn_missed, count(*) FILTER (v) AS drv, count(*) FILTER (v AND b) AS drv_blocked
       FROM (SELECT frame_no, gt IN (1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 16, 18, 19) AS o, gt BETWEEN 1 AND 8 AS d, gt IN (9, 10) AS v, coalesce(c_trav < 0.5e0, false) AS b FROM lk) GROUP BY 1""",
@@ -202,28 +215,27 @@ SQL: dict[str, str] = {
       SELECT record, frame_no, value FROM r WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record ORDER BY value DESC, frame_no) = 1""",
     "fastest_frame": TIMES + "SELECT frame, end_to_end AS end_to_end_ms, seg_total AS seg_ms, grid_engine_total AS grid_ms FROM t ORDER BY end_to_end, frame_no LIMIT 1",
     "stress_test": CM + " SELECT 'ground truth' AS source, frame_no, count(*) FILTER (gt = 1) AS car_points, count(*) FILTER (gt = 6) AS person_points FROM pc GROUP BY frame_no ORDER BY car_points + person_points DESC, frame_no LIMIT 1",
-    "throughput": TIMES + "SELECT sum(n_points)::BIGINT AS points, sum(end_to_end) / 1000 AS seconds, round(sum(n_points) / (sum(end_to_end) / 1000), 6) AS points_per_s, round(count(*) / (sum(end_to_end) / 1000), 6) AS frames_per_s, round(57.8e0 * (sum(end_to_end) / 1000) / count(*), 6) AS joules_per_frame FROM t",
+    "throughput": TIMES.rstrip() + """, r AS (SELECT event_id * 3 / 64e0 AS ti, value AS watts FROM events), i AS (SELECT event_id * 7 / 32e0 AS s, event_id * 7 / 32e0 + 0.125e0 AS e FROM events),
+      w AS (SELECT avg(watts) AS mean_w, max(watts) AS peak_w, count(*) AS k FROM r ASOF JOIN i ON r.ti >= i.s WHERE ti <= e),
+      a AS (SELECT count(*) AS frames, sum(n_points)::BIGINT AS points, sum(end_to_end) / 1000 AS seconds, sum(grid_engine_total) / 1000 AS grid_s FROM t)
+      SELECT frames, points, seconds, k AS power_readings, peak_w, round(points / seconds, 6) AS points_per_s, round(frames / seconds, 6) AS frames_per_s, round(points / grid_s, 6) AS grid_engine_points_per_s, round(mean_w, 6) AS mean_active_w,
+      round(mean_w * seconds / frames, 6) AS joules_per_frame, round(1e0 / (mean_w * seconds / frames), 6) AS frames_per_joule FROM a, w""",
     "power_asof": "WITH r AS (SELECT event_id AS reading, event_id * 3 / 64e0 AS t, value AS watts FROM events), i AS (SELECT event_id AS interval_id, event_id * 7 / 32e0 AS s, event_id * 7 / 32e0 + 0.125e0 AS e FROM events) SELECT reading, t, watts, interval_id AS \"interval\" FROM r ASOF JOIN i ON r.t >= i.s WHERE t <= e",
-    "bench_left_accuracy": CM + FACC + ", n AS (SELECT o_orderkey AS frame_no FROM orders WHERE o_orderkey < 12) SELECT n.frame_no::INTEGER AS frame_no, accuracy FROM n LEFT JOIN fa ON n.frame_no = fa.frame_no",
+    "bench_left_accuracy": CM + FACC + " SELECT o_orderkey::INTEGER AS frame_no, accuracy FROM orders LEFT JOIN fa ON o_orderkey = frame_no",
     "pred_class_points": GRID + " SELECT frame_no, sum(CASE WHEN semantic_class = 1 THEN point_count ELSE 0 END)::BIGINT AS pred_car_points, sum(CASE WHEN semantic_class = 6 THEN point_count ELSE 0 END)::BIGINT AS pred_person_points FROM cells GROUP BY 1",
     "drivability_on_road": QUANT + " " + _drive(False),
     "drivability_off_road": QUANT + " " + _drive(True),
     "drivable_area": QUANT + f", d AS ({_drive(False)}), a AS (SELECT frame_no, code, 0.05e0 * (1 << (3 - level)) AS s FROM d), fr AS (SELECT DISTINCT frame_no FROM a) SELECT frame_no, state, round(coalesce((SELECT sum(s * s) FROM a WHERE a.frame_no = fr.frame_no AND a.code = c), 0e0), 9) AS area_m2 FROM fr, (VALUES (0, 'drivable'), (1, 'caution'), (2, 'blocked')) v(c, state)",
     "quantize_cells": QUANT + " SELECT * FROM q",
-    "quantize_points": BASE + """ SELECT frame_no, seq, least(greatest(round_even(x * 100e0, 0), -32768), 32767)::INTEGER AS x_cm, least(greatest(round_even(y * 100e0, 0), -32768), 32767)::INTEGER AS y_cm, least(greatest(round_even(z * 100e0, 0), -32768), 32767)::INTEGER AS z_cm,
-      round_even(least(greatest(remission, 0e0), 1e0) * 255e0, 0)::INTEGER AS intensity, cls AS class, round_even(least(greatest(conf, 0e0), 1e0) * 255e0, 0)::INTEGER AS confidence, gt AS gt_class FROM pts""",
+    "quantize_points": QPOINTS,
+    "decode_points": QPOINTS_DECODED,
     "dequantize_cells": QUANT + " SELECT frame_no, level, cls, 0.05e0 * (1 << (3 - level)) AS size, ix * (0.05e0 * (1 << (3 - level))) AS x_min, iy * (0.05e0 * (1 << (3 - level))) AS y_min, z_min_cm / 100e0 AS min_height, z_max_cm / 100e0 AS max_height, z_cm / 100e0 AS elevation, z_std_mm / 1000e0 AS height_std, trav / 255e0 AS traversability, complexity / 255e0 AS terrain_complexity, confidence / 255e0 AS semantic_confidence, n_points FROM q",
     "point_stride": BASE + " SELECT frame_no, seq FROM pts WHERE seq % 4 = 0",
-    "preview_filter": BASE + " SELECT frame_no, seq, x, y FROM pts WHERE abs(x) < 40 AND abs(y) < 40",
+    "preview_filter": GRID + " SELECT frame_no, key, x_min, x_max, y_min, y_max, traversability FROM cells WHERE abs(x_center) < 40 AND abs(y_center) < 40",
     "nearest_per_pixel": PIX + " SELECT frame_no, py, px, owner, depth FROM own",
     "pixel_lookup": PIX + " SELECT frame_no, seq, own.cls AS pixel_cls FROM px LEFT JOIN own USING (frame_no, py, px)",
-    "knn_vote": PIX + f""", kn(place, dy, dx, w) AS (VALUES {_K}),
-      nb AS (SELECT p.frame_no, p.seq, place, abs(CASE WHEN place = 12 THEN p.depth WHEN p.py + dy < 0 OR p.py + dy >= 16 OR p.px + dx < 0 OR p.px + dx >= 64 THEN 0e0 ELSE coalesce(o.depth, 'inf'::DOUBLE) END - p.depth) * w AS dist, coalesce(o.cls, 0) AS c
-        FROM px p CROSS JOIN kn LEFT JOIN own o ON o.frame_no = p.frame_no AND o.py = p.py + dy AND o.px = p.px + dx),
-      nn AS (SELECT frame_no, seq, CASE WHEN dist <= 1e0 THEN c END AS c FROM nb QUALIFY row_number() OVER (PARTITION BY frame_no, seq ORDER BY dist, place) <= 5),
-      vt AS (SELECT frame_no, seq, c, count(*) AS n FROM nn WHERE c > 0 GROUP BY ALL),
-      bt AS (SELECT frame_no, seq, c FROM vt QUALIFY row_number() OVER (PARTITION BY frame_no, seq ORDER BY n DESC, c) = 1)
-      SELECT frame_no, seq, coalesce(bt.c, 1)::INTEGER AS label FROM px LEFT JOIN bt USING (frame_no, seq)""",
+    "knn_vote": KNN + " SELECT frame_no, seq, label FROM kv",
+    "final_confidence": KNN + " SELECT frame_no, seq, label AS cls, ((px * 31 + py * 17 + label * 7) % 97) / 128e0 AS conf FROM kv",
     "project_pixels": BASE + SENSOR_SQL + " SELECT frame_no, seq, px, py FROM pr",
     "range_channels": BASE + SENSOR_SQL + """, o AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY frame_no, py, px ORDER BY depth, seq) = 1)
       SELECT frame_no, py, px, seq AS owner, round((depth - 12.12e0) / 12.32e0, 9) AS ch_depth, (x - 10.88e0) / 11.47e0 AS ch_x, (y - 0.23e0) / 6.91e0 AS ch_y, (z - -1.04e0) / 0.86e0 AS ch_z, (remission - 0.21e0) / 0.16e0 AS ch_remission FROM o""",
@@ -231,9 +243,18 @@ SQL: dict[str, str] = {
     "latency_histogram": TIMES + ", b AS (SELECT min(end_to_end) AS lo, max(end_to_end) AS hi FROM t) SELECT least(floor((end_to_end - lo) / ((hi - lo) / 50)), 49)::INTEGER AS bin, count(*) AS n FROM t, b GROUP BY 1",
     "class_table": "SELECT * FROM (VALUES " + ", ".join(f"({c[0]}, '{c[1]}', '{c[2]}', {c[3]}, {c[4]:.2f}e0)" for c in CLASSES) + ") v(class_id, name, color, priority, traversability)",
     "labeled_upload": BASE + " SELECT frame_no, seq, x, y, z, cls, 1e0 AS conf FROM pts",
-    "clip_summary": TIMES + "SELECT round(quantile_cont(grid_engine_total, 0.5e0), 6) AS median_grid_ms, round(quantile_cont(end_to_end, 0.5e0), 6) AS median_e2e_ms, count(*) AS frames FROM t",
-    "frame_header": GRID + " SELECT frame_no, count(*) AS n_cells, sum(point_count)::BIGINT AS n_points, min(level) AS min_level, max(level) AS max_level FROM cells GROUP BY 1",
-    "frame_round_trip": GRID + " SELECT frame_no, n_points, n_cells FROM (SELECT frame_no, count(*) AS n_cells FROM cells GROUP BY 1) JOIN (SELECT frame_no, count(*) AS n_points FROM pts WHERE seq % 3 = 0 GROUP BY 1) USING (frame_no)",
+    "clip_summary": CM + FACC + ", " + TIMES.removeprefix("WITH ") + "SELECT round(quantile_cont(grid_engine_total, 0.5e0), 6) AS median_grid_ms, round(quantile_cont(end_to_end, 0.5e0), 6) AS median_e2e_ms, count(*) AS frames, (SELECT round(avg(accuracy), 9) FROM fa) AS mean_accuracy FROM t",
+    "frame_levels": GRID + " SELECT frame_no, count(*) AS n_cells, sum(point_count)::BIGINT AS n_points, min(level) AS min_level, max(level) AS max_level FROM cells GROUP BY 1",
+    "frame_header": GRID + VARIANTS + FACC + """, a AS (SELECT frame_no, count(*) AS np, count(*) FILTER (cls <> 0) AS nu FROM pts GROUP BY 1), b AS (SELECT frame_no, count(*) FILTER (is_split) AS ns FROM s1 GROUP BY 1), c AS (SELECT frame_no, count(*) AS nc, count(*) FILTER (is_merged) AS nm FROM st GROUP BY 1)
+      SELECT frame_no, 'LGF1' AS format, 1 AS version, printf('%06d', frame_no) AS frame_id, np AS n_points_total, 1 AS point_stride, nc AS n_cells, 1.73e0 AS sensor_height_m, 0.4e0 AS level_0_m, 0.05e0 AS level_3_m, 'mm' AS z_std_unit,
+      nu AS n_points_used, ns AS n_splits, nm AS n_merges, round(fa.accuracy, 12) AS accuracy FROM a JOIN b USING (frame_no) JOIN c USING (frame_no) LEFT JOIN fa USING (frame_no)""",
+    "decode_cells": QUANT + " SELECT * FROM q",
+    "manifest_frames": GRID + VARIANTS + FACC + """, a AS (SELECT frame_no, count(*) AS np FROM pts GROUP BY 1), c AS (SELECT frame_no, count(*) AS nc, count(*) FILTER (is_merged) AS nm FROM st GROUP BY 1)
+      SELECT (row_number() OVER (ORDER BY frame_no) - 1)::INTEGER AS "index", printf('%06d', frame_no) AS id, 'lite/' || printf('%06d', frame_no) || '.lgf.gz' AS lite, 'full/' || printf('%06d', frame_no) || '.lgf.gz' AS "full", np AS n_points, nc AS n_cells, nm AS n_merges, round(fa.accuracy, 12) AS accuracy
+      FROM a JOIN c USING (frame_no) LEFT JOIN fa USING (frame_no)""",
+    "label_paths": "WITH n AS (SELECT DISTINCT event_id % 50 AS n FROM events) SELECT printf('%06d', n) AS frame_id, '/scans/' || printf('%06d', n) || '.bin' AS path, CASE WHEN n % 3 <> 0 THEN '/labels/' || printf('%06d', n) || '.label' END AS label_path FROM n",
+    "gt_optional": BASE + " SELECT frame_no, seq, cls, CASE WHEN frame_no <> 3 THEN gt END AS gt FROM pts",
+    "frame_round_trip": GRID + " SELECT frame_no, n_points, n_cells FROM (SELECT frame_no, count(*) AS n_cells FROM cells GROUP BY 1) JOIN (SELECT frame_no, count(*) AS n_points FROM pts GROUP BY 1) USING (frame_no)",
     "grid_micro_batch": GRID + " SELECT frame_no, level, count(*) AS n, sum(point_count) AS points FROM cells GROUP BY ALL",
     "iou_chart": CM + f", nm AS {_names()} SELECT name, iou, printf('%.1f', iou * 100) AS label FROM {_iou('cm')} JOIN nm USING (class_id) WHERE class_id > 0 AND gt_points > 0",
     "chart_rows": CM + ", r AS (SELECT gt, pred, n / greatest(sum(n) OVER (PARTITION BY gt), 1)::DOUBLE AS share FROM cm) SELECT gt, pred, round(share * 100, 6) AS percent FROM r WHERE gt <> 5 AND pred <> 5 AND share >= 0.01e0",
@@ -243,7 +264,9 @@ SQL: dict[str, str] = {
     "size_labels": GRID + " SELECT (5 * (1 << (3 - level)))::VARCHAR || ' cm' AS size, count(*) AS n FROM cells GROUP BY 1",
     "typed_cells": GRID + " SELECT frame_no, key, level, semantic_class, semantic_priority, point_count FROM cells",
     "dense_confusion": CM + " SELECT gt, " + ", ".join(f"coalesce(sum(n) FILTER (pred = {k}), 0)::BIGINT AS p{k}" for k in range(20)) + " FROM cm GROUP BY gt",
-    "class_table_json": f"SELECT class_id, CAST(json_object('id', class_id, 'name', name, 'color', color) AS VARCHAR) AS json FROM {_names()}",
-    "bookmarks": CM + FACC + """, r AS (SELECT 'highest_accuracy' AS record, frame_no, accuracy AS value FROM fa UNION ALL SELECT 'highest_car_iou', frame_no, car_iou FROM fa WHERE gt_car_points >= 1 UNION ALL SELECT 'highest_person_iou', frame_no, person_iou FROM fa WHERE gt_person_points >= 1)
-      SELECT record, frame_no, value FROM r WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record ORDER BY value DESC, frame_no) = 1""",
+    "class_table_json": "SELECT class_id, CAST(json_object('id', class_id, 'name', name, 'color', color, 'priority', priority, 'traversability', traversability) AS VARCHAR) AS json FROM (SELECT * FROM (VALUES " + ", ".join(f"({c[0]}, '{c[1]}', '{c[2]}', {c[3]}, {c[4]:.2f}e0)" for c in CLASSES) + ") v(class_id, name, color, priority, traversability))",
+    "bookmarks": CM + FACC + ", " + TIMES.removeprefix("WITH ").rstrip() + """, f AS (SELECT fa.*, t.end_to_end FROM fa LEFT JOIN t ON fa.frame_no = t.frame_no),
+      r AS (SELECT 'Highest overall accuracy' AS label, frame_no, accuracy AS value, 1 AS way FROM f UNION ALL SELECT 'Highest car IoU', frame_no, car_iou, 1 FROM f WHERE gt_car_points >= 50 UNION ALL SELECT 'Highest person IoU', frame_no, person_iou, 1 FROM f WHERE gt_person_points >= 20
+        UNION ALL SELECT 'Stress test (most car + pedestrian points)', frame_no, (gt_car_points + gt_person_points)::DOUBLE, 1 FROM f UNION ALL SELECT 'Fastest end to end (ms)', frame_no, end_to_end, -1 FROM f UNION ALL SELECT 'Slowest end to end (ms)', frame_no, end_to_end, 1 FROM f)
+      SELECT label, printf('%06d', frame_no) AS frame, frame_no AS "index", value FROM r WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY value * way DESC, frame_no) = 1""",
 }

@@ -92,7 +92,7 @@ def accuracy_by_band(spark, d):
 
 def grid_accuracy_rollup(spark, d):
     r = ev.grid_accuracy(_eval(spark, d))
-    return r.select("level", "cells", "correct", F.round("area", 9).alias("area"), F.round("area_correct", 9).alias("area_correct"), "by_cell")
+    return r.select("level", "cells", "correct", F.round("area", 9).alias("area"), F.round("area_correct", 9).alias("area_correct"), "by_cell", F.round("by_area", 9).alias("by_area"))
 
 
 def grid_frame_accuracy(spark, d):
@@ -111,21 +111,16 @@ def stress_test(spark, d):
 
 
 def throughput(spark, d):
-    t = rp.throughput(_timings(spark, d))
-    return t.select("points", "seconds", *[F.round(c, 6).alias(c) for c in ("points_per_s", "frames_per_s", "joules_per_frame")])
+    t = rp.throughput(_timings(spark, d), rp.power_during(src.power_readings(spark, d), src.processing_intervals(spark, d)))
+    return t.select("frames", "points", "seconds", "power_readings", "peak_w", *[F.round(c, 6).alias(c) for c in ("points_per_s", "frames_per_s", "grid_engine_points_per_s", "mean_active_w", "joules_per_frame", "frames_per_joule")])
 
 
-def bench_accuracy(spark, d):
+def bench_left_accuracy(spark, d):
     """Every benchmark frame beside its accuracy; null where it has no points."""
     n = src.frame_timings(spark, d).select(F.col("frame_no").cast("int").alias("frame_no"))
     return n.join(ev.frame_accuracy(_active(spark, d)).select("frame_no", "accuracy"), "frame_no", "left")
 
 
-def bench_left_accuracy(spark, d):
-    """The frames of bench_accuracy that the query's SQL asks for: a subset."""
-    return bench_accuracy(spark, d).filter("frame_no < 12")
-
-
 def pred_class_points(spark, d):
     c = _cells(spark, d)
     of = lambda k, n: F.sum(F.when(F.col("semantic_class") == k, F.col("point_count")).otherwise(0.0)).cast("long").alias(n)
@@ -161,17 +156,85 @@ def grid_micro_batch(spark, d):
     return stream_to_table(spark, d)
 
 
-def round_trip(spark, d, stride=1):
-    """Frames encoded to bytes and decoded again, with every point unless there's a stride."""
-    from stratavox.sources.frames import decode_frames, encode_frames
+def _encoded(spark, d):
+    """Frame files of all points and cells, with their counters in the header."""
+    from stratavox.sources.frames import encode_frames, frame_meta
 
-    p, c = quantize_points(src.points(spark, d), stride), quantize_cells(_cells(spark, d))
-    return decode_frames(encode_frames(p, c)).select("frame_no", "n_points", "n_cells")
+    p = src.points(spark, d)
+    accuracy = ev.frame_accuracy(_active(spark, d)).select("frame_no", "accuracy", "car_iou", "person_iou")
+    return encode_frames(quantize_points(p), quantize_cells(g.build_grid(p)), meta=frame_meta(g.grid_stats(p), accuracy=accuracy))
 
 
 def frame_round_trip(spark, d):
-    """The round trip of every third point, as the query's SQL asks."""
-    return round_trip(spark, d, 3)
+    """Frames encoded to bytes and decoded again, with every point."""
+    from stratavox.sources.frames import decode_frames
+
+    return decode_frames(_encoded(spark, d)).select("frame_no", "n_points", "n_cells")
+
+
+def decode_cells(spark, d):
+    """Every field of every cell, read back from the frames' bytes."""
+    from stratavox.sources.frames import decode_cells as decode
+
+    return decode(_encoded(spark, d)).drop("place")
+
+
+def decode_points(spark, d):
+    """Every field of every point, read back from the frames' bytes."""
+    from stratavox.sources.frames import decode_points as decode
+
+    return decode(_encoded(spark, d)).drop("place")
+
+
+def frame_header(spark, d):
+    """Fields of the headers as a reader of the files finds them."""
+    from stratavox.sources.frames import decode_frames
+
+    h = decode_frames(_encoded(spark, d))
+    field = lambda path, kind, name: F.get_json_object("header", f"$.{path}").cast(kind).alias(name)
+    return h.select(
+        "frame_no", field("format", "string", "format"), field("version", "int", "version"), field("frame_id", "string", "frame_id"), field("n_points_total", "long", "n_points_total"), field("point_stride", "int", "point_stride"), field("n_cells", "long", "n_cells"),
+        field("sensor_height_m", "double", "sensor_height_m"), field("level_sizes_m[0]", "double", "level_0_m"), field("level_sizes_m[3]", "double", "level_3_m"), field("units.z_std", "string", "z_std_unit"),
+        field("stats.n_points_used", "long", "n_points_used"), field("stats.n_splits", "long", "n_splits"), field("stats.n_merges", "long", "n_merges"), F.round(field("accuracy.accuracy", "double", "a"), 12).alias("accuracy"),
+    )
+
+
+def manifest_frames(spark, d):
+    """Rows of a clip's manifest, but for the files' sizes."""
+    from stratavox.sources.frames import frame_meta, manifest_frames as listed
+
+    p = src.points(spark, d)
+    stats = g.grid_stats(p)
+    per = p.groupBy("frame_no").agg(F.count("*").alias("n_points")).join(stats.select("frame_no", F.col("n_final_cells").alias("n_cells")), "frame_no")
+    rows = listed(per, frame_meta(stats, accuracy=ev.frame_accuracy(_active(spark, d)).select("frame_no", "accuracy")))
+    return rows.select("index", "id", "lite", "full", "n_points", "n_cells", F.get_json_object("meta", "$.stats.n_merges").cast("long").alias("n_merges"), F.round(F.get_json_object("meta", "$.accuracy.accuracy").cast("double"), 12).alias("accuracy"))
+
+
+def label_paths(spark, d):
+    """Every scan of a listing beside its label file, null where there is none."""
+    from stratavox.sources.frames import label_paths as paired
+
+    n = F.col("event_id") % 50
+    name = F.format_string("%06d", n)
+    rows = src.table(spark, d, "events").select(n.alias("n"), name.alias("frame_id")).distinct()
+    scans = rows.select("frame_id", F.concat(F.lit("/scans/"), "frame_id", F.lit(".bin")).alias("path"))
+    labels = rows.filter("n % 3 <> 0").select("frame_id", F.concat(F.lit("/labels/"), "frame_id", F.lit(".label")).alias("path"))
+    return paired(scans, labels)
+
+
+def gt_optional(spark, d):
+    """Points of all frames beside their true class; frames 3 have no labels, so theirs is null."""
+    p = src.points(spark, d)
+    labels = p.filter("frame_no <> 3").select("frame_no", "seq", "gt")
+    return p.select("frame_no", "seq", "cls").join(labels, ["frame_no", "seq"], "left")
+
+
+def final_confidence(spark, d):
+    """Score of every point's voted class at its pixel, by scores that follow from the pixel."""
+    p = src.pixels(spark, d)
+    image = ri.nearest_per_pixel(p).select("frame_no", "py", "px")
+    probs = F.transform(F.sequence(F.lit(0), F.lit(config.N_CLASSES - 1)), lambda c: ((F.col("px") * 31 + F.col("py") * 17 + c * 7) % 97) / F.lit(128.0))
+    return ri.point_confidence(knn_vote(spark, d), p, image.withColumn("probs", probs))
 
 
 def _named_iou(spark, d):
@@ -229,12 +292,20 @@ def dense_confusion(spark, d):
 
 
 def class_table_json(spark, d):
-    return config.class_table(spark).select("class_id", F.to_json(F.struct(F.col("class_id").alias("id"), "name", "color")).alias("json"))
+    return config.class_table(spark).select("class_id", F.to_json(F.struct(F.col("class_id").alias("id"), "name", "color", "priority", "traversability")).alias("json"))
 
 
 def bookmarks(spark, d):
-    """Best accuracy, car and person frames of a clip, by true classes."""
-    return rp.record_frames(ev.frame_accuracy(_active(spark, d)), min_car=1, min_person=1)
+    """The marks of a clip of all frames."""
+    t = _timings(spark, d).select(F.col("frame_no").cast("int").alias("frame_no"), "end_to_end")
+    frames = ev.frame_accuracy(_active(spark, d)).join(t, "frame_no", "left")
+    return rp.bookmarks(frames.withColumns({"index": F.col("frame_no"), "frame": F.format_string("%06d", "frame_no")}))
+
+
+def preview_filter(spark, d):
+    """Cells whose centre is within 40 m on both axes."""
+    near = (F.abs("x_center") < 40) & (F.abs("y_center") < 40)
+    return _cells(spark, d).filter(near).select("frame_no", "key", "x_min", "x_max", "y_min", "y_max", "traversability")
 
 
 QUERIES = {
@@ -263,7 +334,7 @@ QUERIES = {
     "merge_groups": merge_groups,
     "grid_cells": lambda s, d: _cells(s, d).drop("tile"),
     "grid_stats": lambda s, d: g.grid_stats(src.points(s, d)),
-    "grid_bounds": lambda s, d: g.grid_bounds(src.points(s, d)),
+    "grid_bounds": lambda s, d: g.grid_bounds(src.points(s, d)).withColumn("level_sizes", F.array_join(F.transform("level_sizes", lambda x: F.format_string("%.2f", x)), " ")),
     "cells_by_level": lambda s, d: _cells(s, d).groupBy("frame_no", "level").agg(F.count("*").alias("n"), F.sum("point_count").alias("points")),
     "cell_lookup": lambda s, d: g.cell_lookup(src.points(s, d).select("frame_no", "seq", "x", "y"), _cells(s, d).select("frame_no", "tile", "key", "level")).select("frame_no", "seq", F.col("c_key").alias("key")),
     "unlabeled_lookup": lambda s, d: g.cell_lookup(src.points(s, d).filter("cls = 0").select("frame_no", "seq", "x", "y"), _cells(s, d).select("frame_no", "tile", "key", "level")).groupBy("frame_no").agg(F.count("*").alias("n"), F.count("c_key").alias("on_cell")),
@@ -294,7 +365,7 @@ QUERIES = {
     "quantize_points": lambda s, d: quantize_points(src.points(s, d)),
     "dequantize_cells": lambda s, d: dequantize_cells(quantize_cells(_cells(s, d))),
     "point_stride": lambda s, d: quantize_points(src.points(s, d), 4).select("frame_no", "seq"),
-    "preview_filter": lambda s, d: src.points(s, d).filter("abs(x) < 40 and abs(y) < 40").select("frame_no", "seq", "x", "y"),
+    "preview_filter": preview_filter,
     "nearest_per_pixel": lambda s, d: ri.nearest_per_pixel(src.pixels(s, d)),
     "pixel_lookup": pixel_lookup,
     "knn_vote": knn_vote,
@@ -304,8 +375,15 @@ QUERIES = {
     "latency_histogram": lambda s, d: rp.histogram(_timings(s, d), "end_to_end"),
     "class_table": lambda s, d: config.class_table(s),
     "labeled_upload": lambda s, d: src.points(s, d).select("frame_no", "seq", "x", "y", "z", "cls", F.lit(1.0).alias("conf")),
-    "clip_summary": lambda s, d: _timings(s, d).agg(F.round(F.percentile("grid_engine_total", F.lit(0.5)), 6).alias("median_grid_ms"), F.round(F.percentile("end_to_end", F.lit(0.5)), 6).alias("median_e2e_ms"), F.count("*").alias("frames")),
+    "clip_summary": lambda s, d: rp.clip_summary(_timings(s, d), ev.frame_accuracy(_active(s, d))),
     "frame_round_trip": frame_round_trip,
     "grid_micro_batch": grid_micro_batch,
-    "frame_header": lambda s, d: _cells(s, d).groupBy("frame_no").agg(F.count("*").alias("n_cells"), F.sum("point_count").cast("long").alias("n_points"), F.min("level").alias("min_level"), F.max("level").alias("max_level")),
+    "frame_header": frame_header,
+    "frame_levels": lambda s, d: _cells(s, d).groupBy("frame_no").agg(F.count("*").alias("n_cells"), F.sum("point_count").cast("long").alias("n_points"), F.min("level").alias("min_level"), F.max("level").alias("max_level")),
+    "decode_cells": decode_cells,
+    "decode_points": decode_points,
+    "manifest_frames": manifest_frames,
+    "label_paths": label_paths,
+    "gt_optional": gt_optional,
+    "final_confidence": final_confidence,
 }

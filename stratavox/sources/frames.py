@@ -9,13 +9,16 @@ points), so it is built in one task; frames are spread over tasks.
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from stratavox.config import LEARNING_MAP
@@ -24,6 +27,9 @@ from stratavox.config import LEARNING_MAP
 MAGIC = b"LGF1"
 VERSION = 1
 ALIGN = 8
+LEVEL_SIZES_M = [0.4, 0.2, 0.1, 0.05]
+SENSOR_HEIGHT_M = 1.73
+UNITS = {"xyz": "cm", "z": "cm", "z_std": "mm", "fractions": "0-255 = 0-1"}
 POINT_SECTIONS = {"points.xyz_cm": ("int16", ["x_cm", "y_cm", "z_cm"]), "points.intensity": ("uint8", ["intensity"]), "points.class": ("uint8", ["class"]), "points.confidence": ("uint8", ["confidence"]), "points.gt_class": ("uint8", ["gt_class"])}
 CELL_SECTIONS = {"cells.ixy": ("int16", ["ix", "iy"]), "cells.level": ("uint8", ["level"]), "cells.class": ("uint8", ["cls"]), "cells.z_cm": ("int16", ["z_min_cm", "z_max_cm", "z_cm"]), "cells.z_std_mm": ("uint16", ["z_std_mm"]), "cells.traversability": ("uint8", ["trav"]), "cells.complexity": ("uint8", ["complexity"]), "cells.confidence": ("uint8", ["confidence"]), "cells.point_count": ("uint16", ["n_points"])}
 
@@ -71,93 +77,190 @@ def parse_frame(raw: bytes) -> tuple[dict, dict[str, np.ndarray]]:
     return header, {s["name"]: np.frombuffer(raw, s["dtype"], int(np.prod(s["shape"])), s["offset"]).reshape(s["shape"]) for s in header["sections"]}
 
 
-def encode_frames(points: DataFrame, cells: DataFrame, level: int | None = 6, extra: dict | None = None) -> DataFrame:
-    """(frame_no, content): one frame file per frame, from quantised points and cells."""
+def frame_header(frame_id: str, n_points_total: int, n_cells: int, stride: int = 1, meta: dict | None = None, extra: dict | None = None) -> dict:
+    """Header of a frame file. meta: stats, timing_ms, accuracy; extra: further or other fields."""
+    meta = meta or {}
+    header = {"frame_id": frame_id, "source": "precomputed", "sequence": None, "n_points_total": n_points_total, "point_stride": max(int(stride), 1), "n_cells": n_cells, "level_sizes_m": LEVEL_SIZES_M, "sensor_height_m": SENSOR_HEIGHT_M, "units": UNITS}
+    return header | {"stats": meta.get("stats") or {}, "timing_ms": meta.get("timing_ms") or {}, "device": meta.get("device"), "accuracy": meta.get("accuracy")} | (extra or {})
+
+
+def encode_kinds(points: DataFrame, cells: DataFrame, strides: dict[str, int], level: int | None = 6, extra: dict | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """(frame_no, kind, n_points, n_cells, content): a frame file per frame and kind, from
+    quantised points and cells. A kind keeps every ``strides[kind]``-th point.
+
+    meta: (frame_no, meta), a JSON object of stats, timing_ms and accuracy per frame.
+    """
     extra = dict(extra or {})
 
     def build(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        p, c = p.sort_values("seq"), c.sort_values(["level", "ix", "iy"])
-        sections = {}
-        for table, spec in ((p, POINT_SECTIONS), (c, CELL_SECTIONS)):
-            for name, (kind, cols) in spec.items():
-                if all(x in table for x in cols):
-                    v = table[cols].to_numpy().astype(kind)
-                    sections[name] = v if len(cols) > 1 else v[:, 0]
-        header = {"frame_id": f"{int(key[0]):06d}", "point_count": len(p), "cell_count": len(c), "level_sizes_m": [0.4, 0.2, 0.1, 0.05], **extra}
-        return pd.DataFrame({"frame_no": [key[0]], "content": [frame_bytes(header, sections, level)]})
-
-    return points.groupBy("frame_no").cogroup(cells.groupBy("frame_no")).applyInPandas(build, "frame_no int, content binary")
+        meta = None
+        if "meta" in c:
+            meta, c = next(iter(c["meta"].dropna()), None), c[c["level"].notna()]
+        c = c.sort_values(["level", "ix", "iy"])
+        out = []
+        for kind, stride in strides.items():
+            kept = p[p.seq % max(stride, 1) == 0].sort_values("seq")
+            sections = {}
+            for table, spec in ((kept, POINT_SECTIONS), (c, CELL_SECTIONS)):
+                for name, (dtype, cols) in spec.items():
+                    if all(x in table for x in cols):
+                        v = table[cols].to_numpy().astype(dtype)
+                        sections[name] = v if len(cols) > 1 else v[:, 0]
+            header = frame_header(f"{int(key[0]):06d}", len(p), len(c), stride, json.loads(meta) if meta else None, extra)
+            out.append((key[0], kind, len(kept), len(c), frame_bytes(header, sections, level)))
+        return pd.DataFrame(out, columns=["frame_no", "kind", "n_points", "n_cells", "content"])
+
+    if meta is not None:
+        # one more row of the frame's cells, so a description is sent once
+        cells = cells.unionByName(meta.select("frame_no", "meta"), allowMissingColumns=True)
+    # a name of its own: both sides may come from one table
+    cells = cells.select(F.col("frame_no").alias("frame"), *[c for c in cells.columns if c != "frame_no"])
+    return points.groupBy("frame_no").cogroup(cells.groupBy("frame")).applyInPandas(build, "frame_no int, kind string, n_points long, n_cells long, content binary")
+
+
+def encode_frames(points: DataFrame, cells: DataFrame, level: int | None = 6, extra: dict | None = None, stride: int = 1, meta: DataFrame | None = None) -> DataFrame:
+    """(frame_no, content): one frame file per frame."""
+    return encode_kinds(points, cells, {"full": stride}, level, extra, meta).select("frame_no", "content")
+
+
+def _header_json(header: dict) -> str:
+    return json.dumps({k: v for k, v in header.items() if k != "sections"}, sort_keys=True)
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """(frame_no, header, n_points, n_cells, cells): cells as an array of structs."""
+    """(frame_no, header, n_points, n_cells) of every frame file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for no, raw in zip(b.frame_no, b.content):
                 h, s = parse_frame(bytes(raw))
-                cells = [{"ix": int(xy[0]), "iy": int(xy[1]), "level": int(lv), "cls": int(c), "n_points": int(n)} for xy, lv, c, n in zip(s["cells.ixy"], s["cells.level"], s["cells.class"], s["cells.point_count"])]
-                out.append((no, json.dumps({k: v for k, v in h.items() if k != "sections"}, sort_keys=True), len(s["points.class"]), len(s["cells.level"]), cells))
-            yield pd.DataFrame(out, columns=["frame_no", "header", "n_points", "n_cells", "cells"])
+                out.append((no, _header_json(h), len(s["points.class"]), len(s["cells.level"])))
+            yield pd.DataFrame(out, columns=["frame_no", "header", "n_points", "n_cells"])
+
+    return frames.select("frame_no", "content").mapInPandas(run, "frame_no int, header string, n_points long, n_cells long")
+
+
+def _decode(frames: DataFrame, spec: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    names = [c for _, cols in spec.values() for c in cols]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for no, raw in zip(b.frame_no, b.content):
+                _, s = parse_frame(bytes(raw))
+                out = {}
+                for name, (_, cols) in spec.items():
+                    for k, c in enumerate(cols):
+                        v = s.get(name)
+                        out[c] = None if v is None else (v[:, k] if len(cols) > 1 else v).astype("int32")
+                n = max(len(v) for v in out.values() if v is not None)
+                yield pd.DataFrame({"frame_no": np.full(n, no, np.int32), "place": np.arange(n), **{c: pd.Series([None] * n, dtype="Int32") if v is None else v for c, v in out.items()}})
 
-    return frames.mapInPandas(run, "frame_no int, header string, n_points long, n_cells long, cells array<struct<ix:int,iy:int,level:int,cls:int,n_points:int>>")
+    return frames.select("frame_no", "content").mapInPandas(run, "frame_no int, place long, " + ", ".join(f"`{c}` int" for c in names))
+
+
+def decode_cells(frames: DataFrame) -> DataFrame:
+    """(frame_no, place, all fields of a quantised cell) of frame files; the rest is ``dequantize_cells``."""
+    return _decode(frames, CELL_SECTIONS)
+
+
+def decode_points(frames: DataFrame) -> DataFrame:
+    """(frame_no, place, all fields of a quantised point) of frame files; gt_class is null where a file has none."""
+    return _decode(frames, POINT_SECTIONS)
 
 
 def scan_rows(raw: bytes, layout: str = "raw") -> np.ndarray:
-    """float32 rows of a scan: x, y, z, remission (``raw``), or with a class (``labeled``)."""
+    """float32 rows of a scan: x, y, z, remission (``raw``), or with a class (``labeled``).
+    The bytes are bare floats, or a .npy file of a matrix."""
     width = 5 if layout == "labeled" else 4
+    if raw[:6] == b"\x93NUMPY":
+        v = np.load(io.BytesIO(raw), allow_pickle=False)
+        if v.ndim != 2 or v.shape[1] != width or not len(v):
+            raise ValueError(f"a scan is a matrix of {width} columns, and not empty")
+        return v.astype("<f4")
     if not raw or len(raw) % (4 * width):
         raise ValueError(f"a scan is a whole number of {width} floats, and not empty")
     return np.frombuffer(raw, "<f4").reshape(-1, width)
 
 
-def read_scans(spark: SparkSession, path: str, layout: str = "raw", validate: bool = False, start: int = 0, count: int | None = None) -> DataFrame:
-    """points(frame_id, frame_no, seq, x, y, z, remission[, cls, conf]) of scan files.
+def label_rows(raw: bytes) -> np.ndarray:
+    """Class ids of a label file: the low sixteen bits, mapped; unknown ids are 0."""
+    lut = np.zeros(1 << 16, np.int32)
+    for k, v in LEARNING_MAP.items():
+        lut[k] = v
+    return lut[np.frombuffer(raw, "<u4") & 0xFFFF]
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(frame_id, content) of the files of a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("."), F.lit(1)).alias("frame_id"), "content")
+
+
+def read_scans(spark: SparkSession, path: str, layout: str = "raw", validate: bool = False, start: int = 0, count: int | None = None, labels: str | None = None) -> DataFrame:
+    """points(frame_id, frame_no, seq, x, y, z, remission[, cls, conf][, gt]) of scan files (.bin, .npy).
 
     Frames below ``start`` are skipped and the first ``count`` are kept before
     any content is decoded. ``validate`` drops non-finite rows and fails on a
-    frame without a valid row or with more than 200,000.
+    frame without a valid row or with more than 200,000. With ``labels``, a
+    folder of label files, scans are left-joined with them file by file, before
+    points are decoded: gt is null for frames without a file.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    files = files.withColumn("frame_id", F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("."), F.lit(1)))
+    files = _files(spark, path, "*.{bin,npy}")
     files = files.withColumn("frame_no", F.col("frame_id").cast("int")).filter(F.col("frame_no") >= start)
     if count is not None:
         files = files.join(files.select("frame_id").orderBy("frame_id").limit(count), "frame_id", "left_semi")
+    if labels is not None:
+        files = files.join(_files(spark, labels, "*.label").withColumnRenamed("content", "label"), "frame_id", "left")
+    else:
+        files = files.withColumn("label", F.lit(None).cast("binary"))
     labeled = layout == "labeled"
-    extra = ", cls int, conf float" if labeled else ""
+    extra = (", cls int, conf float" if labeled else "") + (", gt int" if labels is not None else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, no, raw in zip(b.frame_id, b.frame_no, b.content):
+            for name, no, raw, label in zip(b.frame_id, b.frame_no, b.content, b.label):
                 v = scan_rows(bytes(raw), layout)
                 keep = np.isfinite(v).all(axis=1) if validate else np.ones(len(v), bool)
                 if validate and not 0 < keep.sum() <= MAX_POINTS:
                     raise ValueError(f"frame {name}: {int(keep.sum())} valid points")
-                seq, v = np.flatnonzero(keep), v[keep]
+                seq, n = np.flatnonzero(keep), len(v)
+                v = v[keep]
                 out = pd.DataFrame({"frame_id": name, "frame_no": np.int32(no), "seq": seq, "x": v[:, 0], "y": v[:, 1], "z": v[:, 2], "remission": v[:, 3]})
                 if labeled:
                     out["cls"], out["conf"] = v[:, 4].astype("i4"), np.float32(1.0)
+                if labels is not None:
+                    gt = label_rows(bytes(label)) if label is not None else None
+                    if gt is not None and len(gt) != n:
+                        raise ValueError(f"frame {name}: {n} points and {len(gt)} labels")
+                    out["gt"] = pd.Series([None] * len(seq), dtype="Int32") if gt is None else gt[seq]
                 yield out
 
-    return files.select("frame_id", "frame_no", "content").mapInPandas(run, f"frame_id string, frame_no int, seq long, x float, y float, z float, remission float{extra}")
+    return files.select("frame_id", "frame_no", "content", "label").mapInPandas(run, f"frame_id string, frame_no int, seq long, x float, y float, z float, remission float{extra}")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(frame_id, seq, cls) of label files: the low sixteen bits, mapped; unknown ids are 0."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.label").load(path)
-    files = files.select(F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("."), F.lit(1)).alias("frame_id"), "content")
-    lut = np.zeros(1 << 16, np.int32)
-    for k, v in LEARNING_MAP.items():
-        lut[k] = v
+    """(frame_id, seq, cls) of label files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, raw in zip(b.frame_id, b.content):
-                v = np.frombuffer(bytes(raw), "<u4")
-                yield pd.DataFrame({"frame_id": name, "seq": np.arange(len(v)), "cls": lut[v & 0xFFFF]})
+                v = label_rows(bytes(raw))
+                yield pd.DataFrame({"frame_id": name, "seq": np.arange(len(v)), "cls": v})
+
+    return _files(spark, path, "*.label").mapInPandas(run, "frame_id string, seq long, cls int")
+
+
+def label_paths(scans: DataFrame, labels: DataFrame) -> DataFrame:
+    """(frame_id, path, label_path): scans of (frame_id, path) with their label file, null if there is none."""
+    return scans.select("frame_id", "path").join(labels.select("frame_id", F.col("path").alias("label_path")), "frame_id", "left")
+
 
-    return files.mapInPandas(run, "frame_id string, seq long, cls int")
+def store(path: str):
+    """(file system, path) of a folder: any store that Arrow knows by its address, or a local folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 class _FramePartition(InputPartition):
@@ -170,36 +273,57 @@ class _FrameReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[_FramePartition]:
-        from pathlib import Path
+        from pyarrow import fs
 
-        return [_FramePartition(str(p)) for p in sorted(Path(self.path).glob("*.lgf*"))]
+        where, path = store(self.path)
+        return [_FramePartition(f.path) for f in sorted(where.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if ".lgf" in f.base_name]
 
     def read(self, partition: _FramePartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        where, _ = store(self.path)
+        with where.open_input_stream(partition.path, compression=None) as f:
             raw = f.read()
         header, s = parse_frame(raw)
-        yield header["frame_id"], json.dumps({k: v for k, v in header.items() if k != "sections"}, sort_keys=True), len(s["points.class"]), len(s["cells.level"]), raw
+        yield header["frame_id"], _header_json(header), len(s["points.class"]), len(s["cells.level"]), raw
 
 
-class _FrameWriter(DataSourceWriter):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
+class _FrameWriter(DataSourceWriter):
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.suffix, self.overwrite = options["path"], options.get("suffix", ".lgf"), overwrite
 
-        os.makedirs(self.path, exist_ok=True)
+    def write(self, rows: Iterator) -> _Written:
+        where, path = store(self.path)
+        where.create_dir(path, recursive=True)
+        names = []
         for r in rows:
-            part = f"{self.path}/{int(r['frame_no']):06d}.lgf"
+            name = f"{int(r['frame_no']):06d}{self.suffix}"
             # a task that runs again replaces the whole file at once
-            with open(f"{part}.{os.getpid()}.tmp", "wb") as f:
+            part = f"{path}/_{uuid.uuid4().hex}.tmp"
+            with where.open_output_stream(part, compression=None) as f:
                 f.write(bytes(r["content"]))
-            os.replace(f"{part}.{os.getpid()}.tmp", part)
-        return WriterCommitMessage()
+            where.move(part, f"{path}/{name}")
+            names.append(name)
+        return _Written(names)
+
+    def commit(self, messages: list) -> None:
+        """With ``overwrite``, frames that aren't of this write go once all of it is there."""
+        from pyarrow import fs
+
+        if self.overwrite:
+            own = {n for m in messages if m is not None for n in m.names}
+            where, path = store(self.path)
+            for f in where.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if ".lgf" in f.base_name and f.base_name not in own:
+                    where.delete_file(f.path)
 
 
 class FrameFiles(DataSource):
-    """Format ``frame_files``: a folder of frame files that all machines mount."""
+    """Format ``frame_files``: a folder of frame files, by an address that Arrow knows
+    (file, hdfs, s3, gs) or a path that all machines mount."""
 
     @classmethod
     def name(cls) -> str:
@@ -212,28 +336,69 @@ class FrameFiles(DataSource):
         return _FrameReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> _FrameWriter:
-        return _FrameWriter(self.options)
+        return _FrameWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FrameFiles)
 
 
-def export_clip(points: DataFrame, cells: DataFrame, path: str, stride: int = 4) -> DataFrame:
-    """Lite (every ``stride``-th point) and full frames as Parquet below ``path``,
-    and the manifest's rows: frame, bytes of both kinds, cells."""
-    lite = encode_frames(points.filter(F.col("seq") % stride == 0), cells).withColumn("kind", F.lit("lite"))
-    full = encode_frames(points, cells).withColumn("kind", F.lit("full"))
-    lite.unionByName(full).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/frames")
-    stored = points.sparkSession.read.parquet(f"{path}/frames")
-    size = F.octet_length("content")
-    manifest = stored.groupBy("frame_no").agg(F.max(F.when(F.col("kind") == "lite", size)).alias("lite_bytes"), F.max(F.when(F.col("kind") == "full", size)).alias("full_bytes"))
-    return manifest.join(cells.groupBy("frame_no").agg(F.count("*").alias("cells")), "frame_no")
-
-
-def manifest_json(manifest: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row of JSON: classes and frames, each sorted by id."""
-    rows = manifest.agg(F.sort_array(F.collect_list(F.struct("frame_no", "lite_bytes", "full_bytes", "cells"))).alias("frames"))
-    names = classes.agg(F.sort_array(F.collect_list(F.struct("class_id", "name", "color"))).alias("classes"))
-    # two single rows
-    return rows.crossJoin(F.broadcast(names)).select(F.to_json(F.struct("classes", "frames")).alias("manifest"))
+def read_frame_files(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_no, content) of frame files in any store that Spark reads."""
+    return _files(spark, path, "*.lgf*").select(F.col("frame_id").cast("int").alias("frame_no"), "content")
+
+
+def frame_meta(stats: DataFrame, timings: DataFrame | None = None, accuracy: DataFrame | None = None) -> DataFrame:
+    """(frame_no, meta): the JSON that a frame's header carries, from per-frame tables."""
+    rows = stats.select("frame_no", F.struct(*[c for c in stats.columns if c != "frame_no"]).alias("stats"))
+    for name, t in (("timing_ms", timings), ("accuracy", accuracy)):
+        if t is not None:
+            rows = rows.join(t.select("frame_no", F.struct(*[c for c in t.columns if c != "frame_no"]).alias(name)), "frame_no", "left")
+    return rows.select("frame_no", F.to_json(F.struct(*rows.columns[1:])).alias("meta"))
+
+
+def export_clip(points: DataFrame, cells: DataFrame, path: str, stride: int = 4, sequence: str | None = None, meta: DataFrame | None = None, device: str | None = None) -> DataFrame:
+    """Frame files lite/<id>.lgf.gz (every ``stride``-th point) and full/<id>.lgf.gz below
+    ``path``; returns the manifest's frames. points and cells are quantised ones.
+
+    Frames are encoded once, to a table beside the files, from which both are written.
+    """
+    spark = points.sparkSession
+    extra = {"sequence": sequence, "device": device}
+    encode_kinds(points, cells, {"lite": stride, "full": 1}, extra=extra, meta=meta).write.mode("overwrite").parquet(f"{path}/_frames")
+    stored = spark.read.parquet(f"{path}/_frames")
+    register(spark)
+    for kind in ("lite", "full"):
+        stored.filter(F.col("kind") == kind).write.format("frame_files").option("suffix", ".lgf.gz").mode("overwrite").save(f"{path}/{kind}")
+    per = stored.groupBy("frame_no").agg(*[F.max(F.when(F.col("kind") == k, F.octet_length("content"))).cast("long").alias(f"{k}_bytes") for k in ("lite", "full")], F.max("n_points").alias("n_points"), F.max("n_cells").alias("n_cells"))
+    return manifest_frames(per, meta)
+
+
+def manifest_frames(frames: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """(index, id, lite, full, [sizes], n_points, n_cells, meta) of a clip's frames.
+
+    A clip's frames are one manifest, so they may be numbered in one task.
+    """
+    if meta is not None:
+        frames = frames.join(meta, "frame_no", "left")
+    else:
+        frames = frames.withColumn("meta", F.lit(None).cast("string"))
+    name = F.format_string("%06d", F.col("frame_no"))
+    path = lambda kind: F.concat(F.lit(f"{kind}/"), name, F.lit(".lgf.gz")).alias(kind)
+    sizes = [c for c in ("lite_bytes", "full_bytes") if c in frames.columns]
+    return frames.select((F.row_number().over(Window.orderBy("frame_no")) - 1).alias("index"), name.alias("id"), path("lite"), path("full"), *sizes, "n_points", "n_cells", "meta")
+
+
+def manifest_json(frames: DataFrame, classes: DataFrame, bookmarks: DataFrame, summary: DataFrame, sequence: str | None = None, stride: int = 4, fps: int = 10) -> str:
+    """The manifest of a clip. It lists every frame of one clip, so it is built on the driver."""
+    def rows(df: DataFrame, order: str) -> list[dict]:
+        return [r.asDict(recursive=True) for r in df.orderBy(order).toLocalIterator()]
+
+    listed = []
+    for f in rows(frames, "index"):
+        meta = json.loads(f.pop("meta") or "{}")
+        listed.append(f | {"timing_ms": meta.get("timing_ms") or {}, "stats": meta.get("stats") or {}, "accuracy": meta.get("accuracy")})
+    kinds = [{"id": c["class_id"], "name": c["name"], "color": c["color"], "priority": c["priority"], "traversability": c["traversability"]} for c in rows(classes, "class_id")]
+    out = {"format": "LGF1-clip", "version": VERSION, "sequence": sequence, "fps": fps, "frame_count": len(listed), "first_frame": listed[0]["id"] if listed else None, "last_frame": listed[-1]["id"] if listed else None, "lite_point_stride": stride, "sensor_height_m": SENSOR_HEIGHT_M, "level_sizes_m": LEVEL_SIZES_M}
+    out |= {"classes": kinds, "bookmarks": [r.asDict() for r in bookmarks.toLocalIterator()], "summary": (summary.first() or {}) and summary.first().asDict(), "frames": listed}
+    return json.dumps(out)

@@ -52,16 +52,26 @@ def dense_confusion(cm: DataFrame, n_classes: int = 20) -> DataFrame:
     return cm.groupBy("gt").pivot("pred", list(range(n_classes))).agg(F.sum("n")).na.fill(0).orderBy("gt")
 
 
-MANIFEST = "classes array<struct<class_id:int,name:string,color:string>>, frames array<struct<frame_no:int,lite_bytes:long,full_bytes:long,cells:long>>"
+MANIFEST = (
+    "format string, version int, sequence string, fps int, frame_count long, first_frame string, last_frame string, lite_point_stride int, sensor_height_m double, level_sizes_m array<double>, "
+    "classes array<struct<id:int,name:string,color:string,priority:int,traversability:double>>, bookmarks array<struct<label:string,frame:string,index:long,value:double>>, summary map<string,string>, "
+    "frames array<struct<index:long,id:string,lite:string,full:string,lite_bytes:long,full_bytes:long,n_points:long,n_cells:long,timing_ms:map<string,double>,stats:map<string,double>,accuracy:struct<accuracy:double,car_iou:double,person_iou:double>>>"
+)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per frame of a clip's manifest."""
-    return spark.read.json(path, schema=MANIFEST, multiLine=True).select(F.inline("frames"))
+    """A clip's manifest as one row; ``frames`` is an array of its frames."""
+    return spark.read.json(path, schema=MANIFEST, multiLine=True)
 
 
-def frame_url(base: str, kind: Column, frame_id: Column) -> Column:
-    return F.concat_ws("/", F.lit(base.rstrip("/")), F.lit("frames"), kind, F.concat(frame_id, F.lit(".lgf.gz")))
+def frame_url(manifest_url: str, path: Column) -> Column:
+    """Address of a frame file: its path is relative to the manifest's folder."""
+    return F.concat(F.lit(manifest_url.rsplit("/", 1)[0] + "/"), path)
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Cells as Parquet, in the order of their keys within a frame, a frame in one file."""
+    cells.repartition("frame_no").sortWithinPartitions("frame_no", "key").write.mode("overwrite").parquet(path)
 
 
 def sensor_config(text: str | None) -> SensorConfig:

@@ -1,8 +1,10 @@
 """The grid as a stream of scans.
 
 Frames are whole units, so the grid is stateless across micro-batches: every
-trigger runs the batch plan on the frames that arrived. Running confusion counts
-and rolling latencies are true streaming aggregations.
+trigger runs the batch plan on the frames that arrived. A frame must come within
+one trigger, as a scan file does; one that goes on in a later trigger would give
+overlapping cells, so the stream refuses it. Running confusion counts and rolling
+latencies are true streaming aggregations.
 """
 
 from __future__ import annotations
@@ -18,10 +20,20 @@ from stratavox.operators.keys import CFG
 
 def start_grid_stream(points: DataFrame, path: str, checkpoint: str, cfg: GridConfig = CFG, available_now: bool = True):
     """Writes the cells of every micro-batch below ``path``, a folder per batch, so
-    a batch that is run again after a failure replaces its own output."""
+    a batch that is run again after a failure replaces its own output. The frames
+    of every batch are listed beside it, to refuse a frame that comes again."""
+    listed = f"{path.rstrip('/')}_frames"
 
     def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        batch.select("frame_no").distinct().write.mode("overwrite").parquet(f"{listed}/batch={number}")
+        known = spark.read.parquet(listed)
+        again = known.filter(F.col("batch") < number).join(known.filter(F.col("batch") == number).select("frame_no"), "frame_no", "left_semi").first()
+        if again is not None:
+            raise ValueError(f"frame {again.frame_no} came in batch {again.batch} and goes on in batch {number}")
         build_grid(batch, cfg).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
 
     writer = points.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()

@@ -36,23 +36,6 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert canonical(QUERIES[name](spark, sf).toPandas()) == canonical(duck.sql(SQL[name]).df())
 
 
-def test_bench_accuracy_joins_every_frame(spark, sf, duck):
-    from stratavox.plans.queries import bench_accuracy
-
-    whole = SQL["bench_left_accuracy"].replace(" WHERE o_orderkey < 12", "")
-    got = bench_accuracy(spark, sf).toPandas()
-    assert len(got) == len(duck.sql("select o_orderkey from orders").df()) > 12
-    assert canonical(got) == canonical(duck.sql(whole).df())
-
-
-def test_round_trip_of_every_point(spark, sf, duck):
-    from stratavox.plans.queries import round_trip
-
-    whole = SQL["frame_round_trip"].replace(" WHERE seq % 3 = 0", "")
-    assert whole != SQL["frame_round_trip"]
-    assert canonical(round_trip(spark, sf).toPandas()) == canonical(duck.sql(whole).df())
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -71,13 +71,87 @@ def test_frame_files_source_and_sink(spark, coded, tmp_path):
 
 
 def test_clip_and_manifest(spark, coded, tmp_path):
+    import json
+
     from stratavox.config import class_table
+    from stratavox.sources import tables
 
+    p, c, cells = coded
+    stats = cells.groupBy("frame_no").agg(F.count("*").alias("n_final_cells"))
+    accuracy = stats.filter("frame_no <> 2").select("frame_no", F.lit(0.75).alias("accuracy"), F.lit(None).cast("double").alias("car_iou"))
+    timings = stats.select("frame_no", F.lit(31.5).alias("end_to_end"))
+    meta = frames.frame_meta(stats, timings, accuracy)
+    m = frames.export_clip(p, c, str(tmp_path), stride=3, sequence="08", meta=meta)
+    listed = m.orderBy("index").collect()
+    assert [r["index"] for r in listed] == [0, 1, 2, 3] and all(r.lite_bytes < r.full_bytes for r in listed)
+    for r in listed:
+        for kind, stride in (("lite", 3), ("full", 1)):
+            raw = (tmp_path / r[kind]).read_bytes()
+            assert len(raw) == r[f"{kind}_bytes"]
+            header, sections = frames.parse_frame(raw)
+            assert header["n_points_total"] == r.n_points and header["n_cells"] == r.n_cells == header["stats"]["n_final_cells"]
+            assert header["point_stride"] == stride and len(sections["points.class"]) == p.filter((F.col("frame_no") == int(r.id)) & (F.col("seq") % stride == 0)).count()
+            assert header["timing_ms"] == {"end_to_end": 31.5} and header["accuracy"] == (None if r.id == "000002" else {"accuracy": 0.75})
+            assert header["sequence"] == "08" and header["units"]["z"] == "cm" and header["level_sizes_m"][3] == 0.05
+    marks = spark.createDataFrame([("Fastest end to end (ms)", "000000", 0, 31.5)], "label string, frame string, index long, value double")
+    summary = spark.createDataFrame([("CPU", 31.5)], "device string, median_end_to_end_ms double")
+    (tmp_path / "manifest.json").write_text(frames.manifest_json(m, class_table(spark), marks, summary, "08", 3))
+    row = tables.read_manifest(spark, f"{tmp_path}/manifest.json").first()
+    assert (row.frame_count, row.first_frame, row.last_frame, row.fps, row.lite_point_stride) == (4, "000000", "000003", 10, 3)
+    assert row.classes[9].name == "road" and row.classes[9].traversability == 0.95 and row.bookmarks[0].value == 31.5
+    assert row.frames[1].stats["n_final_cells"] == listed[1].n_cells and row.frames[2].accuracy is None and row.frames[0].accuracy.accuracy == 0.75
+    url = tables.read_manifest(spark, f"{tmp_path}/manifest.json").select(F.inline("frames")).select(tables.frame_url("http://h/c/manifest.json", F.col("lite")).alias("u")).first().u
+    assert url == "http://h/c/lite/000000.lgf.gz"
+
+
+def test_decoded_rows_equal_the_encoded(spark, coded, tmp_path):
     p, c, _ = coded
-    m = frames.export_clip(p, c, str(tmp_path), stride=3)
-    assert all(r.lite_bytes < r.full_bytes for r in m.collect())
-    text = frames.manifest_json(m, class_table(spark)).first().manifest
-    assert '"frames":[{"frame_no":0' in text and '"name":"road"' in text
+    files = frames.encode_frames(p, c).cache()
+    assert frames.decode_cells(files).drop("place").exceptAll(c).count() == 0 and frames.decode_cells(files).count() == c.count()
+    back = frames.decode_points(files).drop("place")
+    assert back.exceptAll(p.drop("seq")).count() == 0 and back.count() == p.count()
+    bare = frames.decode_points(frames.encode_frames(p.drop("gt_class"), c))
+    assert bare.filter("gt_class is not null").count() == 0 and bare.count() == p.count()
+    frames.register(spark)
+    files.write.format("frame_files").option("suffix", ".lgf.gz").mode("append").save(f"file://{tmp_path}")
+    assert frames.decode_cells(frames.read_frame_files(spark, str(tmp_path))).count() == c.count()
+    # overwriting leaves only the frames of the last write
+    files.filter("frame_no = 1").write.format("frame_files").option("suffix", ".lgf.gz").mode("overwrite").save(str(tmp_path))
+    assert sorted(x.name for x in tmp_path.glob("*.lgf.gz")) == ["000001.lgf.gz"] and not list(tmp_path.glob("*.tmp"))
+
+
+def test_scans_with_labels_where_there_are_any(spark, tmp_path):
+    (tmp_path / "scans").mkdir(), (tmp_path / "labels").mkdir()
+    for k in (1, 2, 3):
+        v = np.arange(20, dtype="<f4").reshape(5, 4) + k
+        v[3] = np.inf
+        v.tofile(tmp_path / "scans" / f"{k:06d}.bin") if k < 3 else np.save(tmp_path / "scans" / f"{k:06d}.npy", v)
+        if k != 2:
+            np.array([10, 40, 70, 0, (7 << 16) | 10], "<u4").tofile(tmp_path / "labels" / f"{k:06d}.label")
+    got = frames.read_scans(spark, str(tmp_path / "scans"), validate=True, labels=str(tmp_path / "labels")).collect()
+    by = {k: [r.gt for r in sorted((r for r in got if r.frame_no == k), key=lambda r: r.seq)] for k in (1, 2, 3)}
+    assert by == {1: [1, 9, 15, 1], 2: [None] * 4, 3: [1, 9, 15, 1]}
+    np.array([10], "<u4").tofile(tmp_path / "labels" / "000002.label")
+    with pytest.raises(Exception, match="5 points and 1 labels"):
+        frames.read_scans(spark, str(tmp_path / "scans"), labels=str(tmp_path / "labels")).collect()
+    with pytest.raises(ValueError, match="4 columns"):
+        np.save(tmp_path / "x.npy", np.zeros((3, 5)))
+        frames.scan_rows((tmp_path / "x.npy").read_bytes())
+
+
+def test_cells_are_written_in_order(spark, coded, tmp_path):
+    from stratavox.sources.tables import write_cells
+
+    *_, cells = coded
+    write_cells(cells, f"{tmp_path}/cells")
+    import pyarrow.parquet as pq
+
+    n = 0
+    for f in (tmp_path / "cells").glob("*.parquet"):
+        t = pq.read_table(f, columns=["frame_no", "key"]).to_pandas()
+        assert t.sort_values(["frame_no", "key"]).equals(t)
+        n += len(t)
+    assert n == cells.count()
 
 
 def test_quantisation_bounds(coded):
@@ -109,10 +183,6 @@ def test_tables(spark, tmp_path):
     tables.write_confusion(cm, f"{tmp_path}/cm")
     dense = tables.dense_confusion(spark.read.parquet(f"{tmp_path}/cm")).collect()
     assert dense[0]["9"] == 2 and dense[1]["1"] == 0
-    with open(f"{tmp_path}/manifest.json", "w") as f:
-        f.write('{"classes": [], "frames": [{"frame_no": 3, "lite_bytes": 1, "full_bytes": 2, "cells": 9}]}')
-    row = tables.read_manifest(spark, f"{tmp_path}/manifest.json").withColumn("url", tables.frame_url("http://h/c/", F.lit("lite"), F.lpad(F.col("frame_no").cast("string"), 6, "0"))).first()
-    assert row.cells == 9 and row.url == "http://h/c/frames/lite/000003.lgf.gz"
 
 
 def test_sensor_config_keeps_defaults():

@@ -36,3 +36,17 @@ def test_rolling_latency(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.frames for r in spark.table("lat").collect()) == [1, 2]
+
+
+def test_a_frame_over_two_triggers_is_refused(spark, sf, tmp_path):
+    import pytest
+
+    from stratavox.streaming.grid_stream import start_grid_stream
+
+    p = adapter.points(spark, sf).filter("frame_no = 1")
+    for k in (0, 1):
+        p.filter(F.col("seq") % 8 < 4 if k else F.col("seq") % 8 >= 4).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = start_grid_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    with pytest.raises(Exception, match="goes on in batch 1"):
+        query.awaitTermination()
