@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is unset: tables are written below the warehouse, which all machines must share", stacklevel=2)
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -43,6 +46,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it is so small that it may come as one split.
+
+    A larger input has splits enough and isn't touched. By the size that the plan
+    states, without a job.
+    """
+    spark = df.sparkSession
+    stated = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(spark.sparkContext.defaultParallelism) if stated <= split else df
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch, fed in slices of bounded size."""
 
@@ -84,7 +99,14 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(F.xxhash64(*keys))
 
 
-def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def repeated_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """The ids (_dedup_id) that more than one row has; written, so its size is known."""
+    ids = docs.select(F.col(id_col).cast("long").alias("_dedup_id")).filter("_dedup_id is not null")
+    again = ids.groupBy("_dedup_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return written(again.select("_dedup_id", F.lit(True).alias("_dedup_again")), "repeated-ids")
+
+
+def tagged(docs: DataFrame, id_col: str, text_col: str, again: DataFrame | None = None) -> DataFrame:
     """docs with _dedup_id, _dedup_tag and _dedup_text: id and tag tell documents apart.
 
     The tag is 0 where an id occurs once, and a hash of the text where it occurs
@@ -92,9 +114,8 @@ def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     other texts are others. The repeated ids are a table of known size, so where
     there are few the texts aren't shuffled for them.
     """
-    base = docs.withColumns({"_dedup_id": F.col(id_col).cast("long"), "_dedup_text": F.col(text_col)})
-    again = base.filter("_dedup_id is not null").groupBy("_dedup_id").agg(F.count("*").alias("n")).filter("n > 1")
-    again = written(again.select("_dedup_id", F.lit(True).alias("_dedup_again")), "repeated-ids")
+    again = repeated_ids(docs, id_col) if again is None else again
+    base = spread(docs).withColumns({"_dedup_id": F.col(id_col).cast("long"), "_dedup_text": F.col(text_col)})
     tag = F.when(F.col("_dedup_again"), F.xxhash64("_dedup_text")).otherwise(F.lit(0).cast("long"))
     return base.join(again, "_dedup_id", "left").withColumn("_dedup_tag", tag).drop("_dedup_again")
 

@@ -24,7 +24,8 @@ texts that are mutually similar.
 Cases: A-Z only is lower-cased; fewer than ``words`` words make one shingle of
 all; no words, or a null text, make an empty set that links with nothing; a row
 with a null id links with nothing and is kept; repeated rows are in one class;
-other columns are ignored.
+rows with one id and other texts are documents of their own; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import ASCII_LOWER, LEAST_BLOCK, WORD, in_blocks, map_batches, mix64, sorted_groups, table, window_hashes, word_hashes, written
+from stratavox.llm.common import ASCII_LOWER, LEAST_BLOCK, WORD, dealt, in_blocks, map_batches, mix64, repeated_ids, sorted_groups, table, tagged, window_hashes, word_hashes, written
 from stratavox.llm.components import components
 
 WORDS = 5
@@ -76,12 +77,13 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, set_hash, signature): one byte of each coordinate, and the posted ones whole."""
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(id, tag, n, mark, sig) of documents (id, tag, text): a hash of the set; one byte of
+    each coordinate, and the posted ones whole."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, mark, sig = [], [], []
-        for t in batch.column(1).to_pylist():
+        for t in batch.column(2).to_pylist():
             s = shingles(t, words)
             n.append(len(s))
             if len(s):
@@ -92,9 +94,9 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             else:
                 mark.append(None)
                 sig.append(None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "mark", "sig"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary())], ["id", "tag", "n", "mark", "sig"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), text_col), run, "id long, n long, mark binary, sig binary")
+    return map_batches(docs.select("id", "tag", "text"), run, "id long, tag long, n long, mark binary, sig binary")
 
 
 class _Union:
@@ -156,25 +158,32 @@ KEY_BITS = 4
 def posting_links(reps: DataFrame) -> DataFrame:
     """(a, b): a spanning forest, list by list, of pairs with enough matches."""
 
+    def unpacked(signatures: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(signatures.to_pylist()), "u1").reshape(len(signatures), COORDINATES + 8 * PREFIX)
+        return raw[:, :COORDINATES], np.ascontiguousarray(raw[:, COORDINATES:]).view("<u8")
+
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy()
-        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(len(ids), COORDINATES + 8 * PREFIX)
-        values = np.ascontiguousarray(raw[:, COORDINATES:]).view("<u8")
-        mixed = mix64(values)
+        _, values = unpacked(batch.column(1))
         keys = mix64(values ^ (np.arange(1, PREFIX + 1, dtype=np.uint64) << np.uint64(58)))
         keys = keys >> np.uint64(KEY_BITS) << np.uint64(KEY_BITS) | np.arange(PREFIX, dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view("i8")), pa.array(np.repeat(ids, PREFIX))], ["key", "id"])
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(2).to_pylist()
+        low, values = unpacked(batch.column(1))
         # the byte of a posted coordinate is in the signature; two more follow it
-        more = (mixed >> np.uint64(40)).astype("<u2").view("u1").reshape(len(ids), 2 * PREFIX)
-        sig = [r.tobytes() for r in np.concatenate([raw[:, :COORDINATES], more], axis=1)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view("i8")), pa.array(np.repeat(ids, PREFIX)), pa.array(sig, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), PREFIX)))],
-            ["key", "id", "sig"],
-        )
-
-    posted = map_batches(reps.select("id", "sig"), post, "key long, id long, sig binary")
+        more = (mix64(values) >> np.uint64(40)).astype("<u2").view("u1").reshape(len(lists), 2 * PREFIX)
+        sig = pa.array([r.tobytes() for r in np.concatenate([low, more], axis=1)], pa.binary())
+        row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        key, m = (pa.array([x[c] for own in lists for x in own], pa.int64()) for c in ("key", "m"))
+        return pa.RecordBatch.from_arrays([key, m, batch.column(0).take(row), sig.take(row)], ["key", "m", "id", "sig"])
+
+    posted = map_batches(reps.select("id", "sig"), post, "key long, id long")
     sizes = written(posted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "lists")
-    # lists of one need no task; long ones are dealt as pairs of blocks
-    live = posted.join(sizes, "key")
+    # lists of one need no task, and signatures go only where a list is; long lists are dealt as pairs of blocks
+    lists = posted.join(sizes, "key").groupBy("id").agg(F.collect_list(F.struct("key", "m")).alias("lists"))
+    live = map_batches(reps.select("id", "sig").join(lists, "id").select("id", "sig", "lists"), sign, "key long, m long, id long, sig binary")
     live = in_blocks(live, "m", "id", LIST_BLOCK, LIST_BLOCK // 2, LIST_SPREAD)
 
     def link(batches):
@@ -189,8 +198,8 @@ def posting_links(reps: DataFrame) -> DataFrame:
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 
-    dealt = live.select("key", "x", "y", "id", "sig").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-    return dealt.mapInArrow(link, "a long, b long")
+    spread = live.select("key", "x", "y", "id", "sig").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    return spread.mapInArrow(link, "a long, b long")
 
 
 def _forest_of_sets(ids: np.ndarray, size: np.ndarray, sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
@@ -223,9 +232,11 @@ def _forest_of_sets(ids: np.ndarray, size: np.ndarray, sets: list[np.ndarray], s
     return [(int(ids[a]), int(ids[b])) for a, b in joined.links]
 
 
-def confirmed_links(docs: DataFrame, families: DataFrame, words: int, similar: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a spanning forest of the links of every family, on full sets."""
-    members = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(families, "id")
+def confirmed_links(members: DataFrame, words: int, similar: int) -> DataFrame:
+    """(a, b): a spanning forest of the links of every family, on full sets.
+
+    members: (id, family, m, text), a row per class.
+    """
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [shingles(t, words).astype("<u8").tobytes() for t in batch.column(3).to_pylist()]
@@ -252,7 +263,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, words: int, similar: i
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(extra, pa.binary())], ["id", "family", "m", "n", "bits", "extra"])
 
     coded = map_batches(rows.join(hubs, "family").select("id", "family", "m", "set", "hub"), against_hub, "id long, family long, m long, n long, bits binary, extra binary")
-    dealt = in_blocks(coded, "m", "id", FAMILY_BLOCK, 2 * LEAST_BLOCK, FAMILY_SPREAD)
+    spread = in_blocks(coded, "m", "id", FAMILY_BLOCK, 2 * LEAST_BLOCK, FAMILY_SPREAD)
 
     def link(batches):
         for g in sorted_groups(batches, ["family", "x", "y"]):
@@ -263,22 +274,31 @@ def confirmed_links(docs: DataFrame, families: DataFrame, words: int, similar: i
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 
-    dealt = dealt.select("family", "x", "y", "id", "n", "bits", "extra").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
-    return dealt.mapInArrow(link, "a long, b long")
+    spread = spread.select("family", "x", "y", "id", "n", "bits", "extra").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+    return spread.mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every document."""
-    sketch = written(sketches(docs, words, id_col, text_col), "sketches")
+    again = repeated_ids(docs, id_col)
+    base = tagged(docs.select(id_col, text_col), id_col, text_col, again).select(F.col("_dedup_id").alias("id"), F.col("_dedup_tag").alias("tag"), F.col("_dedup_text").alias("text"))
+    sketch = written(sketches(base, words), "sketches")
     full = sketch.filter("n > 0 and id is not null")
-    # a class's members have equal sets, so any member's signature will do
-    classes = full.groupBy("n", "mark").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    reps = written(classes.select(F.col("rep").alias("id"), "n", "mark", "sig"), "classes")
+    # a class's members have equal sets, so any member's signature and text will do;
+    # classes have numbers of their own, as one id may have several texts
+    classes = full.groupBy("n", "mark").agg(F.min(F.struct("id", "tag")).alias("rep"), F.first("sig").alias("sig"))
+    reps = written(classes.select(F.monotonically_increasing_id().alias("id"), F.col("rep.id").alias("rep"), F.col("rep.tag").alias("tag"), "n", "mark", "sig"), "classes")
     families = components(posting_links(reps)).select(F.col("node").alias("id"), F.col("component").alias("family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("m"))
-    families = written(families.join(sizes, "family").select("id", "family", "m"), "families")
-    found = components(confirmed_links(docs, families, words, similar, id_col, text_col))
-    marks = reps.select("n", "mark", F.col("id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("n", "mark", F.coalesce("component", "rep").alias("component_id"))
+    families = written(families.join(dealt(sizes, "family"), "family").join(reps.select("id", "rep", "tag"), "id").select("id", "family", "m", "rep", "tag"), "families")
+    members = base.withColumnRenamed("id", "rep").join(families, ["rep", "tag"]).select("id", "family", "m", "text")
+    if not again.isEmpty():
+        members = members.dropDuplicates(["id"])  # rows that repeat a document
+    found = components(confirmed_links(members, words, similar))
+    found = found.join(reps.select("id", "rep"), F.col("node") == F.col("id")).select("node", "component", "rep")
+    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = found.join(dealt(least, "component"), "component").select("node", "component_id")
+    marks = reps.select("n", "mark", "id", "rep").join(found, F.col("id") == F.col("node"), "left").select("n", "mark", F.coalesce("component_id", "rep").alias("component_id"))
     # copies meet their class in a join that adaptive execution can split
     out = sketch.withColumn("mark", F.when(F.col("id").isNotNull(), F.col("mark"))).join(marks, ["n", "mark"], "left")
     component = F.coalesce("component_id", "id")
