@@ -16,7 +16,7 @@ Cases: a null text is the empty content, a null role "unknown"; text that is
 not such an object stays plain, also if it is broken JSON; of calls with one
 identifier the first by (turn, place) is linked, of results too, and the others
 count as duplicates; results without a call and calls without a result are
-orphans, and keep their turns; members of a reference cycle get depth -1 and
+orphans, and keep their turns, as do calls without an identifier; members of a reference cycle get depth -1 and
 the status "cycle"; calls of unknown tools are invalid; repeated messages are
 formatted each; parts of a message without conversation or turn are orphans;
 other columns are ignored.
@@ -147,7 +147,8 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None) -> DataFra
     rows = written(map_batches(source, parse, "conv_id long, turn long, place int, kind string, call_id string, refs array<string>, valid boolean, json string"), "chat")
     tools = rows.filter("kind <> 'message'")
     first = Window.partitionBy("conv_id", "kind", "call_id").orderBy("turn", "place", "json")
-    tools = tools.withColumn("nth", F.row_number().over(first))
+    named = tools.filter("call_id is not null").withColumn("nth", F.row_number().over(first))
+    tools = named.unionByName(tools.filter("call_id is null").withColumn("nth", F.lit(1)))
     calls = tools.filter("kind = 'call' and nth = 1 and call_id is not null").select("conv_id", "call_id", F.col("turn").alias("on_turn"), F.col("place").alias("on_place"))
     results = tools.filter("kind = 'result' and nth = 1").select("conv_id", "call_id", F.col("turn").alias("on_turn"), F.col("place").alias("on_place"))
     key = ["conv_id", "turn", "place"]

@@ -8,7 +8,7 @@ from stratavox.llm.classifier import op3_quality_classifier
 from stratavox.llm.minhash import op6_minhash
 from stratavox.llm.packing import op5_packing
 from stratavox.llm.quality_rules import OP2_SQL, op2_quality_rules
-from stratavox.llm.sharding import op10_sharding
+from stratavox.llm.sharding import OP10_SQL, op10_sharding
 from stratavox.llm.substring import op7_substring_dedup
 from stratavox.llm.suffixes import op4_suffix_dedup
 from stratavox.llm.vectors import op9_vectors
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_vectors": op9_vectors,
     "op10_sharding": op10_sharding,
 }
-ORACLES = {"op2_quality_rules": OP2_SQL, "op8_chat": OP8_SQL}
+ORACLES = {"op2_quality_rules": OP2_SQL, "op8_chat": OP8_SQL, "op10_sharding": OP10_SQL}
