@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import WORD, map_batches, table
+from stratavox.llm.common import WORD, map_batches, spread, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -321,7 +321,7 @@ def bpe_round_trip(docs: DataFrame, path: str = WORD_VOCABULARY, id_col: str = "
         return pa.RecordBatch.from_arrays([ids, pa.array([np.frombuffer(b, "<u4").astype("i4") for b, _ in coded], pa.list_(pa.int32())), pa.array([d for _, d in coded], pa.string())], [id_col, "ids", "decoded"])
 
     schema = f"{id_col} {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return map_batches(docs.select(id_col, text_col), run, schema)
+    return map_batches(spread(docs.select(id_col, text_col)), run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

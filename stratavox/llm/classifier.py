@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import WORD, kept_columns, map_batches, mix64, table
+from stratavox.llm.common import WORD, kept_columns, map_batches, mix64, spread, table
 
 BITS = 18
 #: Labelled rows that training uses, in expectation.
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 1 MB at any input size
     names = [id_col, *kept_columns(keep, id_col, ["score", "predicted"])]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_scored_text"))
+    source = spread(docs).select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_scored_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", score double, predicted int"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

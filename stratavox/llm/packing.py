@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratavox.llm.bpe import resolve
-from stratavox.llm.common import map_batches, slices, table, written
+from stratavox.llm.common import map_batches, slices, spread, table, written
 
 CAPACITY = 1024
 END_ID = 0
@@ -137,7 +137,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
                         [id_col, "start", "length", "doc_tokens", "ids", "part", "nth"],
                     )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary, part int, nth long")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary, part int, nth long")
 
 
 def fill(lengths: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:

@@ -6,7 +6,7 @@ boilerplate (licence, cookie and copyright phrases). Failing lines are removed;
 a document that loses more than a stated share of its text is rejected. Base
 rules on length and repeated word triples come on top.
 
-The work is per row: no shuffle, so one source or one group of copies that
+The work is per row: no shuffle, but that an input of one split is dealt over the cores. So one source or one group of copies that
 holds a third of all rows costs no more than its rows. Repeated triples are
 found inside the row by sorting (hash, position) packed into 64-bit integers,
 each neighbour then compared word by word.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import SPACE, kept_columns, table
+from stratavox.llm.common import SPACE, kept_columns, spread, table
 
 #: Marks counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -67,7 +67,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     # in a struct, so no kept column meets a working one
     names = [id_col, *kept_columns(keep, id_col, RESULTS)]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    base = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     base = base.withColumns({"_w": _words(F.col("_t")), "_l": F.split(F.col("_t"), "\n")})
     base = base.withColumns({"_n": F.size("_w").cast("long"), "_real": F.filter("_l", lambda x: F.rlike(x, F.lit(rf"[^{SPACE}]")))})
     #: bits for a position; the rest of the 64 are the triple's hash
