@@ -245,8 +245,9 @@ def price(duals: np.ndarray, lengths: np.ndarray, capacity: int, more: int = 0)
     return float(best[capacity]), found
 
 
-#: Columns that one pricing may bring, and pivots after which the inverse is made anew.
-AT_ONCE, FRESH = 40, 100
+#: Columns that one pricing may bring, pivots after which the inverse is made anew,
+#: and how near pricing stays to the duals of the best bound.
+AT_ONCE, FRESH, PULL = 40, 300, 0.7
 
 
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float, float]:
@@ -267,11 +268,15 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     columns, cost, x = first_basis(lengths, asked, capacity)
     alone = (1 + CUT) * lengths / capacity
     inverse, bound, pivots = np.linalg.inv(columns), float(asked @ lengths) / capacity, 0
+    # duals of the best bound so far: pricing stays near them, as the basis' own swing
+    centre, pull = lengths / capacity, PULL
     while True:
         duals = cost @ inverse
-        asking = np.clip(duals, 0, alone)
+        asking = pull * centre + (1 - pull) * np.clip(duals, 0, alone)
         value, found = price(asking, lengths, capacity, AT_ONCE)
-        bound = max(bound, float(asked @ asking) / max(value, 1.0))
+        proven = float(asked @ asking) / max(value, 1.0)
+        if proven > bound:
+            bound, centre = proven, asking / max(value, 1.0)
         reached = float(cost @ x)
         if reached - bound <= max(gap * bound, WHOLE):
             break
@@ -282,7 +287,8 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
             offers.append((one, 0.0 if duals[k] < 0 else float(alone[k])))
         moved = False
         for pattern, price_ in offers:
-            if float(cost @ inverse @ pattern) <= price_ + 1e-9:
+            gain = float(duals @ pattern) - price_
+            if gain <= 1e-9:
                 continue
             step = inverse @ pattern
             ok = step > 1e-9
@@ -296,14 +302,20 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
             x[out] = t
             np.maximum(x, 0, out=x)
             pivot = inverse[out] / step[out]
-            inverse -= np.outer(step, pivot)
-            inverse[out] = pivot
+            duals = duals - gain * pivot
+            step[out] -= 1.0
+            at = np.flatnonzero(np.abs(step) > 1e-13)
+            inverse[at] -= step[at, None] * pivot
             columns[:, out], cost[out] = pattern, price_
             moved, pivots = True, pivots + 1
             if pivots % FRESH == 0:
                 inverse = np.linalg.inv(columns)
-                x = np.maximum(inverse @ asked, 0)
-        if not moved:
+                x, duals = np.maximum(inverse @ asked, 0), cost @ inverse
+        if moved:
+            pull = PULL
+        elif pull > 0:
+            pull = pull / 2 if pull > 0.05 else 0.0
+        else:
             break
     used = [(columns[:, k].astype(np.int64), float(x[k])) for k in range(n) if x[k] > 1e-9 and cost[k] == 1]
     return used, float(cost @ x), bound
