@@ -53,7 +53,7 @@ def spread(df: DataFrame) -> DataFrame:
     states, without a job.
     """
     spark = df.sparkSession
-    stated = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return df.repartition(spark.sparkContext.defaultParallelism) if stated <= split else df
 
@@ -171,10 +171,12 @@ class WordHash:
 
     LIMIT = 120_000
 
-    def __init__(self) -> None:
+    def __init__(self, seed: int = 0) -> None:
+        import functools
+
         import xxhash
 
-        self._hash = xxhash.xxh3_64_intdigest
+        self._hash = functools.partial(xxhash.xxh3_64_intdigest, seed=seed) if seed else xxhash.xxh3_64_intdigest
         self._seen: dict[str, int] = {}
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -191,14 +193,14 @@ class WordHash:
         return np.array([seen[w] for w in words], np.uint64)
 
 
-_word_hash: WordHash | None = None
+_word_hash: dict[int, WordHash] = {}
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    global _word_hash
-    if _word_hash is None:
-        _word_hash = WordHash()
-    return _word_hash(words)
+def word_hashes(words: list[str], seed: int = 0) -> np.ndarray:
+    """Hashes of words; other seeds give independent ones."""
+    if seed not in _word_hash:
+        _word_hash[seed] = WordHash(seed)
+    return _word_hash[seed](words)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,8 +8,8 @@ beside them the postings (fingerprint, document, place). A new batch's
 fingerprints are sorted into a run of their own, merge-joined with the runs of
 history, and compacted with runs of like size, so the number of runs stays
 logarithmic in the number of batches. Fingerprints met before are verified on
-the windows themselves: on two polynomial hashes of each window's words, 96 bits
-together, both over one hash of 64 bits a word.
+the windows themselves: on two hashes of each window's words, 96 bits together,
+independent of each other from the words on.
 
 A window that also starts anywhere else goes, in all its places, so a batch
 may mark words of earlier batches; ``marks`` reads the index once all batches
@@ -200,12 +200,13 @@ def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, h1, h2, at = [], [], [], []
         for k, (t, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            h = word_hashes(WORD.findall(t or ""))
+            words = WORD.findall(t or "")
+            h = word_hashes(words)
             on = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
             row.append(np.full(len(on), k))
             at.append(on)
             h1.append(window_hashes(h, window, _BASE_1)[on])
-            h2.append(window_hashes(mix64(h), window, _BASE_2)[on] >> np.uint64(32))
+            h2.append(window_hashes(word_hashes(words, 1), window, _BASE_2)[on] >> np.uint64(32))
         cat = np.concatenate
         row = pa.array(cat(row))
         return pa.RecordBatch.from_arrays([pa.array(cat(h1).view("i8")), pa.array(cat(h2).astype("u4").view("i4")), batch.column(0).take(row), batch.column(1).take(row), pa.array(cat(at).astype("i4"))], ["h1", "h2", "id", "tag", "at"])

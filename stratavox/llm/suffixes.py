@@ -11,7 +11,8 @@ A string of ``LENGTH`` bytes that also starts earlier goes, byte by byte.
 3. The distinct surroundings of a fingerprint are compared by a suffix array of
    their text, in blocks of ``STEP`` bytes aligned at the fingerprint. Suffixes
    with nine equal blocks form a class; with the few bytes before and after
-   them, the class decides whether two windows are equal.
+   them, the class decides whether two windows are equal. A fingerprint of more
+   than ``BLOCK`` surroundings is compared window by window, on their hashes.
 
 The suffix array is built by grouping: suffixes are grouped by their first
 symbol; groups are processed in descending order; in each one every suffix
@@ -34,18 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import in_blocks, map_batches, mix64, range_hashes, sorted_groups, table, tagged, written
+from stratavox.llm.common import dealt, map_batches, mix64, range_hashes, sorted_groups, table, tagged, window_hashes, written
 from stratavox.llm.substring import anchors
 
 LENGTH = 100
 GRAM = 20
 STEP = 10
-#: A fingerprint with more distinct surroundings is compared in pairs of blocks.
-#: The array is linear and the pairs aren't, so blocks are as large as memory
-#: allows: two of them are some 5 MB of text.
-BLOCK, SPREAD = 16384, 2
+#: Distinct surroundings of a fingerprint that one array takes; more are compared
+#: window by window, dealt by their hashes, so no task holds such a group.
+BLOCK = 8192
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xC2B2AE3D27D4EB4F
+_BASE, _BASE_2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -263,27 +263,12 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows = written(repeats(byte_anchors(docs, length, gram)), "repeats")
     plain = rows.filter("not open").select("id", "tag", F.col("first").alias("a"), (F.col("last") + 1).alias("b"))
     unsettled = rows.filter("open").select("fp", "id", "tag", "first", "last", "place")
-    # only fingerprints of more than a block need their size: few rows, of known number
-    sizes = written(unsettled.groupBy("fp").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK), "large")
-    asked = unsettled.join(sizes, "fp", "left").groupBy("id", "tag").agg(F.collect_list(F.struct("fp", "first", "last", "place", F.coalesce("m", F.lit(1).cast("long")).alias("m"))).alias("spans"))
-
-    def surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, values = [], []
-        for k, (t, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            raw = t.encode("utf-8", "surrogatepass")
-            for s in spans:
-                row.append(k)
-                values.append((s["fp"], s["m"], s["first"], s["place"] - s["first"], raw[s["first"] : s["last"] + length]))
-        fp, m, first, place, text = zip(*values)
-        row = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(m, pa.int64()), batch.column(0).take(row), batch.column(1).take(row), pa.array(first, pa.int32()), pa.array(place, pa.int32()), pa.array(text, pa.binary())], ["fp", "m", "id", "tag", "first", "place", "around"])
-
-    near = map_batches(docs.join(asked, ["id", "tag"]).select("id", "tag", "text", "spans"), surroundings, "fp long, m long, id long, tag long, first int, place int, around binary")
-    # every two surroundings meet in some pair of blocks, so none is missed
-    near = in_blocks(near, "m", "id", BLOCK, BLOCK, SPREAD).select("fp", "x", "y", "id", "tag", "first", "place", "around")
+    # fingerprints of more than a block: few rows, of known number
+    large = written(unsettled.groupBy("fp").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("fp"), "large")
+    near = _surroundings(docs, unsettled.join(large, "fp", "left_anti"), length)
 
     def compare(batches):
-        for g in sorted_groups(batches, ["fp", "x", "y"]):
+        for g in sorted_groups(batches, ["fp"]):
             places, texts = g.column("place").to_pylist(), g.column("around").to_pylist()
             ids, tags, first = (g.column(c).to_pylist() for c in ("id", "tag", "first"))
             once = [k for k in range(len(ids)) if not k or (ids[k], tags[k], first[k]) != (ids[k - 1], tags[k - 1], first[k - 1])]
@@ -298,8 +283,52 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "tag", "a", "b"])
 
-    compared = near.repartition("fp", "x", "y").sortWithinPartitions("fp", "x", "y", "id", "tag", "first").mapInArrow(compare, "id long, tag long, a int, b int")
-    return plain.unionByName(compared).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    compared = near.repartition("fp").sortWithinPartitions("fp", "id", "tag", "first").mapInArrow(compare, "id long, tag long, a int, b int")
+    found = plain.unionByName(compared)
+    if not large.isEmpty():  # else the texts would be read again for nothing
+        found = found.unionByName(_by_windows(_surroundings(docs, unsettled.join(large, "fp", "left_semi"), length), length))
+    return found.groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def _surroundings(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(fp, id, tag, first, place, around): the text of the rows' windows, and the fingerprint's place in it."""
+    asked = rows.groupBy("id", "tag").agg(F.collect_list(F.struct("fp", "first", "last", "place")).alias("spans"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, values = [], []
+        for k, (t, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            raw = t.encode("utf-8", "surrogatepass")
+            for s in spans:
+                row.append(k)
+                values.append((s["fp"], s["first"], s["place"] - s["first"], raw[s["first"] : s["last"] + length]))
+        fp, first, place, text = zip(*values)
+        row = pa.array(row)
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), batch.column(0).take(row), batch.column(1).take(row), pa.array(first, pa.int32()), pa.array(place, pa.int32()), pa.array(text, pa.binary())], ["fp", "id", "tag", "first", "place", "around"])
+
+    return map_batches(docs.join(asked, ["id", "tag"]).select("id", "tag", "text", "spans"), run, "fp long, id long, tag long, first int, place int, around binary")
+
+
+def _by_windows(near: DataFrame, length: int) -> DataFrame:
+    """(id, tag, a, b): the repeats among surroundings of fingerprints too large for an
+    array of their own, window by window, on 128 bits of hash. The first of equal
+    windows is found by sums that combine before they are dealt, the others by a join
+    that adaptive execution can split, so work grows with the number of rows."""
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, h1, h2, at = [], [], [], []
+        for k, (first, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            h = _BYTES[np.frombuffer(text, "u1")]
+            h1.append(window_hashes(h, length, _BASE))
+            h2.append(window_hashes(mix64(h), length, _BASE_2))
+            row.append(np.full(len(h1[-1]), k))
+            at.append(first + np.arange(len(h1[-1])))
+        row = pa.array(np.concatenate(row))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(h).view("i8")) for h in (h1, h2)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(at).astype("i4"))], ["h1", "h2", "id", "tag", "a"])
+
+    rows = map_batches(near.select("id", "tag", "first", "around"), windows, "h1 long, h2 long, id long, tag long, a int")
+    place = F.struct("id", "tag", "a")
+    firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select("h1", "h2", "least")
+    return rows.join(dealt(firsts, "h1", "h2"), ["h1", "h2"]).filter(place > F.col("least")).select("id", "tag", "a", (F.col("a") + 1).alias("b"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
