@@ -6,9 +6,10 @@ each line a block's rows are sorted, and a query's window holds the rows within
 pairs with at least ``COLLISIONS`` collisions are verified by their cosine in
 double precision.
 
-Calibration: vectors of cosine 0.93 are at most 0.374 apart, so a true pair
-collides on a line with probability 0.967 at least, and on 24 of 32 lines with
-0.999998. A pair of unrelated directions collides on a line with 0.43.
+Calibration (``calibrated``): vectors of cosine 0.93 are at most 0.374 apart, so
+with a window of 0.5 a true pair collides on a line with probability 0.819 at
+least, and on 15 of 32 lines with 0.9999985. A pair of unrelated directions
+collides on a line with 0.28, and is verified for nothing in 1.6 % of all cases.
 
 Equal vectors of a label form a class first. A label's classes are divided into
 blocks and every pair of blocks is a task, so a label with a third of all rows
@@ -22,17 +23,20 @@ that repeat an id count as vectors of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratavox.llm.common import sorted_groups, table, written
+from stratavox.llm.common import dealt, sorted_groups, table, written
 from stratavox.llm.components import components
 
 SIMILAR = 0.93
-PROJECTIONS, COLLISIONS, WIDTH = 32, 24, 0.8
+PROJECTIONS = 32
+#: Half a window in distances of a true pair, and the share of true pairs that may be missed.
+REACH, MISSED = 1.3365, 2e-6
 BLOCK, LEAST_BLOCK, SPREAD = 1024, 96, 12
 SEED = 20240229
 
@@ -41,10 +45,24 @@ def lines(dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, PROJECTIONS))
 
 
-def collisions(px: np.ndarray, py: np.ndarray) -> Iterator[np.ndarray]:
+def calibrated(similar: float, projections: int = PROJECTIONS) -> tuple[float, int]:
+    """Half a window's width, and the greatest count that misses true pairs no more often than ``MISSED``."""
+    width = REACH * max(math.sqrt(max(2 - 2 * similar, 0.0)), 1e-4)
+    hit, missed, least = math.erf(REACH / math.sqrt(2)), 0.0, 0
+    while True:
+        missed += math.comb(projections, least) * hit**least * (1 - hit) ** (projections - least)
+        if missed > MISSED:
+            return width, least
+        least += 1
+
+
+WIDTH, COLLISIONS = calibrated(SIMILAR)
+
+
+def collisions(px: np.ndarray, py: np.ndarray, width: float = WIDTH) -> Iterator[np.ndarray]:
     """For every row of px, on how many lines each row of py lies in its window."""
     order = np.argsort(py, axis=0, kind="stable").T.copy()
-    low, high = (np.array([np.searchsorted(py[o, j], px[:, j] + shift, side) for j, o in enumerate(order)]).T for shift, side in ((-WIDTH, "left"), (WIDTH, "right")))
+    low, high = (np.array([np.searchsorted(py[o, j], px[:, j] + shift, side) for j, o in enumerate(order)]).T for shift, side in ((-width, "left"), (width, "right")))
     for a, b in zip(low.tolist(), high.tolist()):
         yield np.bincount(np.concatenate([o[m:n] for o, m, n in zip(order, a, b)]), minlength=len(py))
 
@@ -54,9 +72,10 @@ def block_links(x: np.ndarray, y: np.ndarray, similar: float) -> list[tuple[int,
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     way = lines(x.shape[1])
     px, py = ((x / nx[:, None]) @ way).astype("f4"), ((y / ny[:, None]) @ way).astype("f4")
+    width, least = calibrated(similar)
     out = []
-    for i, count in enumerate(collisions(px, py)):
-        k = np.flatnonzero(count >= COLLISIONS)
+    for i, count in enumerate(collisions(px, py, width)):
+        k = np.flatnonzero(count >= least)
         cosine = np.einsum("ij,ij->i", np.broadcast_to(x[i], (len(k), x.shape[1])), y[k]) / (nx[i] * ny[k])
         k = k[cosine >= similar]
         if len(k):
@@ -124,7 +143,7 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, id_col: str = "ve
     counts = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     found = components(links.filter("b is not null").select("a", "b"))
     found = classes.select("id", "rep").join(found, F.col("id") == F.col("node")).select("node", "component", "rep")
-    found = found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    found = found.join(dealt(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component"), "component").select("node", "component_id")
     marks = classes.join(counts, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
     marks = marks.select("label", "dim", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     members = usable.join(marks, ["label", "dim", "embedding"]).select("id", "n_links", "component_id")

@@ -457,6 +457,24 @@ def test_vectors_collide_in_windows():
     assert np.array_equal(np.array(list(collisions(px, py))), near.sum(axis=2))
 
 
+def test_recall_of_collision_counts():
+    """Of pairs right at the limit nearly none is missed, and few unrelated ones are verified."""
+    from stratavox.llm.vectors import COLLISIONS, WIDTH, calibrated, lines
+
+    assert calibrated(0.93) == (WIDTH, COLLISIONS) and COLLISIONS == 15 and WIDTH == pytest.approx(0.5, abs=1e-3)
+    r = np.random.default_rng(5)
+    a, e = r.normal(size=(2, 20000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    e -= (e * a).sum(1)[:, None] * a
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * e
+    way = lines(64)
+    found = ((np.abs(a @ way - b @ way) <= WIDTH).sum(axis=1) >= COLLISIONS).mean()
+    wrong = ((np.abs(a @ way - e @ way) <= WIDTH).sum(axis=1) >= COLLISIONS).mean()
+    print(f"recall at the limit {found:.5f}, unrelated pairs verified {wrong:.4f}")
+    assert found >= 0.999 and wrong < 0.05
+
+
 def test_vectors_of_repeated_ids(spark):
     from stratavox.llm.vectors import near_vectors
 
@@ -531,11 +549,26 @@ def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in cp.STAGES] == ["quality_classifier", "quality_rules", "minhash_dedup", "substring_dedup", "packing"]
-    now, sizes = docs, [docs.count()]
-    for _, stage in cp.STAGES[:-1]:
+    now, sizes, inputs = docs, [docs.count()], {}
+    for name, stage in cp.STAGES[:-1]:
         before, now = now, stage(spark, now, d).cache()
         assert now.columns == docs.columns and now.join(before, "doc_id", "left_anti").count() == 0
         sizes.append(now.count())
+        inputs[name] = (before, {r.doc_id: r.text for r in now.collect()})
+    # the second stage against the rules in SQL, the third against all pairs, each on its own input
+    import duckdb
+
+    from stratavox.llm.quality_rules import OP2_SQL
+
+    db = duckdb.connect()
+    db.register("documents", inputs["quality_rules"][0].toArrow())
+    judged = {i: (kept, failed) for i, kept, failed in db.sql(f"SELECT doc_id, kept, n_failed_lines FROM ({OP2_SQL})").fetchall()}
+    kept = inputs["quality_rules"][1]
+    assert set(kept) == {i for i, (k, _) in judged.items() if k} and len(kept) < len(judged)
+    source = texts_of(inputs["quality_rules"][0])
+    assert all((t == source[i]) == (judged[i][1] == 0) for i, t in kept.items())
+    near = near_brute(texts_of(inputs["minhash_dedup"][0]))
+    assert set(inputs["minhash_dedup"][1]) == {i for i, (_, root) in near.items() if i == root}
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4] > 0
     texts = {r.doc_id: r.text for r in now.collect()}
     assert check_packing(cp.STAGES[-1][1](spark, now, d).collect(), now) < 0.05
@@ -567,7 +600,7 @@ def test_pipeline_takes_empty_input(spark, tmp_path):
 
 
 def test_suffix_dedup_of_a_large_group(spark, monkeypatch):
-    """One passage in many different surroundings, compared in pairs of blocks."""
+    """One passage in many different surroundings, compared window by window, and a small one beside it."""
     from stratavox.llm import suffixes
 
     monkeypatch.setattr(suffixes, "BLOCK", 40)
@@ -701,3 +734,146 @@ def test_posting_lists_count_a_pair_once():
     for a, b in zip(*np.nonzero(near)):
         want[want == want[b]] = want[a]
     assert pairs and ((label[:, None] == label) == (want[:, None] == want)).all()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows that repeat, ids with several texts, null ids, and columns that clash."""
+    a, b, c = passage(70, 60), passage(71, 60), passage(72, 45)
+    data = [(1, a), (1, a), (1, b), (2, a + " more"), (2, None), (None, a), (None, None), (None, a), (3, ""), (3, ""), (4, c + " " + passage(73, 20)), (4, passage(74, 20) + " " + c), (5, "one two")]
+    return spark.createDataFrame([(*r, "en", None, 7, "x", 1, 2.0) for r in data], "doc_id long, text string, lang string, source string, n_chars long, id string, tag long, score double")
+
+
+def many(df, *columns):
+    return collections.Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_odd_rows_row_by_row(odd):
+    """Operators on single rows: every row comes back once, with its own result."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stratavox.llm.bpe import bpe_round_trip
+    from stratavox.llm.classifier import score, train
+    from stratavox.llm.quality_rules import quality_rules
+    from stratavox.llm.sharding import hilbert_shards
+
+    data = [(r.doc_id, r.text) for r in odd.collect()]
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert many(bpe_round_trip(odd, digest=True), "doc_id", "n_tokens") == collections.Counter((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in data)
+    assert many(quality_rules(odd), "doc_id", "n_words") == collections.Counter((i, len(WORD.findall(t or ""))) for i, t in data)
+    labels = odd.sparkSession.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1)], "doc_id long, quality int")
+    scored = collections.defaultdict(set)
+    for r in score(odd, train(odd, labels), keep=["text"]).collect():
+        scored[r.text].add(r.score)
+    assert set(scored) == {t for _, t in data} and all(len(s) == 1 for s in scored.values())
+    got = hilbert_shards(odd).collect()
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in data)
+    assert len({(r.shard, r.slot) for r in got}) == len(data)
+
+
+def test_odd_rows_in_near_duplicates(odd):
+    from stratavox.llm.minhash import near_duplicates
+
+    data = [(r.doc_id, r.text) for r in odd.collect()]
+    texts = {k: t for k, (i, t) in enumerate(data)}
+    rank = sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0))
+    brute = near_brute({n: texts[k] for n, k in enumerate(rank)})
+    want = collections.Counter()
+    for n, k in enumerate(rank):
+        i = data[k][0]
+        root = i if i is None else data[rank[brute[n][1]]][0]
+        want[i, brute[n][0], root, i == root] += 1
+    assert many(near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert want[2, brute[rank.index(3)][0], 1, False] == 1
+
+
+def test_odd_rows_in_packing(odd):
+    from stratavox.llm.packing import TokenIds, pack
+
+    data = [(r.doc_id, r.text) for r in odd.collect()]
+    ids = [x.tolist() + [0] for x in TokenIds("byte_bpe_50k.json")([t for _, t in data])]
+    got = pack(odd, capacity=64).collect()
+    whole = collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0)
+    assert whole == collections.Counter((i, len(x)) for (i, _), x in zip(data, ids))
+    assert sum(r.length for r in got) == sum(map(len, ids))
+    used = collections.Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id] and zlib.crc32(r.ids) == r.ids_crc32
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 64
+
+
+def test_odd_rows_in_conversations(spark):
+    from stratavox.llm.chat import format_chats
+
+    call = json.dumps({"tool_calls": [{"id": None, "name": "fetch", "arguments": {"url": "u"}}, {"name": "fetch", "arguments": {"url": "v"}}]})
+    m = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (None, 0, "user", "a"), (None, None, None, None), (2, 0, "assistant", call), (2, 1, "tool", json.dumps({"tool_call_id": "q"})), (2, 1, "tool", json.dumps({"tool_call_id": "q"}))]
+    got = format_chats(spark.createDataFrame(m, "conv_id long, turn long, role string, text string")).collect()
+    assert collections.Counter((r.conv_id, r.turn, r.kind) for r in got) == {(1, 0, "message"): 3, (None, 0, "message"): 1, (None, None, "message"): 1, (2, 0, "call"): 2, (2, 1, "result"): 2}
+    assert {r.status for r in got if r.kind == "call"} == {"orphan"} and all(r.valid for r in got if r.kind == "call")
+
+
+def test_odd_rows_in_every_stage(spark, odd, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = odd.select(*cp.COLUMNS)
+    for name, stage in cp.STAGES[1:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == cp.COLUMNS
+        before, after = many(docs, "doc_id"), many(got, "doc_id")
+        assert all(after[k] <= before[k] for k in after), name
+        if name == "substring_dedup":
+            assert before == after
+    odd.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert many(cp.classify(spark, docs, str(tmp_path)), "doc_id", "text") == many(docs, "doc_id", "text")
+    assert cp.packing(spark, docs, "").filter("start = 0").count() == docs.count()
+
+
+def test_scores_equal_a_plain_dot_product(spark):
+    """Training and scoring against dictionaries: the same n-grams, the same updates."""
+    import math
+
+    from stratavox.llm import classifier as c
+
+    texts = [passage(k, 12) + (" fine." if k % 2 else " BUY!!! 99$") for k in range(30)]
+    rows = [(*np.unique(c.features(t), return_counts=True), k % 2) for k, t in enumerate(texts)]
+    rows = [(i, (c.SCALE * n / n.sum()).astype("f4"), y) for i, n, y in rows]
+    w, bias = c.ftrl(rows, epochs=2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= c.L1 else -(z[i] - math.copysign(c.L1, z[i])) / ((c.BETA + math.sqrt(n[i])) / c.ALPHA + c.L2)
+
+    for _ in range(2):
+        for index, value, y in rows:
+            x = {**dict(zip(index.tolist(), map(float, value))), "bias": 1.0}
+            own = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(own[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / c.ALPHA
+                z[i] += g - s * own[i]
+                n[i] += g * g
+    assert bias == pytest.approx(weight("bias"), abs=1e-9)
+    used = np.flatnonzero(w)
+    assert len(used) > 100 and all(w[i] == pytest.approx(weight(int(i)), rel=1e-5, abs=1e-9) for i in used)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    got = rows_by = {r.doc_id: r.score for r in c.score(df, (w, bias)).collect()}
+    for k, (i, v, _) in enumerate(rows):
+        assert rows_by[k] == pytest.approx(1 / (1 + math.exp(-(bias + float(w[i].astype("f8") @ v)))), abs=1e-6)
+    assert got[99] == pytest.approx(1 / (1 + math.exp(-bias)), abs=1e-9)
+
+
+def test_shards_are_runs_of_the_curve(docs):
+    """Shards follow the curve's cells, worked out here by walking the curve; cells are cut
+    at shard borders only, and equal texts with equal metadata share a cell."""
+    from stratavox.llm.sharding import BITS, hilbert_index, hilbert_shards
+
+    code = lambda v: zlib.crc32((v or "").encode()) % (1 << BITS)
+    cell = {r.doc_id: (min(int(np.log2(len((r.text or "").encode()) + 1)), (1 << BITS) - 1), code(r.lang), code(r.source)) for r in docs.collect()}
+    place = {hilbert_index(p, BITS): p for p in {(a, b, c) for a in range(16) for b in range(16) for c in range(16)}}
+    assert sorted(place) == list(range(4096))
+    got = sorted(hilbert_shards(docs).collect(), key=lambda r: (r.shard, r.slot))
+    along = [r.curve for r in got]
+    assert along == sorted(along) and all(place[r.curve] == cell[r.doc_id] for r in got)
