@@ -877,3 +877,44 @@ def test_shards_are_runs_of_the_curve(docs):
     got = sorted(hilbert_shards(docs).collect(), key=lambda r: (r.shard, r.slot))
     along = [r.curve for r in got]
     assert along == sorted(along) and all(place[r.curve] == cell[r.doc_id] for r in got)
+
+
+def test_very_long_texts(spark):
+    """Texts of some 600 kB, one without any break, beside short ones: whole results."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stratavox.llm.bpe import bpe_round_trip
+    from stratavox.llm.classifier import score, train
+    from stratavox.llm.minhash import near_duplicates
+    from stratavox.llm.packing import TokenIds, pack
+    from stratavox.llm.quality_rules import quality_rules
+    from stratavox.llm.sharding import hilbert_shards
+    from stratavox.llm.substring import substring_dedup
+    from stratavox.llm.suffixes import suffix_dedup
+
+    long = passage(80, 110_000) + "\n" + passage(81, 200)
+    texts = {1: long, 2: "ab" * 300_000, 3: passage(81, 200), 4: "short", 5: long[: len(long) // 2]}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = rows(bpe_round_trip(df, digest=True))
+    for i, t in texts.items():
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    measured = rows(quality_rules(df))
+    assert {i: (r.n_words, r.word_chars) for i, r in measured.items()} == {i: (len(w := t.split()), sum(map(len, w))) for i, t in texts.items()}
+    model = train(df, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int"))
+    assert score(df, model).filter("score between 0 and 1").count() == len(texts)
+    got = rows(suffix_dedup(df, digest=True))
+    # the second text repeats itself from its third byte on
+    want = suffix_brute({i: t for i, t in texts.items() if i != 2})
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items() if i != 2} == want
+    assert (got[2].n_removed, got[2].n_spans, got[2].kept_sha256) == (600_000 - 2, 1, hashlib.sha256(b"ab").hexdigest())
+    pieces = pack(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    tokens = dict(zip(texts, (len(x) + 1 for x in TokenIds("byte_bpe_50k.json")(list(texts.values())))))
+    assert {r.doc_id: (r.n, r.t) for r in pieces} == {i: (n, n) for i, n in tokens.items()}
+    got = rows(near_duplicates(df))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == near_brute(texts)
+    got = rows(substring_dedup(df, digest=True))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == substring_brute(texts, 35)
+    assert {r.doc_id: r.size for r in hilbert_shards(df).collect()} == {i: len(t) + 1 for i, t in texts.items()}
