@@ -33,7 +33,10 @@ def test_knn_against_a_dense_image(spark):
     depth[:2], depth[-2:], depth[:, :2], depth[:, -2:] = 0, 0, 0, 0
     for q in image.itertuples():
         depth[q.py + 2, q.px + 2], kind[q.py + 2, q.px + 2] = q.depth, q.cls
-    w = np.array(ri.kernel(sensor))
+    at = np.stack(np.meshgrid(np.arange(5) - 2, np.arange(5) - 2, indexing="ij"))
+    bell = np.exp(-0.5 * (at**2).sum(0)).ravel()
+    w = 1 - bell / bell.sum()
+    assert np.allclose(w, ri.kernel(sensor), atol=1e-15)
     want = {}
     for q in p.itertuples():
         d, k = depth[q.py : q.py + 5, q.px : q.px + 5].ravel().copy(), kind[q.py : q.py + 5, q.px : q.px + 5].ravel()
