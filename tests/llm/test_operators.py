@@ -918,3 +918,50 @@ def test_very_long_texts(spark):
     got = rows(substring_dedup(df, digest=True))
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == substring_brute(texts, 35)
     assert {r.doc_id: r.size for r in hilbert_shards(df).collect()} == {i: len(t) + 1 for i, t in texts.items()}
+
+
+def test_chat_against_a_plain_walk(spark):
+    """Random calls, results, references, duplicates and cycles, conversation by conversation."""
+    from stratavox.llm.chat import format_chats
+
+    r, messages = random.Random(12), []
+    for conv in range(40):
+        ids = [f"c{k}" for k in range(r.randint(1, 5))]
+        for turn in range(r.randint(1, 9)):
+            if r.random() < 0.5:
+                calls = [{"id": r.choice(ids), "name": "fetch", "arguments": {"url": {"$result": r.choice(ids)} if r.random() < 0.5 else "u"}} for _ in range(r.randint(1, 3))]
+                messages.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+            else:
+                messages.append((conv, turn, "tool", json.dumps({"tool_call_id": r.choice(ids), "content": turn})))
+    want = {}
+    for conv in range(40):
+        nodes = []
+        for _, turn, role, text in (m for m in messages if m[0] == conv):
+            for place, c in enumerate(json.loads(text)["tool_calls"] if role == "assistant" else [json.loads(text)]):
+                url = c.get("arguments", {}).get("url")
+                nodes.append((turn, place, "call" if role == "assistant" else "result", c.get("id") or c.get("tool_call_id"), url["$result"] if isinstance(url, dict) else None))
+        first = {}
+        for n in sorted(nodes):
+            first.setdefault(n[2:4], n)
+        needs = {}
+        for n in nodes:
+            _, _, kind, i, ref = n
+            needs[n] = []
+            if kind == "result" and first["result", i] == n and ("call", i) in first:
+                needs[n].append(first["call", i])
+            if kind == "call" and ref and ("result", ref) in first and ("call", ref) in first:
+                needs[n].append(first["result", ref])
+        order = {}
+        while True:
+            fresh = {n: (max([n[0], *(order[m][0] for m in d)]), max([-1, *(order[m][1] for m in d)]) + 1) for n, d in needs.items() if n not in order and all(m in order for m in d)}
+            if not fresh:
+                break
+            order.update(fresh)
+        for n in nodes:
+            turn, place, kind, i, _ = n
+            linked = ("call", i) in first and ("result", i) in first
+            status = "duplicate" if first[kind, i] != n else "cycle" if n not in order else "linked" if linked else "orphan"
+            want[conv, turn, place] = (kind, i, status, *order.get(n, (turn, -1)))
+    got = {(x.conv_id, x.turn, x.place): (x.kind, x.call_id, x.status, x.order_turn, x.depth) for x in format_chats(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == want
+    assert {s for _, _, s, _, _ in want.values()} == {"duplicate", "cycle", "linked", "orphan"}
