@@ -14,6 +14,7 @@ whole. Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -260,6 +261,16 @@ class SpeculativeBPE:
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Per text its ids (little-endian unsigned 32-bit) and their decoding."""
+        # lists of numbers have no cycles, and the collector would walk the whole memory over and over
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         cut: list[list[str]] = []
         for t in texts:
             if not t:
