@@ -133,15 +133,18 @@ def segment(image: DataFrame, model: Callable, sensor: SensorConfig = SENSOR) ->
     image's size. Without a model use the labels that come with the points.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     names = ["ch_depth", "ch_x", "ch_y", "ch_z", "ch_remission"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pa.Table) -> pa.Table:
         dense = np.zeros((5, sensor.height, sensor.width), np.float32)
-        py, px = frame.py.to_numpy(), frame.px.to_numpy()
-        dense[:, py, px] = frame[names].to_numpy(np.float32).T
+        py, px = (frame.column(c).to_numpy() for c in ("py", "px"))
+        for k, c in enumerate(names):
+            dense[k, py, px] = frame.column(c).to_numpy()
         scores = np.asarray(model(dense))[:, py, px]
-        return pd.DataFrame({"frame_no": frame.frame_no, "py": py, "px": px, "probs": list(scores.T.astype(np.float32)), "cls": scores.argmax(0).astype("int32")})
+        offsets = pa.array(np.arange(len(py) + 1, dtype=np.int32) * len(scores))
+        probs = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(scores.T, np.float32).ravel()))
+        return pa.table([frame.column("frame_no"), frame.column("py"), frame.column("px"), probs, pa.array(scores.argmax(0).astype("int32"))], names=["frame_no", "py", "px", "probs", "cls"])
 
-    return image.groupBy("frame_no").applyInPandas(run, "frame_no int, py int, px int, probs array<float>, cls int")
+    return image.groupBy("frame_no").applyInArrow(run, f"frame_no {dict(image.dtypes)['frame_no']}, py int, px int, probs array<float>, cls int")
