@@ -30,7 +30,7 @@ def segment_points(points: DataFrame, model: Callable, sensor: SensorConfig = ri
     """
     p = ri.project(points, sensor)
     scores = ri.segment(ri.channels(p, sensor), model, sensor)
-    near = ri.nearest_per_pixel(p).select("frame_no", "py", "px", "depth").join(scores.select("frame_no", "py", "px", "cls"), ["frame_no", "py", "px"])
+    near = scores.select("frame_no", "py", "px", "depth", "cls")
     pixel = ri.pixel_labels(p, scores)
     labels = ri.knn_vote(p, near, sensor) if vote else pixel.withColumnRenamed("pixel_cls", "label")
     return ri.point_confidence(labels, p, scores).join(pixel, ["frame_no", "seq"])

@@ -37,11 +37,13 @@ def nearest_per_pixel(points: DataFrame) -> DataFrame:
 
 
 def channels(points: DataFrame, sensor: SensorConfig = SENSOR) -> DataFrame:
-    """Normalised network input of every hit pixel; pixels without a row are 0."""
-    owners = nearest_per_pixel(points)
-    rows = owners.join(points.select("frame_no", F.col("seq").alias("owner"), "x", "y", "z", "remission"), ["frame_no", "owner"])
+    """Normalised network input of every hit pixel, its owner and depth; pixels without a row are 0.
+
+    The nearest point brings its values along, so points are dealt once.
+    """
+    best = points.groupBy("frame_no", "py", "px").agg(F.min(F.struct("depth", "seq", "x", "y", "z", "remission")).alias("b"))
     values = zip(("depth", "x", "y", "z", "remission"), sensor.means, sensor.stds)
-    return rows.select("frame_no", "py", "px", "owner", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(f"ch_{c}") for c, m, s in values])
+    return best.select("frame_no", "py", "px", F.col("b.seq").alias("owner"), F.col("b.depth").alias("depth"), *[((F.col(f"b.{c}") - F.lit(m)) / F.lit(s)).alias(f"ch_{c}") for c, m, s in values])
 
 
 def kernel(sensor: SensorConfig = SENSOR) -> list[float]:
@@ -126,7 +128,7 @@ def pixel_labels(points: DataFrame, image: DataFrame) -> DataFrame:
 
 
 def segment(image: DataFrame, model: Callable, sensor: SensorConfig = SENSOR) -> DataFrame:
-    """Class scores of every hit pixel by an injected model.
+    """Class scores of every hit pixel, beside its depth, by an injected model.
 
     ``model`` takes a float32 array (5, height, width) and returns scores
     (classes, height, width). It runs once per frame; a frame is bounded by the
@@ -145,6 +147,6 @@ def segment(image: DataFrame, model: Callable, sensor: SensorConfig = SENSOR) ->
         scores = np.asarray(model(dense))[:, py, px]
         offsets = pa.array(np.arange(len(py) + 1, dtype=np.int32) * len(scores))
         probs = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(scores.T, np.float32).ravel()))
-        return pa.table([frame.column("frame_no"), frame.column("py"), frame.column("px"), probs, pa.array(scores.argmax(0).astype("int32"))], names=["frame_no", "py", "px", "probs", "cls"])
+        return pa.table([frame.column("frame_no"), frame.column("py"), frame.column("px"), frame.column("depth"), probs, pa.array(scores.argmax(0).astype("int32"))], names=["frame_no", "py", "px", "depth", "probs", "cls"])
 
-    return image.groupBy("frame_no").applyInArrow(run, f"frame_no {dict(image.dtypes)['frame_no']}, py int, px int, probs array<float>, cls int")
+    return image.groupBy("frame_no").applyInArrow(run, f"frame_no {dict(image.dtypes)['frame_no']}, py int, px int, depth double, probs array<float>, cls int")

@@ -146,7 +146,7 @@ def pixel_lookup(spark, d):
 
 def range_channels(spark, d):
     c = ri.channels(ri.project(src.points(spark, d)))
-    return c.withColumn("ch_depth", F.round("ch_depth", 9))
+    return c.drop("depth").withColumn("ch_depth", F.round("ch_depth", 9))
 
 
 def grid_micro_batch(spark, d):
