@@ -99,6 +99,71 @@ def test_bpe_proposals_are_checked():
     assert own._merge_long([own.vocab[s] for s in own._symbols("ab" * 100)]) == own.merge("ab" * 100)
 
 
+def test_bpe_failing_proposals_are_taken_back():
+    """A proposal with a failing pair goes on from there; nothing is merged anew."""
+    from stratavox.llm.bpe import SpeculativeBPE
+
+    own = SpeculativeBPE("word_bpe_49k.json")
+    words = list(dict.fromkeys(passage(3, 3000).split())) + ["ab" * 3000, "thsh" * 700]
+    exact = [own.merge(w) for w in words]
+    merge, merged = own.merge, []
+    own.merge = lambda w: merged.append(w) or merge(w)
+    assert own._take_back(words)[0] == exact and not merged
+    assert own.encode_words(words) == exact and not merged
+    # pairs that aren't known yet, or no round left: words with a failing pair are merged
+    for own.TRIAL, own.ROUNDS in ((10, 8), (5000, 1)):
+        own.pairs.clear()
+        merged.clear()
+        assert own.encode_words(words) == exact and 0 < len(merged) < len(words)
+
+
+def test_bpe_memory_keeps_what_is_used():
+    """A full memory drops what wasn't used since it was last full, not the frequent words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stratavox.llm.bpe import SpeculativeBPE
+
+    own = SpeculativeBPE("word_bpe_49k.json")
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own.MEMORY, own.PAIRS = 50, 50
+    proposed, encode_words = collections.Counter(), own.encode_words
+    own.encode_words = lambda words: proposed.update(words) or encode_words(words)
+    rare = passage(4, 4000).split()
+
+    def check(t):
+        want = lib.encode(t, add_special_tokens=False).ids
+        [(ids, text)] = own.encode([t])
+        assert np.frombuffer(ids, "<u4").tolist() == want and text == lib.decode(want, skip_special_tokens=False)
+
+    for k in range(0, len(rare), 40):
+        check("Frequent (words), " + " ".join(rare[k : k + 40]))
+        assert max(map(len, (own.memory, own.older, own.words, own.older_words))) <= 100
+    assert proposed["frequent"] == proposed["words"] == 1
+    # a slice of far more new words than the memory holds isn't kept as an older generation
+    check(" ".join(rare))
+    assert len(own.memory) > 100 and len(own.words) > 100
+    check("few words")
+    assert not own.older and len(own.memory) == 2 and not own.older_words and len(own.words) == 2
+
+
+def test_bpe_chunks_with_marks_spaces_and_added_tokens():
+    import itertools
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stratavox.llm.bpe import SpeculativeBPE
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    parts = ["Word", "é", "'s", "'", "(", "<", "|>", "_", "7", "\u00b2", "\u0130", "H", "\u0331", "\u3000", "\u00a0", "\x85", "\x1c", "\x00", "\x0b", " ", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = [None, "", " ", *map("".join, itertools.product(parts, repeat=3))]
+    for batch in (texts, [t for t in texts if t and "<|endoftext|>" not in t]):
+        for t, (ids, text) in zip(batch, SpeculativeBPE("word_bpe_49k.json").encode(batch), strict=True):
+            want = lib.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and text == lib.decode(want, skip_special_tokens=False), t
+
+
 def test_quality_rules(docs, empty):
     from stratavox.llm.quality_rules import quality_rules
 
