@@ -2,8 +2,10 @@
 
 A frame file has a magic, the header's length, a JSON header padded to eight
 bytes, and typed sections at eight-byte offsets that the header lists; it may be
-compressed as a whole. One frame is bounded by the sensor (about 120,000
-points), so it is built in one task; frames are spread over tasks.
+compressed as a whole. One frame is one file, so it is built in one task; frames
+are spread over tasks. Its rows come in batches and are kept only as the bytes of
+the sections, so a task holds a small multiple of one file, however many points
+a frame has.
 """
 
 from __future__ import annotations
@@ -13,15 +15,18 @@ import io
 import json
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from stratavox.config import LEARNING_MAP
+from stratavox.functions.runs import runs
 
 # Fixed values of the frame format.
 MAGIC = b"LGF1"
@@ -35,6 +40,11 @@ CELL_SECTIONS = {"cells.ixy": ("int16", ["ix", "iy"]), "cells.level": ("uint8",
 
 MAX_POINTS = 200_000
 
+#: Bytes that are compressed or decompressed at once.
+CHUNK = 1 << 20
+#: Decoded rows that a task holds at once.
+SLICE = 1 << 16
+
 
 def frame_bytes(header: dict, sections: dict[str, np.ndarray], level: int | None = None) -> bytes:
     """Sections after a header that states their places; gzip at ``level`` if given."""
@@ -61,19 +71,33 @@ def frame_bytes(header: dict, sections: dict[str, np.ndarray], level: int | None
             break
         size = len(head)
     head = head + b" " * (size - len(head))
-    out = bytearray(MAGIC + struct.pack("<I", len(head)) + head)
+    out, zipped = [], zlib.compressobj(level, wbits=31) if level is not None else None
+
+    def put(raw: bytes | np.ndarray) -> None:
+        for k in range(0, len(raw), CHUNK):
+            out.append(zipped.compress(raw[k : k + CHUNK]) if zipped else bytes(raw[k : k + CHUNK]))
+
+    put(MAGIC + struct.pack("<I", len(head)) + head)
+    at = 8 + len(head)
     for a, o in zip(arrays.values(), places):
-        out += bytes(o - len(out)) + a.tobytes()
-    return gzip.compress(bytes(out), level) if level is not None else bytes(out)
+        put(bytes(o - at))
+        put(a.reshape(-1).view(np.uint8))
+        at = o + a.nbytes
+    return b"".join([*out, zipped.flush()] if zipped else out)
 
 
-def parse_frame(raw: bytes) -> tuple[dict, dict[str, np.ndarray]]:
+def parse_frame(raw: bytes | pa.Buffer) -> tuple[dict, dict[str, np.ndarray]]:
+    raw = memoryview(raw).cast("B")
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+        whole = bytearray()
+        with gzip.GzipFile(fileobj=pa.BufferReader(raw)) as f:
+            while part := f.read(CHUNK):
+                whole += part
+        raw = memoryview(whole)
     if raw[:4] != MAGIC:
         raise ValueError("not a frame file")
     (size,) = struct.unpack_from("<I", raw, 4)
-    header = json.loads(raw[8 : 8 + size])
+    header = json.loads(bytes(raw[8 : 8 + size]))
     return header, {s["name"]: np.frombuffer(raw, s["dtype"], int(np.prod(s["shape"])), s["offset"]).reshape(s["shape"]) for s in header["sections"]}
 
 
@@ -89,33 +113,66 @@ def encode_kinds(points: DataFrame, cells: DataFrame, strides: dict[str, int], l
     quantised points and cells. A kind keeps every ``strides[kind]``-th point.
 
     meta: (frame_no, meta), a JSON object of stats, timing_ms and accuracy per frame.
+
+    Points by seq, cells by (level, ix, iy) and the description of a frame come to
+    one task in this order, in batches; what is kept of them is their sections.
     """
     extra = dict(extra or {})
-
-    def build(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        meta = None
-        if "meta" in c:
-            meta, c = next(iter(c["meta"].dropna()), None), c[c["level"].notna()]
-        c = c.sort_values(["level", "ix", "iy"])
-        out = []
+    here = [{n: (kind, cols) for n, (kind, cols) in spec.items() if all(x in df.columns for x in cols)} for spec, df in ((POINT_SECTIONS, points), (CELL_SECTIONS, cells))]
+    named = [[x for _, cols in here[0].values() for x in cols], ["level", "ix", "iy"]]
+    named[1] += [x for _, cols in here[1].values() for x in cols if x not in named[1]]
+    width = max(map(len, named))
+
+    def rows(df: DataFrame, part: int, names: list[str]) -> DataFrame:
+        """Rows of both kinds in columns of the same names: v0 to v11."""
+        value = lambda k: F.col(names[k]).cast("int") if k < len(names) else F.lit(None).cast("int")
+        return df.select(F.col("frame_no").cast("int").alias("frame_no"), F.lit(part).alias("part"), (F.col("seq").cast("long") if part == 0 else F.lit(None).cast("long")).alias("seq"), (F.col("meta") if part == 2 else F.lit(None).cast("string")).alias("meta"), *[value(k).alias(f"v{k}") for k in range(width)])
+
+    def keep(kept: dict[str, bytearray], batch: pa.RecordBatch, part: int, mask: np.ndarray | None = None) -> int:
+        values = {x: batch.column(f"v{k}").fill_null(0).to_numpy() for k, x in enumerate(named[part])}
+        values = values if mask is None else {x: v[mask] for x, v in values.items()}
+        for name, (kind, cols) in here[part].items():
+            kept[name] += np.column_stack([values[x].astype(kind) for x in cols]).tobytes()
+        return batch.num_rows if mask is None else int(mask.sum())
+
+    def files(no: int, parts: dict, n: dict, about: str | None) -> Iterator[pa.RecordBatch]:
         for kind, stride in strides.items():
-            kept = p[p.seq % max(stride, 1) == 0].sort_values("seq")
             sections = {}
-            for table, spec in ((kept, POINT_SECTIONS), (c, CELL_SECTIONS)):
-                for name, (dtype, cols) in spec.items():
-                    if all(x in table for x in cols):
-                        v = table[cols].to_numpy().astype(dtype)
-                        sections[name] = v if len(cols) > 1 else v[:, 0]
-            header = frame_header(f"{int(key[0]):06d}", len(p), len(c), stride, json.loads(meta) if meta else None, extra)
-            out.append((key[0], kind, len(kept), len(c), frame_bytes(header, sections, level)))
-        return pd.DataFrame(out, columns=["frame_no", "kind", "n_points", "n_cells", "content"])
-
+            for part, kept in ((0, parts[kind]), (1, parts[None])):
+                for name, (dtype, cols) in here[part].items():
+                    v = np.frombuffer(kept[name], dtype)
+                    sections[name] = v.reshape(-1, len(cols)) if len(cols) > 1 else v
+            raw = frame_bytes(frame_header(f"{no:06d}", n["all"], n[None], stride, json.loads(about) if about else None, extra), sections, level)
+            # the file's bytes as they are: an array made of them would be a copy
+            content = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(raw)], np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([kind]), pa.array([n[kind]], pa.int64()), pa.array([n[None]], pa.int64()), content], ["frame_no", "kind", "n_points", "n_cells", "content"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = None
+        for (no, part), batch in runs(batches, 2):
+            if frame is None or frame[0] != no:
+                if frame is not None:
+                    yield from files(*frame)
+                # sections by kind, those of the cells at None
+                frame = [no, {k: {n: bytearray() for n in here[k is None]} for k in (*strides, None)}, dict.fromkeys((*strides, None, "all"), 0), None]
+            _, parts, n, about = frame
+            if part == 0:
+                n["all"] += batch.num_rows
+                seq = batch.column("seq").to_numpy(zero_copy_only=False)
+                for kind, stride in strides.items():
+                    n[kind] += keep(parts[kind], batch, 0, seq % max(stride, 1) == 0)
+            elif part == 1:
+                n[None] += keep(parts[None], batch, 1)
+            elif about is None:
+                frame[3] = next((m for m in batch.column("meta").to_pylist() if m is not None), None)
+        if frame is not None:
+            yield from files(*frame)
+
+    whole = rows(points, 0, named[0]).unionByName(rows(cells, 1, named[1]))
     if meta is not None:
-        # one more row of the frame's cells, so a description is sent once
-        cells = cells.unionByName(meta.select("frame_no", "meta"), allowMissingColumns=True)
-    # a name of its own: both sides may come from one table
-    cells = cells.select(F.col("frame_no").alias("frame"), *[c for c in cells.columns if c != "frame_no"])
-    return points.groupBy("frame_no").cogroup(cells.groupBy("frame")).applyInPandas(build, "frame_no int, kind string, n_points long, n_cells long, content binary")
+        whole = whole.unionByName(rows(meta, 2, []))
+    dealt = whole.repartition("frame_no").sortWithinPartitions("frame_no", "part", "seq", *[f"v{k}" for k in range(width)])
+    return dealt.mapInArrow(build, "frame_no int, kind string, n_points long, n_cells long, content binary")
 
 
 def encode_frames(points: DataFrame, cells: DataFrame, level: int | None = 6, extra: dict | None = None, stride: int = 1, meta: DataFrame | None = None) -> DataFrame:
@@ -130,33 +187,40 @@ def _header_json(header: dict) -> str:
 def decode_frames(frames: DataFrame) -> DataFrame:
     """(frame_no, header, n_points, n_cells) of every frame file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for no, raw in zip(b.frame_no, b.content):
-                h, s = parse_frame(bytes(raw))
+            for no, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                h, s = parse_frame(raw.as_buffer())
                 out.append((no, _header_json(h), len(s["points.class"]), len(s["cells.level"])))
-            yield pd.DataFrame(out, columns=["frame_no", "header", "n_points", "n_cells"])
+            if out:
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), kinds)], ["frame_no", "header", "n_points", "n_cells"])
 
-    return frames.select("frame_no", "content").mapInPandas(run, "frame_no int, header string, n_points long, n_cells long")
+    return frames.select(F.col("frame_no").cast("int"), "content").mapInArrow(run, "frame_no int, header string, n_points long, n_cells long")
 
 
 def _decode(frames: DataFrame, spec: dict[str, tuple[str, list[str]]]) -> DataFrame:
     names = [c for _, cols in spec.values() for c in cols]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for no, raw in zip(b.frame_no, b.content):
-                _, s = parse_frame(bytes(raw))
-                out = {}
+            for no, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                _, s = parse_frame(raw.as_buffer())
+                found = {}
                 for name, (_, cols) in spec.items():
                     for k, c in enumerate(cols):
                         v = s.get(name)
-                        out[c] = None if v is None else (v[:, k] if len(cols) > 1 else v).astype("int32")
-                n = max(len(v) for v in out.values() if v is not None)
-                yield pd.DataFrame({"frame_no": np.full(n, no, np.int32), "place": np.arange(n), **{c: pd.Series([None] * n, dtype="Int32") if v is None else v for c, v in out.items()}})
-
-    return frames.select("frame_no", "content").mapInPandas(run, "frame_no int, place long, " + ", ".join(f"`{c}` int" for c in names))
+                        found[c] = None if v is None else v[:, k] if len(cols) > 1 else v
+                n = max(len(v) for v in found.values() if v is not None)
+                if any(len(v) != n for v in found.values() if v is not None):
+                    raise ValueError(f"frame {no}: sections of different lengths")
+                for i in range(0, n, SLICE):
+                    j = min(i + SLICE, n)
+                    values = [pa.nulls(j - i, pa.int32()) if v is None else pa.array(v[i:j].astype("int32")) for v in found.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, no, np.int32)), pa.array(np.arange(i, j, dtype=np.int64)), *values], ["frame_no", "place", *names])
+
+    return frames.select(F.col("frame_no").cast("int"), "content").mapInArrow(run, "frame_no int, place long, " + ", ".join(f"`{c}` int" for c in names))
 
 
 def decode_cells(frames: DataFrame) -> DataFrame:

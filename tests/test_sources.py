@@ -192,3 +192,47 @@ def test_sensor_config_keeps_defaults():
     assert sensor_config(None) == SensorConfig() == sensor_config("{broken")
     got = sensor_config('{"dataset": {"sensor": {"fov_up": 2.0, "img_prop": {"width": 1024}}}, "post": {"KNN": {"params": {"knn": 7}}}}')
     assert (got.width, got.fov_up_deg, got.knn, got.height) == (1024, 2.0, 7, 64)
+
+
+@pytest.mark.parametrize("level", [None, 6])
+def test_large_frames_pass_in_batches(spark, coded, level):
+    """A frame comes in many batches and leaves in slices, never as a table of its own."""
+    p, c, _ = coded
+    meta = c.select("frame_no").distinct().select("frame_no", F.lit('{"stats": {"n_splits": 3}}').alias("meta"))
+    # a frame without cells, one without points, and points in no order
+    p, c = p.filter("frame_no <> 2").repartition(3), c.filter("frame_no <> 1").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        files = frames.encode_kinds(p, c, {"lite": 3, "full": 1}, level, meta=meta)
+        assert "CoGroup" not in files._jdf.queryExecution().toString()
+        got = {(r.frame_no, r.kind): r for r in files.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 8
+    points, cells = p.toPandas(), c.toPandas()
+    for (no, kind), r in got.items():
+        own, near = points[points.frame_no == no].sort_values("seq"), cells[cells.frame_no == no].sort_values(["level", "ix", "iy"])
+        kept = own[own.seq % 3 == 0] if kind == "lite" else own
+        header, s = frames.parse_frame(bytes(r.content))
+        assert (r.n_points, r.n_cells, header["n_points_total"], header["stats"]) == (len(kept), len(near), len(own), {"n_splits": 3})
+        for table, spec in ((kept, frames.POINT_SECTIONS), (near, frames.CELL_SECTIONS)):
+            for name, (dtype, cols) in spec.items():
+                want = table[cols].to_numpy().astype(dtype)
+                assert s[name].dtype == dtype and (s[name] == (want if len(cols) > 1 else want[:, 0])).all() and len(s[name]) == len(want)
+
+
+def test_points_of_several_slices(spark):
+    n = 150_000
+    v = np.arange(n)
+    sections = {name: (np.stack([v % 251] * len(cols), 1) if len(cols) > 1 else v % 251).astype(kind) for name, (kind, cols) in frames.POINT_SECTIONS.items() if name != "points.gt_class"}
+    sections |= {name: np.zeros((0, len(cols)) if len(cols) > 1 else 0, kind) for name, (kind, cols) in frames.CELL_SECTIONS.items()}
+    raw = frames.frame_bytes(frames.frame_header("000005", n, 0), sections, 6)
+    files = spark.createDataFrame([(5, bytearray(raw))], "frame_no int, content binary")
+    back = frames.decode_points(files)
+    got = back.select(F.count("*"), F.min("place"), F.max("place"), F.count_distinct("place"), F.count_if(F.col("x_cm") != F.col("place") % 251), F.count("gt_class")).first()
+    assert tuple(got) == (n, 0, n - 1, n, 0, 0)
+    assert frames.decode_cells(files).count() == 0
+    sections["points.intensity"] = sections["points.intensity"][:-1]
+    files = spark.createDataFrame([(5, bytearray(frames.frame_bytes({}, sections, None)))], "frame_no int, content binary")
+    with pytest.raises(Exception, match="different lengths"):
+        frames.decode_points(files).collect()
