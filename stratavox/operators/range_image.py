@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -56,6 +56,8 @@ def kernel(sensor: SensorConfig = SENSOR) -> list[float]:
 
 #: Rows of the image that one task of the vote sees, besides the window's margin.
 BAND = 8
+#: Points that vote at once.
+AT_ONCE = 1 << 14
 
 
 def knn_vote(points: DataFrame, image: DataFrame, sensor: SensorConfig = SENSOR, height: int | None = None, width: int | None = None) -> DataFrame:
@@ -68,48 +70,58 @@ def knn_vote(points: DataFrame, image: DataFrame, sensor: SensorConfig = SENSOR,
     to the earlier place of the window, ties of votes to the lower class.
 
     Points and pixels are dealt once, by bands of ``BAND`` rows of the image; a
-    pixel goes to the bands whose windows reach it. A band is bounded by the
-    sensor, and its windows are read off a dense array. As joins, every point
-    would be shuffled once per place of its window.
+    pixel goes to the bands whose windows reach it. A band's pixels come before its
+    points and make a dense array, which the sensor bounds; the points pass in
+    batches, so any number of them may share a pixel. As joins, every point would
+    be shuffled once per place of its window.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    from stratavox.functions.runs import runs
 
     if sensor.search % 2 == 0:
         raise ValueError("the search window must be odd")
     height, width = height or sensor.height, width or sensor.width
     r, n_places, weights = sensor.search // 2, sensor.search**2, np.array(kernel(sensor))
+    place = (np.arange(n_places) // sensor.search, np.arange(n_places) % sensor.search)
+    kinds = {f.name: f.dataType.simpleString() for f in points.select("frame_no", "seq").schema.fields}
     band = lambda row: F.floor(row / BAND).cast("int")
-    p = points.select("frame_no", band(F.col("py")).alias("band"), "seq", "px", "py", "depth")
+    at = [F.col("py").cast("int").alias("py"), F.col("px").cast("int").alias("px"), F.col("depth").cast("double").alias("depth")]
     reach = F.sequence(band(F.greatest(F.col("py") - r, F.lit(0))), band(F.least(F.col("py") + r, F.lit(height - 1))))
-    # names of their own: both sides may come from one table
-    rows = image.select(F.col("frame_no").alias("frame"), F.explode(reach).alias("strip"), F.col("py").alias("row"), F.col("px").alias("column"), F.col("depth").alias("range"), F.col("cls").alias("kind"))
-
-    def vote(key: tuple, pts: pd.DataFrame, pix: pd.DataFrame) -> pd.DataFrame:
-        top = int(key[1]) * BAND - r  # the first row of the dense array
-        depth = np.full((BAND + 2 * r, width + 2 * r), np.inf)
-        kind = np.zeros(depth.shape, np.int64)
-        at = np.arange(top, top + len(depth))
-        depth[(at < 0) | (at >= height)], depth[:, :r], depth[:, width + r :] = 0.0, 0.0, 0.0
-        y, x = pix["row"].to_numpy() - top, pix["column"].to_numpy() + r
-        depth[y, x], kind[y, x] = pix["range"].to_numpy(), pix["kind"].to_numpy()
-        out = []
-        for k in range(0, len(pts), 1 << 15):
-            part = pts.iloc[k : k + (1 << 15)]
-            y, x, own = part.py.to_numpy() - top - r, part.px.to_numpy(), part.depth.to_numpy()
-            place = (np.arange(n_places) // sensor.search, np.arange(n_places) % sensor.search)
-            there, c = (a[y[:, None] + place[0], x[:, None] + place[1]] for a in (depth, kind))
-            there[:, n_places // 2] = own
-            dist = np.abs(there - own[:, None]) * weights
-            near = np.argsort(dist, axis=1, kind="stable")[:, : sensor.knn]
-            c, far = np.take_along_axis(c, near, 1), np.take_along_axis(dist, near, 1) > sensor.cutoff
-            c = np.where(far, 0, c) if sensor.cutoff > 0 else c
-            votes = (c[:, :, None] == np.arange(1, N_CLASSES)).sum(axis=1)
-            out.append(pd.DataFrame({"frame_no": part.frame_no, "seq": part.seq, "label": (votes.argmax(axis=1) + 1).astype("int32")}))
-        return pd.concat(out) if out else pd.DataFrame({"frame_no": [], "seq": [], "label": []})
-
-    kinds = {f.name: f.dataType.simpleString() for f in p.schema.fields}
-    return p.groupBy("frame_no", "band").cogroup(rows.groupBy("frame", "strip")).applyInPandas(vote, f"frame_no {kinds['frame_no']}, seq {kinds['seq']}, label int")
+    rows = image.select(F.col("frame_no").cast(kinds["frame_no"]).alias("frame_no"), F.explode(reach).alias("band"), F.lit(0).alias("votes"), *at, F.col("cls").cast("long").alias("cls"), F.lit(None).cast(kinds["seq"]).alias("seq"))
+    p = points.select("frame_no", band(F.col("py")).alias("band"), F.lit(1).alias("votes"), *at, F.lit(None).cast("long").alias("cls"), "seq")
+
+    def labels(batch: pa.RecordBatch, top: int, depth: np.ndarray, kind: np.ndarray) -> pa.Array:
+        y, x, own = (batch.column(c).to_numpy() for c in ("py", "px", "depth"))
+        there, c = (a[(y - top - r)[:, None] + place[0], x[:, None] + place[1]] for a in (depth, kind))
+        there[:, n_places // 2] = own
+        dist = np.abs(there - own[:, None]) * weights
+        near = np.argsort(dist, axis=1, kind="stable")[:, : sensor.knn]
+        c, far = np.take_along_axis(c, near, 1), np.take_along_axis(dist, near, 1) > sensor.cutoff
+        c = np.where(far, 0, c) if sensor.cutoff > 0 else c
+        votes = (c[:, :, None] == np.arange(1, N_CLASSES)).sum(axis=1)
+        return pa.array((votes.argmax(axis=1) + 1).astype("int32"))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
+        for (frame, strip, votes), batch in runs(batches, 3):
+            if here != (frame, strip):
+                here, top = (frame, strip), strip * BAND - r  # the first row of the dense array
+                depth = np.full((BAND + 2 * r, width + 2 * r), np.inf)
+                kind = np.zeros(depth.shape, np.int64)
+                line = np.arange(top, top + len(depth))
+                depth[(line < 0) | (line >= height)], depth[:, :r], depth[:, width + r :] = 0.0, 0.0, 0.0
+            if not votes:
+                y, x = batch.column("py").to_numpy() - top, batch.column("px").to_numpy() + r
+                depth[y, x], kind[y, x] = batch.column("depth").to_numpy(), batch.column("cls").to_numpy()
+                continue
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([part.column("frame_no"), part.column("seq"), labels(part, top, depth, kind)], ["frame_no", "seq", "label"])
+
+    dealt = rows.unionByName(p).repartition("frame_no", "band").sortWithinPartitions("frame_no", "band", "votes")
+    return dealt.mapInArrow(vote, f"frame_no {kinds['frame_no']}, seq {kinds['seq']}, label int")
 
 
 def point_confidence(labels: DataFrame, points: DataFrame, scores: DataFrame) -> DataFrame:

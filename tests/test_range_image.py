@@ -50,6 +50,28 @@ def test_knn_against_a_dense_image(spark):
     assert got == want and 0 not in got.values()
 
 
+def test_points_vote_in_batches(spark):
+    """A band's points pass in batches behind its pixels; their votes are those of the whole band."""
+    r = np.random.default_rng(5)
+    sensor = SensorConfig(height=24, width=16)
+    n = 4000
+    p = pd.DataFrame({"frame_no": r.integers(0, 3, n), "seq": np.arange(n), "px": r.integers(0, 16, n), "py": r.integers(0, 24, n), "depth": r.uniform(1, 6, n), "cls": r.integers(0, 20, n)})
+    # most points share a pixel, and a frame has no image
+    p.loc[p.seq % 4 > 0, ["px", "py"]] = 3, 7
+    df = spark.createDataFrame(p)
+    image = df.filter("frame_no < 2").join(ri.nearest_per_pixel(df).select("frame_no", F.col("owner").alias("seq")), ["frame_no", "seq"])
+    votes = ri.knn_vote(df, image, sensor)
+    assert "CoGroup" not in votes._jdf.queryExecution().toString()
+    want = {(x.frame_no, x.seq): x.label for x in votes.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(x.frame_no, x.seq): x.label for x in ri.knn_vote(df, image, sensor).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == n and len(set(got.values())) > 10
+    assert {v for (frame, _), v in got.items() if frame == 2} == {1}
+
+
 def test_even_window_is_refused(projected):
     with pytest.raises(ValueError):
         ri.knn_vote(projected, projected, SensorConfig(search=4))
